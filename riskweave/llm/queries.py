@@ -9,6 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from riskweave.llm.common import table
 from riskweave.llm.exact_dedup import exact_dedup
 from riskweave.llm.mixing import mix_sources
+from riskweave.llm.packing import pack
+from riskweave.llm.topk import top_k
+
+
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
+OP1_SQL = r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x) or abs(x::double) >= 65536)) = 0),
+scored as (
+  select a.vec_id as query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 50 = 0),
+ranked as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +65,20 @@ select *, ('0x' || substr(sha256('17:order:' || coalesce(doc_id::varchar, '') ||
 """
 
 
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_topk": op1_topk,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_mix_sources": op6_mix_sources,
+        "op10_pack": op10_pack,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL}
+    return {"op1_topk": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL}
