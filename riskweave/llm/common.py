@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def per_worker(key: str, make: Callable):
+    """What a Python worker keeps from task to task: made once under its key, in a module of the worker's own."""
+    kept = sys.modules.setdefault("riskweave_worker_memory", types.ModuleType("riskweave_worker_memory"))
+    if not hasattr(kept, key):
+        setattr(kept, key, make())
+    return getattr(kept, key)
+
+
 def crc_mod(doc_id, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.llm.common import table
 from riskweave.llm.exact_dedup import exact_dedup
+from riskweave.llm.jaccard_join import near_duplicates
 from riskweave.llm.mixing import mix_sources
 from riskweave.llm.packing import pack
 from riskweave.llm.topk import top_k
@@ -65,6 +66,10 @@ select *, ('0x' || substr(sha256('17:order:' || coalesce(doc_id::varchar, '') ||
 """
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_topk": op1_topk,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_mix_sources": op6_mix_sources,
+        "op7_jaccard_join": op7_jaccard_join,
         "op10_pack": op10_pack,
     }
 
