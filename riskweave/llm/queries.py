@@ -11,7 +11,10 @@ from riskweave.llm.exact_dedup import exact_dedup
 from riskweave.llm.jaccard_join import near_duplicates
 from riskweave.llm.mixing import mix_sources
 from riskweave.llm.packing import pack
+from riskweave.llm.pii import find_pii
+from riskweave.llm.quality import quality
 from riskweave.llm.topk import top_k
+from riskweave.llm.toxicity import toxicity
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +34,18 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents")).drop("redacted")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -79,6 +94,9 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
+        "op2_toxicity": op2_toxicity,
+        "op3_pii": op3_pii,
+        "op5_quality": op5_quality,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_mix_sources": op6_mix_sources,
         "op7_jaccard_join": op7_jaccard_join,
