@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from riskweave.llm.common import table
 from riskweave.llm.exact_dedup import exact_dedup
 from riskweave.llm.jaccard_join import near_duplicates
+from riskweave.llm.lm_scoring import lm_scores
 from riskweave.llm.mixing import mix_sources
 from riskweave.llm.packing import pack
 from riskweave.llm.pii import find_pii
@@ -85,6 +86,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op6_mix_sources": op6_mix_sources,
         "op7_jaccard_join": op7_jaccard_join,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_pack": op10_pack,
     }
 
