@@ -14,6 +14,7 @@ from riskweave.llm.mixing import mix_sources
 from riskweave.llm.packing import pack
 from riskweave.llm.pii import find_pii
 from riskweave.llm.quality import quality
+from riskweave.llm.suffix_dedup import without_repeats
 from riskweave.llm.topk import top_k
 from riskweave.llm.toxicity import toxicity
 
@@ -86,6 +87,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op6_mix_sources": op6_mix_sources,
         "op7_jaccard_join": op7_jaccard_join,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_pack": op10_pack,
     }
