@@ -6,17 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskweave.plans import views
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def query(name: str, inputs: str, sql: str | None = None):
+    """Register a function of the named tables or views; sql is a SELECT over the same names, optionally WITH its own parts."""
+    names = inputs.split()
+
+    def register(of: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        _QUERIES[name] = lambda spark, sf_dir: of(*(views.table(spark, sf_dir, n) for n in names))
+        if sql:
+            body = sql.strip()
+            parts = [f"{n} as ({views.duckdb(n)})" for n in names if n in views.VIEWS]
+            if body.startswith("with "):
+                cut = len("with recursive ") if body.startswith("with recursive ") else len("with ")
+                body = f"with recursive {', '.join([*parts, body[cut:]])}"
+            elif parts:
+                body = f"with {', '.join(parts)} {body}"
+            _SQL[name] = body
+        return of
+
+    return register
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from riskweave.plans import behaviour, correlation, entities, incidents, models, scalars, transactions  # noqa: F401  they register theirs
+
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return _SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Incidents: anchored windows over assessments of both domains, fused and decided."""
+    from riskweave.operators import correlation as c
+
+    return c.incidents(c.anchored(views.table(spark, sf_dir, "asm")))
