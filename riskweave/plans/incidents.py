@@ -1 +1,80 @@
+"""Queries of incident serving and sinks."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riskweave.operators import incidents as n
+from riskweave.plans.correlation import FUSED, STRONG, incidents
+from riskweave.plans.registry import query
+
+
+@query("l_list", "asm", f"with recursive {FUSED} select entity_id, members, combined_score from inc where status = 'escalated' and combined_score >= 0.8 order by combined_score desc")
+def l_list(asm: DataFrame) -> DataFrame:
+    return incidents(asm).where("status = 'escalated' and combined_score >= 0.8").orderBy(F.desc("combined_score")).select("entity_id", "members", "combined_score")
+
+
+@query("l_feedback_log", "fb", "select seq, incident_id, action, reason from fb where incident_id in ('INC-1', 'INC-2', 'INC-3') order by seq")
+def l_feedback_log(fb: DataFrame) -> DataFrame:
+    return fb.where(F.col("incident_id").isin("INC-1", "INC-2", "INC-3")).orderBy("seq").select("seq", "incident_id", "action", "reason")
+
+
+@query("l_lifecycle", "fb", """with recursive o as (select incident_id, action, row_number() over (partition by incident_id order by seq) as k from fb),
+f as (select incident_id, 0::bigint as k, 'new' as state, 0::bigint as rejected from (select distinct incident_id from fb) i
+  union all select f.incident_id, o.k, case when ok then target else state end, rejected + case when ok then 0 else 1 end from (
+    select f.*, o.k as k2, case o.action when 'escalate' then 'escalated' when 'acknowledge' then 'acknowledged' when 'dismiss' then 'dismissed' end as target,
+      coalesce((f.state = 'new' and o.action in ('escalate', 'acknowledge', 'dismiss')) or (f.state = 'escalated' and o.action in ('acknowledge', 'dismiss')) or (f.state = 'acknowledged' and o.action in ('escalate', 'dismiss')), false) as ok
+    from f join o on o.incident_id = f.incident_id and o.k = f.k + 1) f join o on o.incident_id = f.incident_id and o.k = f.k2)
+select incident_id, state, rejected from f qualify row_number() over (partition by incident_id order by k desc) = 1""")
+def l_lifecycle(fb: DataFrame) -> DataFrame:
+    return n.lifecycle(fb)
+
+
+@query("l_suppressed", "asm fb", f"with recursive {FUSED}, su as (select distinct entity_id from fb where action = 'dismiss') select entity_id, members, entity_id in (select entity_id from su) as suppressed from inc")
+def l_suppressed(asm: DataFrame, fb: DataFrame) -> DataFrame:
+    return n.flagged(incidents(asm), n.suppression(fb)).select("entity_id", "members", "suppressed")
+
+
+@query("l_summary", "asm", f"with recursive {FUSED} select access_decision, confidence, count(*) as n, count_if(access_decision = 'revoke')::bigint as revoked from inc group by grouping sets ((access_decision), (confidence), ())")
+def l_summary(asm: DataFrame) -> DataFrame:
+    return n.summary(incidents(asm))
+
+
+@query("l_reasons_by_domain", "asm", f"with recursive {STRONG} select domain, count(*) as n, array_to_string(list_slice(list_sort(list(assessment_id)), 1, 5), ',') as examples from st group by domain")
+def l_reasons_by_domain(asm: DataFrame) -> DataFrame:
+    return n.exploded(incidents(asm)).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("assessment_id")), 1, 5), ",").alias("examples"))
+
+
+@query("l_signals", "asm", f"with recursive {STRONG} select entity_id, assessment_id, domain, score, event_time from st")
+def l_signals(asm: DataFrame) -> DataFrame:
+    return n.exploded(incidents(asm)).select("entity_id", "assessment_id", "domain", "score", "event_time")
+
+
+@query("l_histogram", "asm", "select b.bin::int as bin, count(a.bin) as n from range(10) b(bin) left join (select least(9, floor(score * 10)) as bin from asm) a on a.bin = b.bin group by 1")
+def l_histogram(asm: DataFrame) -> DataFrame:
+    return n.histogram(asm, "score")
+
+
+@query("l_domain_stats", "asm", f"with recursive {FUSED} select s.domain, count(*) as signals, count_if(inc.firing >= 2)::bigint as corroborated, round(avg(s.score), 6) as mean_score from st s join inc on s.entity_id = inc.entity_id and s.window_ = inc.window_ group by s.domain")
+def l_domain_stats(asm: DataFrame) -> DataFrame:
+    return n.domain_stats(n.exploded(incidents(asm)).withColumn("corroborated", F.col("firing") >= 2)).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query("l_provider_compare", "asm", "select domain as provider, count(*) as alerts, count(distinct entity_id) as entities, round(avg(score), 6) as mean_score, array_to_string(list_sort(list(distinct domain || '_v1')), ',') as sources from asm group by domain")
+def l_provider_compare(asm: DataFrame) -> DataFrame:
+    return n.provider_compare(asm.withColumns({"provider": F.col("domain"), "source": F.concat("domain", F.lit("_v1"))}))
+
+
+@query("upsert_preserve", "asm", "select a.assessment_id, coalesce(case when a.k % 3 = 0 then 'acknowledged' end, 'new') as status, case when a.k % 2 = 0 then 1.0 else a.score end as score from (select *, substr(assessment_id, 2)::bigint as k from asm) a where a.k % 3 = 0 or a.k % 2 = 0")
+def upsert_preserve(asm: DataFrame) -> DataFrame:
+    k = F.substring("assessment_id", 2, 20).cast("bigint")
+    current = asm.where(k % 3 == 0).select("assessment_id", F.lit("acknowledged").alias("status"), "score")
+    new = asm.where(k % 2 == 0).select("assessment_id", F.lit("new").alias("status"), F.lit(1.0).alias("score"))
+    return n.upsert(current, new, "assessment_id")
+
+
+@query("replace_entity", "asm", "select assessment_id, entity_id, score from asm where entity_id not like '%3' union all select assessment_id, entity_id, 0.0::double from asm where entity_id like '%3' and assessment_id like '%1'")
+def replace_entity(asm: DataFrame) -> DataFrame:
+    rows = asm.select("assessment_id", "entity_id", "score")
+    return n.replace_entities(rows, rows.where("entity_id like '%3' and assessment_id like '%1'").withColumn("score", F.lit(0.0)))
