@@ -5,9 +5,10 @@ similarity reaches the threshold share at least k of the first |x| - ceil(t |x|)
 their overlap. Each document takes the k with the least estimated cost (rows scanned and candidates verified), and a pair
 must share as many prefix shingles as the smaller k of the two before its sets are compared exactly.
 
-Equal sets are one node from the start. Pairs are first tried against a few leaders of each shingle's list; what these
+Equal sets are one node from the start. Nodes are first tried against a few leaders of each shingle's list; what these
 links join needs no pair of its own any more, and only pairs between different groups are left to the exact round. So a
-group of thousands of near copies costs a few pairs a member, and no link between different groups is lost.
+group of thousands of near copies costs a few pairs a member, and no link between different groups is lost. Lists of very
+frequent shingles are dealt out by node, so that no task gathers them whole.
 """
 
 from __future__ import annotations
@@ -20,21 +21,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import WordHasher, stored
+from riskweave.llm.common import WordHasher, mix, stored
 from riskweave.llm.components import components
 from riskweave.llm.shingles import WORDS, set_id, shingle_sets
 
 PERCENT = 80
 #: Rows of the table of frequent shingles at most (4 bytes and a 1-byte frequency each), whatever the corpus.
-FREQUENT = 1 << 21
+FREQUENT = 1 << 22
 #: A shingle in fewer documents than this is never frequent.
 RARE = 16
-#: Most prefix shingles that a pair may have to share, and the cost of a verification in rows scanned.
-MOST_MATCHES, VERIFY_COST = 16, 16
+#: Most prefix shingles that a pair may have to share, the cost of a verification in rows scanned, and what a shingle
+#: outside the table is taken to bring in rows.
+MOST_MATCHES, VERIFY_COST, FEW = 24, 400, 0.1
+#: Nodes that one part of a very frequent shingle's list should have, and bits of the filter that picks wanted sets.
+PART_NODES, WANTED_BITS = 1 << 16, 1 << 26
 #: Shingles that a task gathers before it hands them on, and shingles for each group of the counting shuffle.
 GATHER, PER_GROUP = 4_000_000, 1_000_000
-#: Leaders of each list in the first round.
+#: Leaders of each list in the first round: the node with the largest share of frequent shingles, then by hash.
 LEADERS = 3
+#: Sets with this many copies count once in frequencies, as far as COPIED of them go (16 bytes each).
+COPIES, COPIED = 4, 1 << 17
 
 
 def needed(n, percent: int = PERCENT):
@@ -54,13 +60,30 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(name, "doc_id long, n_shingles long, node long")
 
 
-def frequent(docs: DataFrame, text_col: str, words: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+class Representatives:
+    """Whether a row speaks for its set: not if the set is known to have many copies and another row is their first."""
+
+    def __init__(self, nodes: np.ndarray, firsts: np.ndarray):
+        order = np.argsort(nodes)
+        self.nodes, self.firsts = nodes[order], firsts[order]
+
+    def __call__(self, node: int, doc_id: int | None) -> bool:
+        at = int(np.searchsorted(self.nodes, node))
+        return at == len(self.nodes) or self.nodes[at] != node or self.firsts[at] == doc_id
+
+
+def representatives(named: DataFrame) -> Representatives:
+    many = named.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    rows = many.where((F.col("n") >= COPIES) & F.col("first").isNotNull()).orderBy(F.desc("n"), "node").limit(COPIED).select("node", "first").collect()
+    return Representatives(np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64))
+
+
+def frequent(docs: DataFrame, id_col: str, text_col: str, words: int, total: int, speak) -> tuple[np.ndarray, np.ndarray]:
     """The upper 32 bits of frequent shingles, ascending, and in how many documents each is.
 
     Counts cover every shingle of every document; only those over total / FREQUENT come to the driver.
     """
     groups = 1 << max(4, math.ceil(math.log2(max(1, total / PER_GROUP))))
-    least = max(RARE, -(-total // FREQUENT))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, n = WordHasher(), [], 0
@@ -73,7 +96,9 @@ def frequent(docs: DataFrame, text_col: str, words: int, total: int) -> tuple[np
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in parts], pa.int32()), pa.array([np.diff(p, prepend=p.dtype.type(0)).astype("<u4").tobytes() for _, p in parts], pa.binary())], names=["part", "steps"])
 
         for batch in batches:
-            for s in shingle_sets(batch.column(0), hasher, words):
+            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), hasher, words)):
+                if not len(s) or not speak.value(set_id(s), doc_id):
+                    continue
                 held.append(s >> np.uint64(32))
                 n += len(s)
                 if n >= GATHER:
@@ -86,35 +111,57 @@ def frequent(docs: DataFrame, text_col: str, words: int, total: int) -> tuple[np
         every = np.sort(np.concatenate([np.cumsum(np.frombuffer(x, "<u4"), dtype=np.uint64).astype("<u4") for x in batches.column("steps").to_pylist()]))
         starts = np.flatnonzero(np.diff(every, prepend=every[:1] ^ 1))
         n = np.diff(np.append(starts, len(every)))
-        return pa.table({"shingles": [every[starts[n >= least]].tobytes()], "counts": [n[n >= least].astype("<u4").tobytes()]}, schema=pa.schema([("shingles", pa.binary()), ("counts", pa.binary())]))
+        often = n >= RARE
+        return pa.table({"shingles": [every[starts[often]].tobytes()], "counts": [n[often].astype("<u4").tobytes()]}, schema=pa.schema([("shingles", pa.binary()), ("counts", pa.binary())]))
 
-    parts = docs.select(text_col).mapInArrow(gather, "part int, steps binary").groupBy("part").applyInArrow(tally, "shingles binary, counts binary").collect()
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in batch.column(0).to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array([np.bincount(np.log2(np.maximum(n, 1)).astype(np.int64), minlength=33).astype("<i8").tobytes()], pa.binary())], names=["sizes"])
+
+    tallied = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(gather, "part int, steps binary").groupBy("part").applyInArrow(tally, "shingles binary, counts binary"))
+    above = np.cumsum(sum((np.frombuffer(r["sizes"], "<i8") for r in tallied.select("counts").mapInArrow(sizes, "sizes binary").collect()), np.zeros(33, np.int64))[::-1])[::-1]
+    least = max(RARE, 1 << next((q for q in range(33) if above[q] <= FREQUENT), 32))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shingles, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = np.frombuffer(n, "<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(shingles, "<u4")[n >= least].tobytes()], pa.binary()), pa.array([n[n >= least].tobytes()], pa.binary())], names=["shingles", "counts"])
+
+    parts = tallied.mapInArrow(cut, "shingles binary, counts binary").collect()  # FREQUENT entries at most
     shingles = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r["shingles"], "<u4") for r in parts)])
     counts = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(r["counts"], "<u4") for r in parts)])
     order = np.argsort(shingles)
     return shingles[order], counts[order]
 
 
-def prefix(s: np.ndarray, shingles: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of a set under the global order, and how many of its shingles a partner must share."""
-    n = len(s)
-    base = n - needed(n, percent) + 1
-    most = min(MOST_MATCHES, needed(n, percent))
+def lookup(s: np.ndarray, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many documents have each shingle, 0 if it is not in the table."""
     upper = (s >> np.uint64(32)).astype(np.uint32)
+    if not len(shingles):
+        return np.zeros(len(s), np.uint32)
     at = np.searchsorted(shingles, upper)
     at[at == len(shingles)] = 0
-    often = np.where(shingles[at] == upper, counts[at], 0) if len(shingles) else np.zeros(n, np.uint32)
+    return np.where(shingles[at] == upper, counts[at], 0)
+
+
+def prefix(s: np.ndarray, shingles: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
+    """The prefix of a set under the global order, how many of its shingles a partner must share, and the set's share
+    of frequent shingles, in thousandths."""
+    n = len(s)
+    base = n - needed(n, percent) + 1
+    most = min(MOST_MATCHES, needed(n, percent))
+    often = lookup(s, shingles, counts)
     order = np.lexsort((s, often))[: base + most - 1] if often.any() else np.arange(min(n, base + most - 1))
-    scanned = np.cumsum(often[order], dtype=np.float64)
-    if not scanned[base - 1]:
-        return s[order[:base]], 1
+    scanned = np.cumsum(np.maximum(often[order], FEW))
     k = np.arange(1, most + 1)
     cost = scanned[base - 1 : base - 1 + most] * (1 + VERIFY_COST / k)
     best = int(np.argmin(cost)) + 1
-    return s[order[: base + best - 1]], best
+    return s[order[: base + best - 1]], best, 1000 * int(np.count_nonzero(often)) // n
 
 
-def prefix_lists(docs: DataFrame, text_col: str, words: int, percent: int, table: tuple[np.ndarray, np.ndarray], total: int) -> DataFrame:
+def prefix_lists(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, table: tuple[np.ndarray, np.ndarray], total: int, speak) -> DataFrame:
     """shingle, node, n, matches: prefix shingles that two nodes at least have, each with the nodes that have it."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
     groups = 1 << max(4, math.ceil(math.log2(max(1, total / 4 / PER_GROUP))))
@@ -127,8 +174,10 @@ def prefix_lists(docs: DataFrame, text_col: str, words: int, percent: int, table
             tokens = np.concatenate([p for p, _, _, _ in held])
             times = [len(p) for p, _, _, _ in held]
             nodes = np.repeat(np.array([x for _, x, _, _ in held], dtype=np.int64), times)
-            sizes = np.repeat(np.array([size | k << 56 for _, _, size, k in held], dtype=np.int64), times)
-            part = (tokens % np.uint64(groups)).astype(np.int64)
+            sizes = np.repeat(np.array([size for _, _, size, _ in held], dtype=np.int64), times)  # size, share, matches
+            # a list of very many nodes is dealt to several parts
+            salts = lookup(tokens, shingles, counts).astype(np.uint64) // np.uint64(PART_NODES) + np.uint64(1)
+            part = ((tokens + nodes.view(np.uint64) % salts) % np.uint64(groups)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(1, groups))
             cut = [[x.tobytes() for x in np.split(column[order], ends)] for column in (tokens, nodes, sizes)]
@@ -136,12 +185,12 @@ def prefix_lists(docs: DataFrame, text_col: str, words: int, percent: int, table
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([c[g] for g in some], pa.binary()) for c in cut)], names=["part", "tokens", "nodes", "sizes"])
 
         for batch in batches:
-            for s in shingle_sets(batch.column(0), hasher, words):
-                if not len(s) or (node := set_id(s)) in seen:  # equal sets are one node
+            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), hasher, words)):
+                if not len(s) or (node := set_id(s)) in seen or not speak.value(node, doc_id):  # equal sets are one node
                     continue
                 seen.add(node)
-                first, k = prefix(s, shingles, counts, percent)
-                held.append((first, node, len(s), k))
+                first, k, share = prefix(s, shingles, counts, percent)
+                held.append((first, node, len(s) | share << 40 | k << 56, k))
                 n += len(first)
                 if n >= GATHER // 2:
                     yield from flush()
@@ -158,24 +207,70 @@ def prefix_lists(docs: DataFrame, text_col: str, words: int, percent: int, table
         tokens, nodes, sizes = tokens[new], nodes[new], sizes[new]
         same = np.zeros(len(tokens) + 1, dtype=bool)
         same[1:-1] = tokens[1:] == tokens[:-1]
-        keep = same[1:] | same[:-1]
-        return pa.table({"shingle": tokens[keep].view(np.int64), "node": nodes[keep], "n": sizes[keep] & ((1 << 56) - 1), "matches": (sizes[keep] >> 56).astype(np.int32)})
-
-    packed = docs.select(text_col).mapInArrow(gather, "part int, tokens binary, nodes binary, sizes binary")
-    return packed.groupBy("part").applyInArrow(meet, "shingle long, node long, n long, matches int")
+        keep = same[1:] | same[:-1] | (lookup(tokens, shared.value[0], shared.value[1]) >= PART_NODES)
+        tokens, nodes, sizes = tokens[keep], nodes[keep], sizes[keep]
+        n, share, matches = sizes & ((1 << 40) - 1), (sizes >> 40 & 0xFFFF).astype(np.uint64), (sizes >> 56).astype(np.int32)
+        leads = {}
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(tokens)))
+        for i in range(LEADERS):  # the node with the least number leads; nodes of other sizes than could be similar have none
+            h = mix(nodes.view(np.uint64) ^ np.uint64(i + 1))
+            h = h if i else (np.uint64(1000) - share) << np.uint64(48) | h >> np.uint64(16)
+            lowest = np.repeat(np.minimum.reduceat(h, first), times) if len(first) else h
+            at = np.minimum.reduceat(np.where(h == lowest, np.arange(len(h)), len(h)), first) if len(first) else first
+            lead, size = np.repeat(nodes[at], times), np.repeat(n[at], times)
+            fit = (lead != nodes) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
+            leads[f"lead{i}"] = pa.array(lead, mask=~fit)
+        return pa.table({"shingle": tokens.view(np.int64), "node": nodes, "n": n, "matches": matches, **leads})
+
+    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(gather, "part int, tokens binary, nodes binary, sizes binary")
+    return packed.groupBy("part").applyInArrow(meet, "shingle long, node long, n long, matches int" + "".join(f", lead{i} long" for i in range(LEADERS)))
+
+
+def places(node: np.ndarray, doc_id: np.ndarray) -> list[np.ndarray]:
+    h = mix(node.view(np.uint64) ^ mix(doc_id.view(np.uint64)))
+    return [h % np.uint64(WANTED_BITS), (h >> np.uint64(32)) % np.uint64(WANTED_BITS)]
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """node and shingles (8 bytes each, ascending) of the wanted (doc_id, node)."""
+    """node and shingles (8 bytes each, ascending) of the wanted (node, doc_id), and of a few others.
+
+    A Bloom filter of fixed size tells wanted texts where they are read, so that other texts never travel.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(WANTED_BITS, dtype=bool)
+        for batch in batches:
+            for at in places(batch.column(0).to_numpy(), batch.column(1).to_numpy()):
+                bits[at] = True
+        at = np.flatnonzero(bits)
+        for k in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)] >> 16, pa.int32()), pa.array(at[k : k + (1 << 16)] & 0xFFFF, pa.int32())], names=["page", "bit"])
+
+    def page(key, rows):
+        bits = np.zeros(1 << 16, dtype=bool)
+        bits[rows.column("bit").to_numpy()] = True
+        return pa.table({"page": [key[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]}, schema=pa.schema([("page", pa.int32()), ("bits", pa.binary())]))
+
+    marked = wanted.select("node", "doc_id").mapInArrow(mark, "page int, bit int").dropDuplicates().groupBy("page").applyInArrow(page, "page int, bits binary")
+    bloom = np.zeros(WANTED_BITS // 8, dtype=np.uint8)
+    for r in marked.collect():  # WANTED_BITS in all
+        bloom[r["page"] << 13 : (r["page"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, bloom = WordHasher(), shared.value
         for batch in batches:
-            found = [(x, s.tobytes()) for x, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), hasher, words)) if len(s) and set_id(s) == x]
+            ids, found = batch.column(0).fill_null(0).to_numpy(), []
+            for k, s in enumerate(shingle_sets(batch.column(1), hasher, words)):
+                if len(s):
+                    node = set_id(s)
+                    if all(bloom[int(at[0]) >> 3] >> (int(at[0]) & 7) & 1 for at in places(np.array([node]), ids[k : k + 1])):
+                        found.append((node, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["node", "shingles"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.join(wanted, "doc_id").select("node", "text").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    return d.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -210,28 +305,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = stored(nodes_of(docs, id_col, text_col, words))
     nodes = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"))
     total = named.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    table = frequent(docs, text_col, words, total)
-    lists = stored(prefix_lists(docs, text_col, words, percent, table, total))
-    wanted = lists.select("node").distinct().join(nodes, "node").select("node", F.col("first").alias("doc_id"))
-    sets = stored(sets_of(docs, wanted, id_col, text_col, words))
+    speak = docs.sparkSession.sparkContext.broadcast(representatives(named))
+    table = frequent(docs, id_col, text_col, words, total, speak)
+    lists = stored(prefix_lists(docs, id_col, text_col, words, percent, table, total, speak))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Pairs that reach the threshold."""
+        pairs = stored(pairs)
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.coalesce("first", F.lit(0)).alias("doc_id"))
+        return stored(verified(pairs, sets_of(docs, wanted, id_col, text_col, words), percent))
 
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    leaders = lists.groupBy("shingle").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "n")).alias(f"l{i}") for i in range(LEADERS)])
-    leaders = leaders.select("shingle", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"l{i}.node").alias("a"), F.col(f"l{i}.n").alias("na")) for i in range(LEADERS)]))).alias("lead"))
-    stars = lists.join(leaders, "shingle").where((F.col("lead.a") != F.col("node")) & fits(F.col("n"), F.col("lead.na")))
-    stars = stars.select(F.least("lead.a", "node").alias("a"), F.greatest("lead.a", "node").alias("b")).distinct()
-    links = stored(verified(stars, sets, percent))
+    led = lists.select("node", "matches", F.explode(F.array_distinct(F.array(*[f"lead{i}" for i in range(LEADERS)]))).alias("lead")).where("lead is not null")
+    led = led.groupBy(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min("matches").alias("least"))
+    links = linked(led.where("2 * shared >= least").select("a", "b"))
     groups = components(links)
 
-    placed = stored(lists.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    placed = stored(lists.select("shingle", "node", "n", "matches").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
     open_lists = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
     rest = placed.join(open_lists, "shingle")
     x = rest.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ka"), F.col("component").alias("ca"))
     y = rest.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("kb"), F.col("component").alias("cb"))
     across = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")))
     across = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("ka", "kb")).alias("least")).where("shared >= least")
-    more = stored(verified(across, sets, percent))
-    merged = components(links.unionByName(more))
+    merged = components(links.unionByName(linked(across.select("a", "b"))))
 
     labelled = nodes.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = labelled.join(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("node", "component_id")
