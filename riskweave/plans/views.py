@@ -51,7 +51,7 @@ select 'U' || cast(c_custkey as string) as user_id, c_mktsegment as role, r_name
   timestamp '2024-01-01 00:00:00' + (c_custkey % 90) * interval '1' day as end_time
 from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
 _view("led", ("lineitem", "orders"), """
-select cast(row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as bigint) as row_id, cast(@DAYS(l_shipdate) as bigint) as step,
+select l_orderkey * 1000 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) as row_id, cast(@DAYS(l_shipdate) as bigint) as step,
   case l_linenumber % 5 when 0 then 'PAYMENT' when 1 then 'TRANSFER' when 2 then 'CASH_OUT' when 3 then 'CASH_IN' else 'DEBIT' end as type,
   l_extendedprice as amount, 'C' || cast(o_custkey as string) as nameOrig,
   case when l_suppkey % 4 = 0 then 'M' else 'C' end || cast(l_suppkey as string) as nameDest,

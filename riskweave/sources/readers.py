@@ -54,8 +54,8 @@ def lines(spark_path: tuple[SparkSession, str]) -> DataFrame:
 
 def entity_mapping(spark: SparkSession, path: str) -> DataFrame:
     """source, raw_id and entity_id of a mapping document whose account ids are a string or a list of strings."""
-    schema = "struct<entities: array<struct<entity: struct<entity_id: string>, source_ids: struct<cert: struct<user: string>, paysim: struct<nameOrig: string>>>>>"
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schema.removeprefix("struct<")[:-1], {"dropFieldIfAllNull": "false"}).alias("d"))
+    schema = "entities array<struct<entity: struct<entity_id: string>, source_ids: struct<cert: struct<user: string>, paysim: struct<nameOrig: string>>>>"
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"))
     e = doc.select(F.explode("d.entities").alias("e")).select(F.col("e.entity.entity_id").alias("entity_id"), F.col("e.source_ids.cert.user").alias("user"), F.col("e.source_ids.paysim.nameOrig").alias("accounts"))
     several = F.when(F.col("accounts").startswith("["), F.from_json("accounts", "array<string>")).otherwise(F.array("accounts"))
     both = F.concat(F.array(F.struct(F.lit("cert").alias("source"), F.col("user").alias("raw_id"))), F.transform(several, lambda a: F.struct(F.lit("paysim").alias("source"), a.alias("raw_id"))))

@@ -8,6 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskweave.functions import scalars as s
@@ -109,7 +110,7 @@ def ingest(stream: DataFrame, ledger: str, dead: str, checkpoint: str, each: Cal
 def _earlier(spark: SparkSession, ledger: str, number: int, like: DataFrame) -> DataFrame | None:
     if not number:
         return None
-    return spark.read.schema(like.schema.add("batch", "int")).parquet(ledger).where(F.col("batch") < number).drop("batch")
+    return spark.read.schema(like.schema.add("batch", T.IntegerType())).parquet(ledger).where(F.col("batch") < number).drop("batch")
 
 
 def buffered(stream: DataFrame, keep: int, folder: str, checkpoint: str, each: Callable[[DataFrame], None], order: str = "log_id"):
