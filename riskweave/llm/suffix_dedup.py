@@ -67,13 +67,18 @@ class Anchors:
         turn = np.flatnonzero(np.diff(row, append=-1) != 0)
         ends = np.union1d(change, turn)
         last = ends[np.searchsorted(ends, first)]
-        return row[first], h[place[first]], place[first], first, last
+        return row[first], mix(h[place[first]]), place[first], first, last  # mixed anew: least hashes are small ones
 
 
 def spread(h: np.ndarray, groups: int) -> np.ndarray:
     return (h >> np.uint64(64 - int(math.log2(groups)))).astype(np.int64) if groups > 1 else np.zeros(len(h), np.int64)
 
 
+def part_of(docs: np.ndarray, texts: np.ndarray, groups: int) -> np.ndarray:
+    """The part of each (document, text hash)."""
+    return spread(mix(texts ^ mix(docs.view(np.uint64))), groups)
+
+
 def bloom_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(h & ~np.uint64(0xFFFFFFFF) | h >> np.uint64(32))
     return h & np.uint64(bits - 1), (h >> np.uint64(32) ^ h << np.uint64(7)) & np.uint64(bits - 1)
@@ -115,20 +120,20 @@ def repeated_anchors(docs: DataFrame, total: int, length: int, anchor: int) -> t
     bits = min(FILTER_BITS, 1 << math.ceil(math.log2(max(1 << 16, BITS_EACH * n))))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        set_ = np.zeros(bits, dtype=bool)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                for at in bloom_places(np.frombuffer(x, "<u4").astype(np.uint64) << np.uint64(32), bits):
-                    set_[at] = True
-        packed = np.packbits(set_, bitorder="little")
-        for k in range(0, len(packed), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array([k >> 16], pa.int32()), pa.array([packed[k : k + (1 << 16)].tobytes()], pa.binary())], names=["page", "bits"])
+                at = np.unique(np.concatenate(bloom_places(np.frombuffer(x, "<u4").astype(np.uint64) << np.uint64(32), bits)))
+                page, first = np.unique(at >> np.uint64(19), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(page.astype(np.int32)), pa.array([p.astype("<u4").tobytes() for p in np.split(at & np.uint64((1 << 19) - 1), first[1:])] if len(at) else [], pa.binary())], names=["page", "places"])
 
     def either(key, rows):
-        return pa.table({"page": [key[0].as_py()], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows.column("bits").to_pylist()]).tobytes()]}, schema=pa.schema([("page", pa.int32()), ("bits", pa.binary())]))
+        page = np.zeros(min(bits, 1 << 19), dtype=bool)
+        for x in rows.column("places").to_pylist():
+            page[np.frombuffer(x, "<u4")] = True
+        return pa.table({"page": [key[0].as_py()], "bits": [np.packbits(page, bitorder="little").tobytes()]}, schema=pa.schema([("page", pa.int32()), ("bits", pa.binary())]))
 
     bloom = np.zeros(bits // 8, dtype=np.uint8)
-    marked = found.select("anchors").coalesce(8).mapInArrow(mark, "page int, bits binary").groupBy("page").applyInArrow(either, "page int, bits binary")
+    marked = found.select("anchors").mapInArrow(mark, "page int, places binary").groupBy("page").applyInArrow(either, "page int, bits binary")
     for r in marked.toLocalIterator():  # FILTER_BITS at most
         page = np.frombuffer(r["bits"], np.uint8)
         bloom[r["page"] << 16 : (r["page"] << 16) + len(page)] = page
@@ -229,7 +234,7 @@ SEGMENTS = "part int, anchors binary, docs binary, texts_of binary, starts binar
 
 
 def removals(docs: DataFrame, total: int, length: int, anchor: int) -> DataFrame:
-    """part, docs, texts_of, starts, ends, packed: byte ranges that each document (id and text hash) loses, dealt by text hash."""
+    """part, docs, texts_of, starts, ends, packed: byte ranges that each document (id and text hash) loses, dealt by document and text hash."""
     bloom, bits = repeated_anchors(docs, total, length, anchor)
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
     groups = 1 << max(3, math.ceil(math.log2(max(1, total / PER_GROUP))))
@@ -285,56 +290,57 @@ def removals(docs: DataFrame, total: int, length: int, anchor: int) -> DataFrame
         edge = np.append(edge, len(order))
         several = np.flatnonzero((np.diff(edge) > 1) & (doc[order[edge[:-1]]] != doc[order[edge[1:] - 1]]))
         blocks, places = [], []
-        least: list[np.ndarray | None] = []  # per distinct text of an anchor
-        uses: list[tuple[int, np.ndarray]] = []  # the distinct text's number and its occurrences
+        sizes, least, uses, times = [], [], [], []  # per distinct text of an anchor: its strings, their smallest document, occurrences
+        begins, stops, ats, ids = begin.tolist(), (begin + size).tolist(), at.tolist(), doc.tolist()
         for a, b in zip(edge[several].tolist(), edge[several + 1].tolist()):
             distinct: dict[tuple[bytes, int], list[int]] = {}
             for k in order[a:b].tolist():
-                distinct.setdefault((text[begin[k] : begin[k] + size[k]], int(at[k])), []).append(k)
-            base = len(uses)
-            for x, ks in distinct.items():
-                uses.append((len(uses), np.array(ks)))
-                least.append(None)
+                distinct.setdefault((text[begins[k] : stops[k]], ats[k]), []).append(k)
+            base = len(sizes)
+            for (x, _), ks in distinct.items():
+                sizes.append(len(x) - length + 1)
+                uses += ks
+                times.append(len(ks))
             if len(distinct) == 1:
-                (x, _), ks = next(iter(distinct.items()))
-                least[base] = np.full(len(x) - length + 1, doc[ks[0]])  # occurrences come by document
+                least.append(ids[uses[-times[-1]]])  # occurrences come by document
                 continue
+            least += [NONE] * len(distinct)
             pieces: list = []
-            split([x for x, _ in distinct], [int(doc[ks[0]]) for ks in distinct.values()], [p for _, p in distinct], anchor, length, [(base + i, 0) for i in range(len(distinct))], pieces)
+            split([x for x, _ in distinct], [ids[ks[0]] for ks in distinct.values()], [p for _, p in distinct], anchor, length, [(base + i, 0) for i in range(len(distinct))], pieces)
             for texts, ds, numbers in pieces:
                 blocks.append((texts, ds))
                 places.append(numbers)
-            for i, (x, _) in enumerate(distinct):
-                least[base + i] = np.full(len(x) - length + 1, NONE)
-        same = [i for i, (texts, _) in enumerate(blocks) if len(set(texts)) == 1]
-        for i in same:
-            texts, ds = blocks[i]
-            for x, (number, first) in zip(texts, places[i]):
-                n = len(x) - length + 1
-                least[number][first : first + n] = np.minimum(least[number][first : first + n], min(ds))
-        some = [i for i in range(len(blocks)) if i not in set(same)] if len(same) else list(range(len(blocks)))
+        if not sizes:
+            return pa.table(out, schema=schema)
+        sizes, times = np.array(sizes), np.array(times)
+        base = np.cumsum(sizes) - sizes
+        smallest = np.repeat(np.array(least, dtype=np.int64), sizes)
+        alike = [len(set(texts)) == 1 for texts, _ in blocks]
+        for (texts, ds), numbers, one in zip(blocks, places, alike):
+            if one:
+                n, d = len(texts[0]) - length + 1, min(ds)
+                for number, first in numbers:
+                    here = smallest[base[number] + first : base[number] + first + n]
+                    np.minimum(here, d, out=here)
+        some = [i for i, one in enumerate(alike) if not one]
         for i, solved in zip(some, blocks_solved([blocks[i] for i in some], length)):
             for found, (number, first) in zip(solved, places[i]):
-                least[number][first : first + len(found)] = np.minimum(least[number][first : first + len(found)], found)
-        doc_, of_, start_, end_ = [], [], [], []
-        for number, ks in uses:
-            lost = least[number][None, :] < doc[ks][:, None]
-            if not lost.any():
-                continue
-            # runs of lost strings, as byte ranges
-            edges = np.diff(np.pad(lost, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            r, a = np.nonzero(edges == 1)
-            _, b = np.nonzero(edges == -1)
-            k = ks[r]
-            doc_.append(doc[k])
-            of_.append(of[k])
-            start_.append(start[k] + a)
-            end_.append(start[k] + b - 1 + length)
-        if not doc_:
-            return pa.table(out, schema=schema)
-        doc, of, start, end = np.concatenate(doc_), np.concatenate(of_), np.concatenate(start_), np.concatenate(end_)
-        part = spread(of, groups)
-        order = np.lexsort((start, doc, of))
+                here = smallest[base[number] + first : base[number] + first + len(found)]
+                np.minimum(here, found, out=here)
+        # of every occurrence, runs of lost strings as byte ranges
+        k, of_text = np.array(uses), np.repeat(np.arange(len(sizes)), times)
+        strings = sizes[of_text]
+        at_row = np.cumsum(strings) - strings
+        lost = smallest[ragged(base[of_text], strings)] < np.repeat(doc[k], strings)
+        begins_row, ends_row = np.zeros(len(lost), dtype=bool), np.zeros(len(lost), dtype=bool)
+        begins_row[at_row], ends_row[at_row + strings - 1] = True, True
+        begins_row[1:] |= ~lost[:-1]
+        ends_row[:-1] |= ~lost[1:]
+        a, b = np.flatnonzero(lost & begins_row), np.flatnonzero(lost & ends_row)
+        r = np.searchsorted(at_row, a, side="right") - 1
+        doc, of, end, start = doc[k[r]], of[k[r]], start[k[r]] + b - at_row[r] + length, start[k[r]] + a - at_row[r]
+        part = part_of(doc, of, groups)
+        order = np.lexsort((start, doc, of, part))
         ends = np.searchsorted(part[order], np.arange(1, groups))
         for g, some in enumerate(np.split(order, ends)):
             if len(some):
@@ -364,7 +370,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = [xxhash.xxh3_64_intdigest(x or b"") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(spread(np.array(of, np.uint64), groups), pa.int32()), pa.array(np.array(of, np.uint64).view(np.int64)), batch.column(0), batch.column(1)], names=["part", "of", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(batch.column(0).fill_null(NONE).to_numpy(), np.array(of, np.uint64), groups), pa.int32()), pa.array(np.array(of, np.uint64).view(np.int64)), batch.column(0), batch.column(1)], names=["part", "of", "doc_id", "text"])
 
     def cut(key, rows, ranges):
         spans: dict[tuple[int, int], list[tuple[int, int]]] = {}

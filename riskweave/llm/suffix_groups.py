@@ -31,15 +31,23 @@ def suffix_arrays(t: np.ndarray) -> np.ndarray:
     size = np.zeros((rows, m), dtype=np.int32)
     np.add.at(size, (np.broadcast_to(wide, start.shape), start), 1)
     prev = np.full((rows, m), -1, dtype=np.int32)
+    # suffixes by group, and each one's place among them: a group is a range of places
+    member = order.astype(np.int32)
+    seat = np.empty((rows, m), dtype=np.int32)
+    seat[wide, member] = np.arange(m, dtype=np.int32)
+    going = np.zeros((rows, m), dtype=bool)
+    every = np.arange(rows)
 
     limit = np.full(rows, m, dtype=np.int32)
     while True:
-        current = np.where(group < limit[:, None], group, 0).max(1)
+        current = group[every, member[every, np.maximum(limit - 1, 0)]]
         open_ = current > 0  # group 0 holds the separators
         if not open_.any():
             break
-        r, i = np.nonzero((group == current[:, None]) & open_[:, None])
+        r = np.repeat(np.flatnonzero(open_), (limit - current)[open_])
         here = current[r]
+        first = np.cumsum((limit - current)[open_]) - (limit - current)[open_]
+        i = member[r, here + np.arange(len(r)) - np.repeat(first, (limit - current)[open_])]
         # nearest earlier suffix of a smaller group, along pointers; members of one group shorten each other's way
         prev[r, i] = i - 1
         left = np.arange(len(r))
@@ -70,6 +78,16 @@ def suffix_arrays(t: np.ndarray) -> np.ndarray:
             end = np.repeat(ends, np.diff(np.append(firsts, n)))
             subs = np.flatnonzero(sub)
             moved = g[subs] + size[r[subs], g[subs]] - (end[subs] - subs)
+            # the last places of each group are for those that move; who sits there takes the places they leave
+            last = g + size[r, g]
+            to = last - end + np.arange(n)
+            sat, was = member[r, to], seat[r, j]
+            going[r, j] = True
+            stays, leaves = ~going[r, sat], was < last - (end - np.repeat(firsts, ends - firsts))
+            going[r, j] = False
+            member[r[leaves], was[leaves]] = sat[stays]
+            seat[r[stays], sat[stays]] = was[leaves]
+            member[r, to], seat[r, j] = j, to
             size[r[firsts], g[firsts]] -= (ends - firsts).astype(np.int32)
             lengths = np.diff(np.append(subs, n))
             size[r[subs], moved] = lengths
@@ -82,7 +100,6 @@ def suffix_arrays(t: np.ndarray) -> np.ndarray:
     zeros = placed.sum(1)
     places = np.where(np.arange(m) < zeros[:, None], order, 0)
     suffixes[:] = places
-    every = np.arange(rows)
     for k in range(m):
         r, j = every, suffixes[:, k] - 1
         while True:
