@@ -2,8 +2,9 @@
 
 Shingles are ordered by frequency: those outside a bounded table of frequent shingles first. Two sets whose Jaccard
 similarity reaches the threshold share at least k of the first |x| - ceil(t |x|) + k shingles of each, for any k up to
-their overlap. Each document takes the k with the least estimated cost (rows scanned and candidates verified), and a pair
-must share as many prefix shingles as the smaller k of the two before its sets are compared exactly.
+their overlap. Each document takes the k with the least estimated cost (rows scanned and candidates verified). A pair must
+share as many prefix shingles as its sizes ask for, given what can lie beyond the prefixes, before its sets are compared
+exactly: the smaller k of the two at least, and more the closer the sizes are.
 
 Equal sets are one node from the start. Nodes are first tried against a few leaders of each shingle's list; what these
 links join needs no pair of its own any more, and only pairs between different groups are left to the exact round. So a
@@ -162,7 +163,8 @@ def prefix(s: np.ndarray, shingles: np.ndarray, counts: np.ndarray, percent: int
 
 
 def prefix_lists(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, table: tuple[np.ndarray, np.ndarray], total: int, speak) -> DataFrame:
-    """shingle, node, n, matches: prefix shingles that two nodes at least have, each with the nodes that have it."""
+    """shingle, node, n, matches, place: prefix shingles that two nodes at least have, each with the nodes that have it and
+    its place in their order."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
     groups = 1 << max(4, math.ceil(math.log2(max(1, total / 4 / PER_GROUP))))
 
@@ -175,14 +177,15 @@ def prefix_lists(docs: DataFrame, id_col: str, text_col: str, words: int, percen
             times = [len(p) for p, _, _, _ in held]
             nodes = np.repeat(np.array([x for _, x, _, _ in held], dtype=np.int64), times)
             sizes = np.repeat(np.array([size for _, _, size, _ in held], dtype=np.int64), times)  # size, share, matches
+            seats = np.concatenate([np.arange(n, dtype="<u4") for n in times])
             # a list of very many nodes is dealt to several parts
             salts = lookup(tokens, shingles, counts).astype(np.uint64) // np.uint64(PART_NODES) + np.uint64(1)
             part = ((tokens + nodes.view(np.uint64) % salts) % np.uint64(groups)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(1, groups))
-            cut = [[x.tobytes() for x in np.split(column[order], ends)] for column in (tokens, nodes, sizes)]
+            cut = [[x.tobytes() for x in np.split(column[order], ends)] for column in (tokens, nodes, sizes, seats)]
             some = [g for g in range(groups) if cut[0][g]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([c[g] for g in some], pa.binary()) for c in cut)], names=["part", "tokens", "nodes", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([c[g] for g in some], pa.binary()) for c in cut)], names=["part", "tokens", "nodes", "sizes", "seats"])
 
         for batch in batches:
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), hasher, words)):
@@ -199,16 +202,16 @@ def prefix_lists(docs: DataFrame, id_col: str, text_col: str, words: int, percen
             yield from flush()
 
     def meet(key, batches):
-        tokens, nodes, sizes = (np.concatenate([np.frombuffer(x, t) for x in batches.column(c).to_pylist()]) for c, t in (("tokens", np.uint64), ("nodes", np.int64), ("sizes", np.int64)))
+        tokens, nodes, sizes, seats = (np.concatenate([np.frombuffer(x, t) for x in batches.column(c).to_pylist()]) for c, t in (("tokens", np.uint64), ("nodes", np.int64), ("sizes", np.int64), ("seats", "<u4")))
         order = np.lexsort((nodes, tokens))
-        tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
+        tokens, nodes, sizes, seats = tokens[order], nodes[order], sizes[order], seats[order]
         new = np.ones(len(tokens), dtype=bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
-        tokens, nodes, sizes = tokens[new], nodes[new], sizes[new]
+        tokens, nodes, sizes, seats = tokens[new], nodes[new], sizes[new], seats[new]
         same = np.zeros(len(tokens) + 1, dtype=bool)
         same[1:-1] = tokens[1:] == tokens[:-1]
         keep = same[1:] | same[:-1] | (lookup(tokens, shared.value[0], shared.value[1]) >= PART_NODES)
-        tokens, nodes, sizes = tokens[keep], nodes[keep], sizes[keep]
+        tokens, nodes, sizes, seats = tokens[keep], nodes[keep], sizes[keep], seats[keep]
         n, share, matches = sizes & ((1 << 40) - 1), (sizes >> 40 & 0xFFFF).astype(np.uint64), (sizes >> 56).astype(np.int32)
         leads = {}
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
@@ -221,10 +224,10 @@ def prefix_lists(docs: DataFrame, id_col: str, text_col: str, words: int, percen
             lead, size = np.repeat(nodes[at], times), np.repeat(n[at], times)
             fit = (lead != nodes) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size))
             leads[f"lead{i}"] = pa.array(lead, mask=~fit)
-        return pa.table({"shingle": tokens.view(np.int64), "node": nodes, "n": n, "matches": matches, **leads})
+        return pa.table({"shingle": tokens.view(np.int64), "node": nodes, "n": n, "matches": matches, "place": seats.astype(np.int32), **leads})
 
-    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(gather, "part int, tokens binary, nodes binary, sizes binary")
-    return packed.groupBy("part").applyInArrow(meet, "shingle long, node long, n long, matches int" + "".join(f", lead{i} long" for i in range(LEADERS)))
+    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(gather, "part int, tokens binary, nodes binary, sizes binary, seats binary")
+    return packed.groupBy("part").applyInArrow(meet, "shingle long, node long, n long, matches int, place int" + "".join(f", lead{i} long" for i in range(LEADERS)))
 
 
 def places(node: np.ndarray, doc_id: np.ndarray) -> list[np.ndarray]:
@@ -315,25 +318,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.coalesce("first", F.lit(0)).alias("doc_id"))
         return stored(verified(pairs, sets_of(docs, wanted, id_col, text_col, words), percent))
 
-    fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     led = lists.select("node", "matches", F.explode(F.array_distinct(F.array(*[f"lead{i}" for i in range(LEADERS)]))).alias("lead")).where("lead is not null")
     led = led.groupBy(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min("matches").alias("least"))
     links = linked(led.where("2 * shared >= least").select("a", "b"))
     groups = components(links)
 
-    placed = stored(lists.select("shingle", "node", "n", "matches").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    placed = stored(lists.select("shingle", "node", "n", "matches", "place").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
     open_lists = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
-    rest = placed.join(open_lists, "shingle")
-    x = rest.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ka"), F.col("component").alias("ca"))
-    y = rest.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("kb"), F.col("component").alias("cb"))
-    across = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")))
-    across = across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("ka", "kb")).alias("least")).where("shared >= least")
+    # the first shingle that two sets share has enough of either set after it to reach the overlap that their sizes ask for
+    early = placed.where(F.col("place") * 100 <= F.col("n") * (100 - percent)).join(open_lists, "shingle")
+    x = early.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), (F.col("n") - F.col("place")).alias("ra"), F.col("component").alias("ca"))
+    y = early.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), (F.col("n") - F.col("place")).alias("rb"), F.col("component").alias("cb"))
+    met = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent))
+    met = stored(met.select("a", "b").distinct())
+    # of the set whose prefix ends first, what the prefixes don't show lies beyond its prefix: needed(n) - matches at most
+    sides = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
+    whole = placed.join(sides, "node", "left_semi").groupBy("node").agg(F.collect_list("shingle").alias("prefix"), F.first("n").alias("n"), F.first(F.expr(f"(n * {percent} + 99) div 100") - F.col("matches")).alias("beyond"))
+    whole = stored(whole)
+    p, q = (whole.select(*[F.col(c).alias(f"{c}_{k}") for c in whole.columns]) for k in "ab")
+    across = met.join(p, met["a"] == p["node_a"]).join(q, met["b"] == q["node_b"])
+    across = across.where((F.size(F.array_intersect("prefix_a", "prefix_b")) + F.greatest("beyond_a", "beyond_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
     merged = components(links.unionByName(linked(across.select("a", "b"))))
 
     labelled = nodes.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = labelled.join(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("node", "component_id")
-    whole = named.join(labelled, "node", "left")
-    return whole.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    every = named.join(labelled, "node", "left")
+    return every.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
