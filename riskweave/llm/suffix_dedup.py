@@ -44,7 +44,7 @@ class Anchors:
         """
         n, k, w = len(data), self.anchor, self.length - self.anchor + 1
         if n < self.length:
-            return tuple(np.zeros(0, np.int64) for _ in range(5))
+            return tuple(np.zeros(0, np.uint64 if c == 1 else np.int64) for c in range(5))
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_BYTE[data] * self.up.upto(n), out=total[1:])
         h = mix((total[k:] - total[:-k]) * self.down.upto(n)[: n - k + 1])
