@@ -71,7 +71,8 @@ def test_near(docs):
 def test_repeats(docs):
     found = {r["doc_id"]: r for r in without_repeats(docs).collect()}
     assert (found[3]["n_bytes"], found[3]["n_removed"]) == (0, 0) and found[6]["n_removed"] == plain.without_repeats([(6, LONG)])[6][1]
-    assert found[7]["n_removed"] == len(LONG) and found[7]["n_spans"] == 1 and found[7]["kept_sha256"] == hashlib.sha256(b" more").hexdigest()
+    # LONG repeats itself, so its last words with a space after them are in it too
+    assert found[7]["n_removed"] == len(LONG) + 1 and found[7]["n_spans"] == 1 and found[7]["kept_sha256"] == hashlib.sha256(b"more").hexdigest()
 
 
 def test_lm(docs):
