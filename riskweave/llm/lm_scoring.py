@@ -2,8 +2,10 @@
 
 Counts of words and word pairs of every training text are merged by hash range. A pair or word with count c enters the
 filter once for each level 1..1+floor(log_b c); the filter is broadcast, and a count is read back by probing levels until
-one is absent. A text's probability interpolates pair and word probabilities from such probes. The exact base score takes
-frequent words from a bounded broadcast and all others from a join by hash range.
+one is absent. A text's probability interpolates pair and word probabilities from such probes. Where not all entries fit
+the broadcast, it holds the words and pairs of the highest levels; tokens it cannot decide travel to the stored counts by
+hash range, so that every word and pair counts at any size. The exact base score takes frequent words from a bounded
+broadcast and all others from a join by hash range.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.common import WordHasher, byte_column, crc_mod, mix, steps, stored
 
-#: Bits of the filter at most, bits for each entry, hash functions, ratio of counts between levels.
+#: Bits of the broadcast filter at most (what does not fit is looked up in the stored counts), bits for each entry, hash functions, ratio of counts between levels.
 FILTER_BITS, ENTRY_BITS, PROBES, LEVEL = 1 << 29, 12, 3, 1.5
 #: Weight of the pair model against the word model.
 PAIR_WEIGHT = 0.25
@@ -27,8 +29,8 @@ PAIR_WEIGHT = 0.25
 FREQUENT_COUNT, FREQUENT_WORDS = 8, 1 << 20
 #: Tokens that a task gathers before it hands counts on, and tokens for each group of the merging shuffle.
 GATHER, PER_GROUP = 3_000_000, 1_000_000
-#: Pairs that occur once in all training texts are no evidence beyond their words.
-LEAST_PAIR = 2
+#: Level of a word or pair that the filter cannot decide, and the bytes of one such token: key, word, before, pair, levels.
+OPEN, RECORD = 255, 35
 
 END = np.uint64(0x51ED270B7A4E1F35)
 
@@ -64,7 +66,7 @@ def tallied(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nd
 
 
 def counts_table(training: DataFrame, groups: int) -> DataFrame:
-    """part, words, word_counts, pairs, pair_counts: exact counts by hash range, packed; pairs from LEAST_PAIR on."""
+    """part, words, word_counts, pairs, pair_counts: exact counts by hash range, packed."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, n = WordHasher(), [], 0
@@ -97,8 +99,7 @@ def counts_table(training: DataFrame, groups: int) -> DataFrame:
             once = [np.frombuffer(r["once"], "<u8") for r in of]
             more, counts = [np.frombuffer(r["more"], "<u8") for r in of], [np.frombuffer(r["counts"], "<i8") for r in of]
             hashes, n = tallied(np.concatenate([np.zeros(0, "<u8"), *once, *more]), np.concatenate([np.zeros(0, "<i8"), *(np.ones(len(x), "<i8") for x in once), *counts]))
-            keep = n >= (LEAST_PAIR if kind else 1)
-            out[f"{name}s"], out[f"{name}_counts"] = [hashes[keep].tobytes()], [n[keep].astype("<i8").tobytes()]
+            out[f"{name}s"], out[f"{name}_counts"] = [hashes.tobytes()], [n.astype("<i8").tobytes()]
         return pa.table(out, schema=pa.schema([("part", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())]))
 
     gathered = training.mapInArrow(gather, "part int, kind int, once binary, more binary, counts binary")
@@ -150,14 +151,105 @@ class LogBloom:
             found[left] = level
         return found
 
-    def count(self, hashes: np.ndarray) -> np.ndarray:
-        """Expected counts, looked up once for each distinct hash."""
+    def levels_from(self, hashes: np.ndarray, least: int) -> np.ndarray:
+        """Levels, looked up once for each distinct hash; OPEN where only entries from level `least` on are here."""
         distinct, back = np.unique(hashes, return_inverse=True)
-        return EXPECTED[self.level(distinct)][back]
+        found = self.level(distinct)
+        return np.where(found < least, 0 if least == 1 else OPEN, found)[back].astype(np.uint8)
 
 
-def train(training: DataFrame, total: int) -> tuple[DataFrame, LogBloom, tuple[np.ndarray, np.ndarray], int, int]:
-    """The stored counts, the filter, the frequent words with counts, the number of tokens and of distinct ones."""
+def log_probability(word: np.ndarray, before: np.ndarray, pair: np.ndarray, floor: float) -> np.ndarray:
+    """log10 of the interpolated probability, from levels."""
+    word, before, pair = EXPECTED[word], EXPECTED[before], EXPECTED[pair]
+    return np.log10(PAIR_WEIGHT * np.minimum(pair, before) / np.maximum(before, 1.0) + (1 - PAIR_WEIGHT) * (word + 0.5) / floor)
+
+
+def settled(word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> None:
+    """A pair with an unseen word is unseen, in place; without the pair the word before it does not matter."""
+    pair[(word == 0) | (before == 0)] = 0
+    before[(before == OPEN) & (pair == 0)] = 0
+
+
+def packed(fields: list[np.ndarray], of: slice | np.ndarray) -> bytes:
+    return b"".join(x[of].tobytes() for x in fields)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """key, word, before, pair and their three levels of the tokens in `data`."""
+    n = len(data) // RECORD
+    return [np.frombuffer(data, t, n, at * n).copy() for t, at in (("<i8", 0), ("<u8", 8), ("<u8", 16), ("<u8", 24), ("u1", 32), ("u1", 33), ("u1", 34))]
+
+
+def dispatched(fields: list[np.ndarray], groups: int, floor: float) -> pa.RecordBatch:
+    """Tokens by what they lack first (stage 0 word, 1 word before, 2 pair) and its hash range; sums by key of those that lack nothing (stage 3)."""
+    key, hashes, at = fields[0], fields[1:4], fields[4:]
+    stage = np.select([x == OPEN for x in at], [0, 1, 2], 3)
+    out = []
+    for s in range(3):
+        of = np.flatnonzero(stage == s)
+        part = parts_of(hashes[s][of], groups)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(1, groups))
+        out += [(s, g, packed(fields, x)) for g, x in enumerate(np.split(of[order], ends)) if len(x)]
+    done = stage == 3
+    if done.any():
+        distinct, back = np.unique(key[done], return_inverse=True)
+        p = np.bincount(back, weights=log_probability(*(x[done] for x in at), floor))
+        out.append((3, 0, distinct.tobytes() + p.tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out) if out else [[]] * 3, (pa.int32(), pa.int32(), pa.binary()))], names=["stage", "part", "data"])
+
+
+def open_scores(scored: DataFrame, table: DataFrame, groups: int, floor: float, words_too: bool) -> DataFrame:
+    """key and the summed log10 probability of the tokens that the filter left open, from the stored counts."""
+    schema = "stage int, part int, data binary"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, x) for k, x in zip(*(c.to_pylist() for c in batch.columns))]
+            if rows:
+                n = [len(x) // (RECORD - 8) for _, x in rows]
+                each = [unpacked(np.full(m, k, "<i8").tobytes() + x) for (k, x), m in zip(rows, n)]
+                yield dispatched([np.concatenate(x) for x in zip(*each)], groups, floor)
+
+    def visit(stage: int):
+        name = "pair" if stage == 2 else "word"
+
+        def look_up(key, rows, known):
+            held = [unpacked(x) for x in rows.column("data").to_pylist()]
+            if not held:
+                return pa.Table.from_batches([dispatched(unpacked(b""), groups, floor)])
+            fields = [np.concatenate(x) for x in zip(*held)]
+            hashes = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in known.column("hashes").to_pylist())])
+            counts = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(x, "<i8") for x in known.column("counts").to_pylist())])
+            found = np.zeros(len(fields[0]), np.uint8)
+            if len(hashes):
+                at = np.searchsorted(hashes, fields[1 + stage])
+                at[at == len(hashes)] = 0
+                found = np.where(hashes[at] == fields[1 + stage], levels(counts)[at], 0).astype(np.uint8)
+            fields[4 + stage] = found
+            settled(*fields[4:])
+            return pa.Table.from_batches([dispatched(fields, groups, floor)])
+
+        return look_up, table.select("part", F.col(f"{name}s").alias("hashes"), F.col(f"{name}_counts").alias("counts"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [(x[: len(x) // 2], x[len(x) // 2 :]) for x in batch.column(0).to_pylist()]
+            keys, p = b"".join(a for a, _ in both), b"".join(b for _, b in both)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), pa.array(np.frombuffer(p, "<f8"))], names=["key", "p"])
+
+    rows = scored.where("open is not null").select("key", "open").mapInArrow(deal, schema)
+    for stage in (0, 1, 2) if words_too else (2,):
+        rows = stored(rows) if words_too else rows
+        look_up, known = visit(stage)
+        mine = rows.where(F.col("stage") == stage).groupBy("part").cogroup(known.groupBy("part")).applyInArrow(look_up, schema)
+        # without open words every token waits for its pair
+        rows = rows.where(F.col("stage") > stage).unionByName(mine) if words_too else mine
+    return rows.select("data").mapInArrow(sums, "key long, p double").groupBy("key").agg(F.sum("p").alias("rest_score"))
+
+
+def train(training: DataFrame, total: int) -> tuple[DataFrame, LogBloom, tuple[int, int], tuple[np.ndarray, np.ndarray], int, int]:
+    """The stored counts, the filter, the least levels of words and pairs in it, the frequent words with counts, the number of tokens and of distinct ones."""
     groups = 1 << max(0, math.ceil(math.log2(max(1, total / PER_GROUP))))
     table = stored(counts_table(training, groups))
 
@@ -171,10 +263,11 @@ def train(training: DataFrame, total: int) -> tuple[DataFrame, LogBloom, tuple[n
     sums = table.select("word_counts", "pair_counts").mapInArrow(histogram, "tokens long, words long, levels binary").collect()  # one short row a hash range
     tokens, distinct = sum(r["tokens"] for r in sums), sum(r["words"] for r in sums)
     by_level = sum((np.frombuffer(r["levels"], "<i8").reshape(2, -1) for r in sums), np.zeros((2, len(EXPECTED)), np.int64))
-    entries = np.cumsum((by_level.sum(0) * np.arange(len(EXPECTED)))[::-1])[::-1]
-    # the lowest level whose entries, with all above, fit: 1, that is everything, until the filter is at its largest
-    least = next((q for q in range(1, len(EXPECTED)) if entries[q] * ENTRY_BITS <= FILTER_BITS), 1)
-    bits = min(FILTER_BITS, 1 << math.ceil(math.log2(max(64, ENTRY_BITS * int(entries[least])))))
+    entries = np.cumsum((by_level * np.arange(len(EXPECTED)))[:, ::-1], axis=1)[:, ::-1]
+    # the lowest levels whose entries, with all above, fit: 1, that is everything, until the filter is at its largest; words go first
+    least_word = next(q for q in range(1, len(EXPECTED)) if entries[0, q] * ENTRY_BITS <= FILTER_BITS)
+    least_pair = next(q for q in range(least_word, len(EXPECTED)) if (entries[0, least_word] + entries[1, q]) * ENTRY_BITS <= FILTER_BITS)
+    bits = min(FILTER_BITS, 1 << math.ceil(math.log2(max(64, ENTRY_BITS * int(entries[0, least_word] + entries[1, least_pair])))))
     segment = max(64, bits // groups)
     above = np.cumsum(by_level[0][::-1])[::-1]
     frequent_level = next(q for q in range(int(levels(np.array([FREQUENT_COUNT]))[0]), len(EXPECTED)) if above[q] <= FREQUENT_WORDS)
@@ -186,7 +279,7 @@ def train(training: DataFrame, total: int) -> tuple[DataFrame, LogBloom, tuple[n
                 pairs, pair_counts = np.frombuffer(r["pairs"], "<u8"), np.frombuffer(r["pair_counts"], "<i8")
                 often = levels(counts) >= frequent_level if len(counts) else np.zeros(0, bool)
                 hashes, n = np.concatenate([words, pairs]), np.concatenate([counts, pair_counts])
-                enter = levels(n) >= least if len(n) else np.zeros(0, bool)
+                enter = levels(n) >= np.repeat([least_word, least_pair], [len(words), len(pairs)]) if len(n) else np.zeros(0, bool)
                 yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int32()), *(pa.array([x], pa.binary()) for x in (LogBloom.build(hashes[enter], n[enter], segment), words[often].tobytes(), counts[often].tobytes()))], names=["part", "bits", "words", "counts"])
 
     bloom = np.zeros(groups * segment // 8, dtype=np.uint8)
@@ -197,7 +290,7 @@ def train(training: DataFrame, total: int) -> tuple[DataFrame, LogBloom, tuple[n
         counts.append(np.frombuffer(r["counts"], "<i8"))
     words, counts = np.concatenate(words), np.concatenate(counts)
     order = np.argsort(words)
-    return table, LogBloom(groups, segment, bloom), (words[order], counts[order]), tokens, distinct
+    return table, LogBloom(groups, segment, bloom), (least_word, least_pair), (words[order], counts[order]), tokens, distinct
 
 
 def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,7 +304,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str =
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = crc_mod(F.col("doc_id"), folds) == held_out
     total = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
-    table, bloom, frequent, n_tokens, n_words = train(d.where(~held).select("text"), total)
+    table, bloom, (least_word, least_pair), frequent, n_tokens, n_words = train(d.where(~held).select("text"), total)
     floor = n_tokens + 0.5 * (n_words + 1)
     groups = bloom.groups
     model = docs.sparkSession.sparkContext.broadcast((bloom.segment, bloom.bits, frequent))
@@ -230,21 +323,28 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str =
                 known = words[place] == tokens if len(words) else np.zeros(len(tokens), bool)
                 c = np.where(known, counts[place], 0) if len(words) else np.zeros(len(tokens))
                 base = np.where(known, np.log10((c + 0.5) / floor), 0.0)
-                word = filter_.count(tokens)
-                before = np.concatenate([[0.0], word[:-1]])
-                before[at[:-1]] = filter_.count(np.array([END]))[0]
-                pair = filter_.count(pairs_of(tokens, at))
-                p = np.log10(PAIR_WEIGHT * np.minimum(pair, before) / np.maximum(before, 1.0) + (1 - PAIR_WEIGHT) * (word + 0.5) / floor)
+                previous = np.concatenate([[END], tokens[:-1]]).astype(np.uint64)
+                previous[at[:-1]] = END
+                pairs = pairs_of(tokens, at)
+                word = filter_.levels_from(tokens, least_word)
+                before = np.concatenate([word[:1], word[:-1]])
+                before[at[:-1]] = filter_.levels_from(np.array([END]), least_word)[0]
+                pair = filter_.levels_from(pairs, least_pair)
+                pair[(word == OPEN) | (before == OPEN)] = OPEN
+                settled(word, before, pair)
+                waits = (word == OPEN) | (before == OPEN) | (pair == OPEN)
+                p = np.where(waits, 0.0, log_probability(*(np.where(waits, 0, x) for x in (word, before, pair)), floor))
+                asked = [np.where(x == OPEN, h, np.uint64(0)) for x, h in ((word, tokens), (before, previous), (pair, pairs))]
                 for k in range(j - i):
                     a, b = at[k], at[k + 1]
                     rare = tokens[a:b][~known[a:b]]
                     text = part[bounds[i + k] - bounds[i] : bounds[i + k + 1] - bounds[i]]
                     key = xxhash.xxh3_64_intdigest(b"%s:" % str(ids[i + k]).encode() + text.tobytes())
-                    found.append((ids[i + k], key - (1 << 63), int(b - a), int(known[a:b].sum()), float(base[a:b].sum()), float(p[a:b].sum()), rare.tobytes() if len(rare) else None))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found) if found else [[]] * 7, types)], names=["doc_id", "key", "n_tokens", "known", "base", "score", "rare"])
+                    found.append((ids[i + k], key - (1 << 63), int(b - a), int(known[a:b].sum()), float(base[a:b].sum()), float(p[a:b].sum()), rare.tobytes() if len(rare) else None, packed([*asked, word, before, pair], a + np.flatnonzero(waits[a:b])) or None))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found) if found else [[]] * 8, types)], names=["doc_id", "key", "n_tokens", "known", "base", "score", "rare", "open"])
 
-    scored = stored(d.mapInArrow(score, "doc_id long, key long, n_tokens long, known long, base double, score double, rare binary"))
+    scored = stored(d.mapInArrow(score, "doc_id long, key long, n_tokens long, known long, base double, score double, rare binary, open binary"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,5 +377,8 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str =
     # rows that repeat id and text have one key and sent their words each
     rest = rest.join(scored.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key")
     whole = scored.join(rest, "key", "left")
+    if least_pair > 1:
+        opened = open_scores(scored, table, groups, floor, least_word > 1)
+        whole = whole.join(opened.join(scored.groupBy("key").agg(F.count(F.lit(1)).alias("open_rows")), "key"), "key", "left").withColumn("score", F.col("score") + F.coalesce(F.col("rest_score") / F.col("open_rows"), F.lit(0.0)))
     share = lambda c: F.coalesce(F.col(c) / F.col("rows"), F.lit(0.0))
     return whole.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held_out).alias("held_out"), "n_tokens", (F.col("known") + F.round(share("rest_known"))).cast("long").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("base") + share("rest_base")).alias("base_score"), "score")

@@ -127,3 +127,28 @@ def test_pipeline_stages(spark):
     assert sorted(ids(inputs["mixing"])) == sorted(i for i, (_, c) in near.items() if i == c)
     assert set(ids(inputs["packing"])) <= set(ids(inputs["mixing"]))
     assert sum(r["piece"] == 0 for r in docs.collect()) == inputs["packing"].count()
+
+
+@pytest.mark.parametrize("bits", [1 << 12, 1 << 19])  # neither words nor pairs fit the filter; words do
+def test_lm_keeps_every_word_and_pair(spark, monkeypatch, bits):
+    from riskweave.llm import lm_scoring as lm
+
+    docs = texts(spark, SMALL)
+    split = {i: [*plain.words(t), None] for i, t in docs}
+    words, pairs = {}, {}
+    for i, ws in split.items():
+        if plain.crc_mod(i, 5) != 1:
+            for a, b in zip([None, *ws], ws):
+                words[b], pairs[a, b] = words.get(b, 0) + 1, pairs.get((a, b), 0) + 1
+    near = lambda c: lm.EXPECTED[int(lm.levels(np.array([c]))[0])] if c else 0.0
+    floor = sum(words.values()) + 0.5 * (len(words) + 1)
+    monkeypatch.setattr(lm, "FILTER_BITS", bits)
+    found = {r["doc_id"]: r["score"] for r in q.op9_lm_scoring(spark, SMALL).collect()}
+    assert set(found) == set(split)
+    for i, ws in split.items():
+        want = 0.0
+        for a, b in zip([None, *ws], ws):
+            w, v, p = near(words.get(b)), near(words.get(a)), near(pairs.get((a, b)))
+            want += math.log10(lm.PAIR_WEIGHT * min(p, v) / max(v, 1.0) + (1 - lm.PAIR_WEIGHT) * (w + 0.5) / floor)
+        # the filter's false hits are all that may differ
+        assert abs(found[i] - want) <= 0.02 * abs(want)
