@@ -195,3 +195,9 @@ def test_iforest_finds_the_outlier(spark):
     rows = spark.createDataFrame([(str(k), float(k % 7), float(k % 5)) for k in range(300)] + [("out", 100.0, -90.0)], "key string, a double, b double")
     scored = m.anomaly_scores(rows, ["a", "b"], m.isolation_forest(rows, ["a", "b"], "key", trees=20))
     assert scored.orderBy(F.desc("anomaly")).first()["key"] == "out"
+
+
+def test_conflicts_over_the_whole_ledger(spark):
+    from riskweave.plans import registry
+
+    assert registry.queries()["xwalk_conflicts_all"](spark, "/root/testdata/sf0.001").count() > 0
