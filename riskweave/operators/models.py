@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TREES, SAMPLE = 150, 50_000
+#: Arrays of a tree's nodes.
+NODES = {"feature": "<i4", "cut": "<f8", "left": "<i4", "right": "<i4", "depth": "<f8"}
 KNOTS = 1000
 ALERT = 0.99
 
@@ -51,7 +53,7 @@ def _average_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def isolation_forest(rows: DataFrame, features: list[str], key: str, trees: int = TREES, sample: int = 256, seed: int = 42) -> list[dict]:
+def isolation_forest(rows: DataFrame, features: list[str], key: str, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> list[dict]:
     """Trees grown apart, each from its own hashed sample of about `sample` rows; the list of their nodes' arrays.
 
     Rows are dealt by a hash of (tree, key) and thinned before they travel, so a tree gets a bounded share of any input.
@@ -85,10 +87,11 @@ def isolation_forest(rows: DataFrame, features: list[str], key: str, trees: int
 
         split(x, 0)
         f, cut, a, b, depth = zip(*nodes)
-        return pd.DataFrame({"tree": [tree], "n": [len(x)], "feature": [list(f)], "cut": [list(cut)], "left": [list(a)], "right": [list(b)], "depth": [list(depth)]})
+        return pd.DataFrame({"tree": [tree], "n": [len(x)], **{name: [np.array(v, t).tobytes()] for (name, t), v in zip(NODES.items(), (f, cut, a, b, depth))}})
 
-    schema = "tree int, n int, feature array<int>, cut array<double>, left array<int>, right array<int>, depth array<double>"
-    return [r.asDict() for r in drawn.groupBy("tree").applyInPandas(grow, schema).orderBy("tree").collect()]  # `trees` rows of at most 2 * sample nodes
+    schema = f"tree int, n int, {', '.join(f'{name} binary' for name in NODES)}"
+    found = drawn.groupBy("tree").applyInPandas(grow, schema).orderBy("tree").collect()  # `trees` rows of at most 2 * sample nodes
+    return [{"tree": r["tree"], "n": r["n"], **{name: np.frombuffer(r[name], t) for name, t in NODES.items()}} for r in found]
 
 
 def anomaly_scores(rows: DataFrame, features: list[str], forest: list[dict], out: str = "anomaly") -> DataFrame:
@@ -198,26 +201,32 @@ def linear_shap(rows: DataFrame, coefficients: dict[str, float], means: dict[str
     return rows.withColumns({f"{f}__phi": p for f, p in phi.items()}).withColumn("top", top)
 
 
+def with_indicators(rows: DataFrame, features: list[str]) -> DataFrame:
+    """Features with 0 for a missing value, and a column for each that is 1 where it was missing."""
+    return rows.withColumns({f"{f}__missing": (F.col(f).isNull() | F.isnan(F.col(f).cast("double"))).cast("double") for f in features}).withColumns({f: F.when(F.col(f"{f}__missing") == 0, F.col(f)).otherwise(F.lit(0.0)) for f in features})
+
+
 def fraud_model(train: DataFrame, features: list[str], label: str = "isFraud", validation: str | None = None, rounds: int = 20):
-    """Boosted trees with the positive class weighted up; stops early on rows where the validation column is true."""
+    """Boosted trees over features and missing indicators, the positive class weighted up; stops early on rows where the validation column is true."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    neg, pos = train.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
-    weighted = train.withColumn("__weight", F.when(F.col(label) == 1, F.lit(neg / max(1, pos))).otherwise(1.0))
+    learnt = train.where(~F.col(validation)) if validation else train
+    neg, pos = learnt.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
+    weighted = with_indicators(train, features).withColumn("__weight", F.when(F.col(label) == 1, F.lit(neg / max(1, pos))).otherwise(1.0))
     gbt = GBTClassifier(labelCol=label, featuresCol="__features", weightCol="__weight", maxIter=rounds, maxDepth=4, seed=42, predictionCol="__prediction")
     if validation:
         gbt = gbt.setValidationIndicatorCol(validation)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__features"), gbt]).fit(weighted)
+    return Pipeline(stages=[VectorAssembler(inputCols=[*features, *(f"{f}__missing" for f in features)], outputCol="__features"), gbt]).fit(weighted)
 
 
 def fraud_scores(rows: DataFrame, model, features: list[str], out: str = "fraud_score") -> DataFrame:
-    """Probability of fraud; a missing feature counts as 0, with an indicator column the model was trained on if it has one."""
+    """Probability of fraud; a missing feature counts as 0 and sets its indicator."""
     from pyspark.ml.functions import vector_to_array
 
-    filled = rows.fillna(0.0, subset=features)
-    return model.transform(filled).withColumn(out, vector_to_array("probability")[1]).drop("__features", "rawPrediction", "probability", "__prediction", "__weight")
+    filled = with_indicators(rows, features)
+    return model.transform(filled).withColumn(out, vector_to_array("probability")[1]).drop("__features", "rawPrediction", "probability", "__prediction", "__weight", *[f"{f}__missing" for f in features])
 
 
 def tfidf_top(docs: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators import models as m
+from riskweave.operators import transactions as t
 from riskweave.plans.behaviour import FEATURES, Z, ZS, scored
 from riskweave.plans.registry import query
 
@@ -94,7 +95,7 @@ FOREST = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def _forest(lineitem: DataFrame) -> DataFrame:
     rows = lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"), *[F.col(c).cast("double") for c in FOREST])
-    return m.anomaly_scores(rows, FOREST, m.isolation_forest(rows, FOREST, "key", trees=30))
+    return m.anomaly_scores(rows, FOREST, m.isolation_forest(rows, FOREST, "key"))
 
 
 @query("m_iforest", "lineitem")
@@ -106,7 +107,7 @@ def m_iforest(lineitem: DataFrame) -> DataFrame:
 def m_perturb(lineitem: DataFrame) -> DataFrame:
     """How often, and by how much, a row scores higher once one feature is far out."""
     rows = lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"), *[F.col(c).cast("double") for c in FOREST])
-    forest = m.isolation_forest(rows, FOREST, "key", trees=30)
+    forest = m.isolation_forest(rows, FOREST, "key")
     far = m.anomaly_scores(m.anomaly_scores(rows, FOREST, forest).withColumn("l_extendedprice", F.col("l_extendedprice") + 1e6), FOREST, forest, "moved")
     delta = F.col("moved") - F.col("anomaly")
     return far.agg(F.percentile(delta, F.lit(0.5)).alias("median_delta"), F.avg(delta).alias("mean_delta"), F.avg((delta > 0).cast("double")).alias("raised"))
@@ -115,8 +116,8 @@ def m_perturb(lineitem: DataFrame) -> DataFrame:
 @query("m_fraud_model", "led")
 def m_fraud_model(led: DataFrame) -> DataFrame:
     features = ["amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest", "step"]
-    model = m.fraud_model(led.where("row_id % 5 <> 0"), features, rounds=8)
-    return m.fraud_scores(led.where("row_id % 5 = 0"), model, features).select("row_id", "fraud_score")
+    learnt = t.time_split(led).where("part <> 'test'").withColumn("validation", F.col("part") == "val")
+    return m.fraud_scores(led, m.fraud_model(learnt, features, validation="validation"), features).select("row_id", "fraud_score")
 
 
 COEF, MEAN = {"l_quantity": 0.02, "l_discount": -1.5, "l_tax": 3.0}, {"l_quantity": 25.0, "l_discount": 0.05, "l_tax": 0.04}

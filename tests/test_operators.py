@@ -201,3 +201,24 @@ def test_conflicts_over_the_whole_ledger(spark):
     from riskweave.plans import registry
 
     assert registry.queries()["xwalk_conflicts_all"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_fraud_scores_of_every_row(spark):
+    from riskweave.plans import registry, views
+
+    led = views.table(spark, "/root/testdata/sf0.001", "led")
+    found = {r["row_id"]: r["fraud_score"] for r in registry.queries()["m_fraud_model"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(found) == {r["row_id"] for r in led.select("row_id").collect()} and all(0 <= p <= 1 for p in found.values())
+
+
+def test_fraud_model_tells_missing_from_zero(spark):
+    # only where a is missing is there fraud; a zero is none; later rows are there to stop on
+    rows = spark.createDataFrame([(k, None if k % 4 == 0 else float(k % 4 - 1), int(k % 4 == 0), k >= 300) for k in range(400)], "key long, a double, isFraud int, later boolean")
+    model = m.fraud_model(rows, ["a"], validation="later", rounds=5)
+    scores = {r["key"]: r["fraud_score"] for r in m.fraud_scores(rows, model, ["a"]).collect()}
+    assert len(scores) == 400 and min(p for k, p in scores.items() if k % 4 == 0) > 0.5 > max(p for k, p in scores.items() if k % 4)
+
+
+def test_forest_takes_its_whole_sample(spark):
+    rows = spark.createDataFrame([(str(k), float(k)) for k in range(700)], "key string, a double")
+    assert [x["n"] for x in m.isolation_forest(rows, ["a"], "key", trees=3)] == [700] * 3
