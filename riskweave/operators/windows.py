@@ -13,6 +13,9 @@ FILE = ["file_activity_count", "file_open_count", "file_write_count", "file_copy
 EMAIL = ["email_event_count", "email_send_count", "email_view_count", "email_recipient_count", "email_external_recipient_count", "email_external_recipient_ratio", "email_unique_recipient_count", "email_new_recipient_count", "email_cc_bcc_recipient_count", "email_size_sum", "email_size_mean", "email_size_max", "email_attachment_count", "email_attachment_bytes", "email_off_hours_send_count", "email_new_sender_count", "email_external_sender_count", "email_off_hours_view_count"]
 BASE_RAW = LOGON + DEVICE + FILE
 CONTEXT = ["is_weekend", "is_off_hours", "is_privileged_role", "project_count", "days_to_employment_end", "employment_end_proximity_30d", "event_count_total"]
+#: What baselines and z-scores are made of.
+BASELINE_BASE = ["logon_count", "unique_logon_pc_count", "new_logon_pc_count", "non_primary_logon_count", "login_hour_surprise_mean", "logon_session_minutes_mean", "device_connect_count", "new_device_tree_count", "device_session_minutes_mean", "file_activity_count", "file_to_removable_count", "new_file_path_count"]
+BASELINE_EMAIL = ["email_send_count", "email_view_count", "email_external_recipient_ratio", "email_unique_recipient_count", "email_new_recipient_count", "email_cc_bcc_recipient_count", "email_size_sum", "email_attachment_count", "email_attachment_bytes", "email_new_sender_count", "email_external_sender_count"]
 CLIP = 25.0
 
 

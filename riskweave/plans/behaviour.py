@@ -227,29 +227,41 @@ def w_privileged(usr: DataFrame) -> DataFrame:
 
 #: Baseline features, window and least history of the queries; the test data has about 30 days a user.
 FEATURES, DAYS, HISTORY = ["logon_count", "file_activity_count", "device_connect_count", "email_size_sum"], 14, 3
-DAILY = f"""{COMBINED},
-med as (select user_id, event_date, role, {', '.join(f'median({f}) as {f}__median' for f in FEATURES)} from ctx group by all),
-daily as (select m.*, {', '.join(f'd.{f}__mad' for f in FEATURES)} from med m join (select c.user_id, c.event_date, {', '.join(f'median(abs(c.{f} - m.{f}__median)) as {f}__mad' for f in FEATURES)} from ctx c join med m on c.user_id = m.user_id and c.event_date = m.event_date group by all) d
+
+
+def daily_sql(features: list[str]) -> str:
+    return f"""{COMBINED},
+med as (select user_id, event_date, role, {', '.join(f'median({f}) as {f}__median' for f in features)} from ctx group by all),
+daily as (select m.*, {', '.join(f'd.{f}__mad' for f in features)} from med m join (select c.user_id, c.event_date, {', '.join(f'median(abs(c.{f} - m.{f}__median)) as {f}__mad' for f in features)} from ctx c join med m on c.user_id = m.user_id and c.event_date = m.event_date group by all) d
   on m.user_id = d.user_id and m.event_date = d.event_date)"""
 
 
-def profile_sql(name: str, source: str, key: str, peer: str) -> str:
+def profile_sql(features: list[str], name: str, source: str, key: str, peer: str) -> str:
     over = f"over (partition by {key} order by event_date rows between {DAYS} preceding and 1 preceding)"
     enough = f"count(*) {over} >= {HISTORY}"
     columns = [f"least(row_number() over (partition by {key} order by event_date) - 1, {DAYS})::bigint as {peer}_history_days"]
-    for f in FEATURES:
+    for f in features:
         columns.append(f"case when {enough} then quantile_cont({f}__median, 0.5) {over} end as {f}__{peer}_location")
         columns.append(f"case when {enough} then greatest(1.4826 * quantile_cont({f}__mad, 0.5) {over}, (quantile_cont({f}__median, 0.75) {over} - quantile_cont({f}__median, 0.25) {over}) / 1.349) end as {f}__{peer}_scale")
     return f"{name} as (select {'user_id, ' if peer == 'user' else ''}event_date, role, {', '.join(columns)} from {source})"
 
 
-ROLE_DAILY = f"rd as (select role, event_date, {', '.join(f'median({f}__{s}) as {f}__{s}' for f in FEATURES for s in ('median', 'mad'))} from daily group by all)"
-PROFILES = f"{DAILY}, {ROLE_DAILY}, {profile_sql('up', 'daily', 'user_id', 'user')}, {profile_sql('rp', 'rd', 'role', 'role')}"
-FLOOR = {f: w.scale_floor(f) for f in FEATURES}
-Z = f"""{PROFILES}, zs as (select c.user_id, c.window_start, {', '.join(
-    f"case when coalesce({p}.{q_}_history_days, 0) >= {HISTORY} and {p}.{f}__{q_}_scale is not null and {p}.{f}__{q_}_location is not null then greatest(-25.0, least(25.0, (c.{f} - {p}.{f}__{q_}_location) / greatest({p}.{f}__{q_}_scale, {FLOOR[f]}))) else 0.0 end as {f}_{q_}_robust_z"
-    for f in FEATURES for p, q_ in (('up', 'user'), ('rp', 'role')))}
+def role_daily_sql(features: list[str]) -> str:
+    return f"rd as (select role, event_date, {', '.join(f'median({f}__{s}) as {f}__{s}' for f in features for s in ('median', 'mad'))} from daily group by all)"
+
+
+def profiles_sql(features: list[str]) -> str:
+    return f"{daily_sql(features)}, {role_daily_sql(features)}, {profile_sql(features, 'up', 'daily', 'user_id', 'user')}, {profile_sql(features, 'rp', 'rd', 'role', 'role')}"
+
+
+def z_sql(features: list[str]) -> str:
+    return f"""{profiles_sql(features)}, zs as (select c.user_id, c.window_start, {', '.join(
+    f"case when coalesce({p}.{q_}_history_days, 0) >= {HISTORY} and {p}.{f}__{q_}_scale is not null and {p}.{f}__{q_}_location is not null then greatest(-25.0, least(25.0, (c.{f} - {p}.{f}__{q_}_location) / greatest({p}.{f}__{q_}_scale, {w.scale_floor(f)}))) else 0.0 end as {f}_{q_}_robust_z"
+    for f in features for p, q_ in (('up', 'user'), ('rp', 'role')))}
   from ctx c left join up on c.user_id = up.user_id and c.event_date = up.event_date left join rp on c.role = rp.role and c.event_date = rp.event_date)"""
+
+
+DAILY, ROLE_DAILY, PROFILES, Z = daily_sql(FEATURES), role_daily_sql(FEATURES), profiles_sql(FEATURES), z_sql(FEATURES)
 DAY = ["user_id", "event_date", "role"]
 
 
@@ -315,6 +327,62 @@ def w_variants(act: DataFrame, usr: DataFrame) -> DataFrame:
     return email.agg(F.count(F.lit(1)).alias("n_windows"), F.lit(n[0]).alias("base_features"), F.lit(n[1]).alias("email_features"), F.round(F.sum(F.col("logon_event_count") + F.col("file_activity_count")), 3).alias("base_checksum"), F.round(F.sum("email_event_count"), 3).alias("email_checksum"))
 
 
+# The queries above and their SQL are over FEATURES; these are the same over all features of the base and email lists.
+ALL = [*w.BASELINE_BASE, *w.BASELINE_EMAIL]
+ALL_DAILY, ALL_PROFILES, ALL_Z = daily_sql(ALL), profiles_sql(ALL), z_sql(ALL)
+ALL_ZS = [f"{f}_{p}_robust_z" for f in ALL for p in ("user", "role")]
+
+
+def _all_columns(peer: str) -> list[str]:
+    return [f"{f}__{peer}_{s}" for f in ALL for s in ("location", "scale")]
+
+
+def _all_daily(act: DataFrame, usr: DataFrame) -> DataFrame:
+    return w.daily(w.with_context(w.combine(act), usr), ALL)
+
+
+def all_scored(act: DataFrame, usr: DataFrame) -> DataFrame:
+    return w.robust_z(w.with_context(w.combine(act), usr), ALL, DAYS, HISTORY)
+
+
+@query("w_daily_median_all", "act usr", f"with {ALL_DAILY} {rounded_sql('daily', [f'{f}__median' for f in ALL], DAY)}")
+def w_daily_median_all(act: DataFrame, usr: DataFrame) -> DataFrame:
+    return rounded(_all_daily(act, usr).select(*DAY, *[f"{f}__median" for f in ALL]))
+
+
+@query("w_daily_mad_all", "act usr", f"with {ALL_DAILY} {rounded_sql('daily', [f'{f}__mad' for f in ALL], DAY)}")
+def w_daily_mad_all(act: DataFrame, usr: DataFrame) -> DataFrame:
+    return rounded(_all_daily(act, usr).select(*DAY, *[f"{f}__mad" for f in ALL]))
+
+
+@query("w_user_profile_all", "act usr", f"with {ALL_PROFILES} {rounded_sql('up', _all_columns('user'), [*DAY, 'user_history_days'])}")
+def w_user_profile_all(act: DataFrame, usr: DataFrame) -> DataFrame:
+    return rounded(w.profile(_all_daily(act, usr), ALL, "user_id", "user", DAYS, HISTORY).select(*DAY, "user_history_days", *_all_columns("user")))
+
+
+@query("w_role_daily_all", "act usr", f"with {ALL_DAILY}, {role_daily_sql(ALL)} {rounded_sql('rd', [f'{f}__{s}' for f in ALL for s in ('median', 'mad')], ['role', 'event_date'])}")
+def w_role_daily_all(act: DataFrame, usr: DataFrame) -> DataFrame:
+    return rounded(w.role_daily(_all_daily(act, usr), ALL))
+
+
+@query("w_role_profile_all", "act usr", f"with {ALL_PROFILES} {rounded_sql('rp', _all_columns('role'), ['role', 'event_date', 'role_history_days'])}")
+def w_role_profile_all(act: DataFrame, usr: DataFrame) -> DataFrame:
+    return rounded(w.profile(w.role_daily(_all_daily(act, usr), ALL), ALL, "role", "role", DAYS, HISTORY).select("role", "event_date", "role_history_days", *_all_columns("role")))
+
+
+@query("w_robust_z_all", "act usr", f"with {ALL_Z} {rounded_sql('zs', ALL_ZS, ['user_id', 'window_start'], 7)}")
+def w_robust_z_all(act: DataFrame, usr: DataFrame) -> DataFrame:
+    return rounded(all_scored(act, usr).select("user_id", "window_start", *ALL_ZS), 7)
+
+
+@query("w_variants_all", "act usr", f"with {ALL_Z} select (select count(*) from zs) as n_windows, 60::int as base_features, 100::int as email_features, round((select sum({' + '.join(f'abs({z})' for z in ALL_ZS if not z.startswith('email_'))}) from zs), 3) as base_z, round((select sum({' + '.join(f'abs({z})' for z in ALL_ZS)}) from zs), 3) as email_z")
+def w_variants_all(act: DataFrame, usr: DataFrame) -> DataFrame:
+    df = all_scored(act, usr)
+    base, email = w.variant(df, "base"), w.variant(df, "email")
+    total = lambda of: F.round(F.sum(sum((F.abs(c) for c in of.columns if c.endswith("_robust_z")), F.lit(0.0))), 3)
+    return email.agg(F.count(F.lit(1)).alias("n_windows"), F.lit(len(base.columns) - 2).alias("base_features"), F.lit(len(email.columns) - 2).alias("email_features"), total(base).alias("base_z"), total(email).alias("email_z"))
+
+
 @query("dq_report", "act", """select source, count(*) as n_rows, min(event_time) as first_time, max(event_time) as last_time, sum((coalesce(event_id, '') = '')::int + (event_time is null)::int + (coalesce(user_id, '') = '')::int + (coalesce(pc_id, '') = '')::int + (coalesce(event_type, '') = '')::int)::bigint as missing_required, count(*) - count(distinct event_id) as duplicate_ids from act group by source""")
 def dq_report(act: DataFrame) -> DataFrame:
     return q.report(act)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import models as m
 from riskweave.operators import transactions as t
-from riskweave.plans.behaviour import FEATURES, Z, ZS, scored
+from riskweave.plans.behaviour import ALL_Z, ALL_ZS, FEATURES, Z, ZS, all_scored, scored
 from riskweave.plans.registry import query
 
 
@@ -68,6 +68,26 @@ def m_reasons(act: DataFrame, usr: DataFrame) -> DataFrame:
     return df.select("user_id", "window_start", F.size("top").alias("n_reasons"), F.round(F.col("reasons")[0]["weight"], 9).alias("first_weight"))
 
 
+ALL_TOP = "list_slice(list_sort(list_filter([" + ", ".join(f"{{'size': -abs({z}), 'place': {i}, 'name': '{z}', 'z': {z}}}" for i, z in enumerate(ALL_ZS)) + "], lambda x: x.z <> 0)), 1, 3)"
+
+
+@query("m_max_abs_z_all", "act usr", f"with {ALL_Z} select user_id, window_start, round(greatest({', '.join(f'abs({z})' for z in ALL_ZS)}, 0.0), 6) as max_abs_z from zs")
+def m_max_abs_z_all(act: DataFrame, usr: DataFrame) -> DataFrame:
+    return all_scored(act, usr).select("user_id", "window_start", F.round(m.max_abs(ALL_ZS), 6).alias("max_abs_z"))
+
+
+@query("m_top_deviations_all", "act usr", f"with {ALL_Z}, tops as (select *, {ALL_TOP} as top3 from zs) select user_id, window_start, array_to_string(list_transform(top3, lambda x: x.name), ',') as top from tops")
+def m_top_deviations_all(act: DataFrame, usr: DataFrame) -> DataFrame:
+    top = m.top_deviations(ALL_ZS)
+    return all_scored(act, usr).select("user_id", "window_start", F.array_join(F.transform(top, lambda x: x["name"]), ",").alias("top"))
+
+
+@query("m_reasons_all", "act usr", f"with {ALL_Z}, tops as (select *, {ALL_TOP} as top3 from zs) select user_id, window_start, len(top3)::int as n_reasons, round(case when len(top3) > 0 then least(1.0, abs(top3[1].z) / 25) else 0.0 end, 9) as first_weight from tops")
+def m_reasons_all(act: DataFrame, usr: DataFrame) -> DataFrame:
+    df = all_scored(act, usr).withColumn("top", m.top_deviations(ALL_ZS)).withColumn("reasons", m.reasons(F.col("top")))
+    return df.select("user_id", "window_start", F.size("top").alias("n_reasons"), F.round(F.col("reasons")[0]["weight"], 9).alias("first_weight"))
+
+
 @query("m_distribution", "events", "select round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, min(value) as min, max(value) as max from events")
 def m_distribution(events: DataFrame) -> DataFrame:
     return m.distribution(events, "value").select(*[F.round(c, 6).alias(c) for c in ("mean", "std", "p50", "p95", "p99")], "min", "max")

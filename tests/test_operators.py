@@ -222,3 +222,12 @@ def test_fraud_model_tells_missing_from_zero(spark):
 def test_forest_takes_its_whole_sample(spark):
     rows = spark.createDataFrame([(str(k), float(k)) for k in range(700)], "key string, a double")
     assert [x["n"] for x in m.isolation_forest(rows, ["a"], "key", trees=3)] == [700] * 3
+
+
+def test_variants_have_all_reference_columns(spark):
+    from riskweave.plans import behaviour as b
+    from riskweave.plans import views
+
+    act, usr = (views.table(spark, "/root/testdata/sf0.001", x) for x in ("act", "usr"))
+    df = b.all_scored(act, usr)
+    assert [len(w.variant(df, x).columns) - 2 for x in ("base", "email")] == [60, 100]
