@@ -300,6 +300,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links of similarity percent / 100 or more reach.
 
+    These are classes, not links: pairs whose ends are in one component already are skipped, so neither the links nor how
+    many a row has are in the result.
+
     Words are runs of other than ASCII white space, A-Z lower-cased. A text of fewer than `words` words has one shingle,
     its whole sequence; texts that are null, empty or white space have none and link with nothing. Rows that repeat an id
     keep a row each. A null id is larger than any other: alone, its component is null. An empty table gives no rows.
