@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import WordHasher, _WS, byte_column, crc_mod, steps
 from riskweave.llm.fitting import platt, sigmoid, training_rows
 
-#: Words of a passage; hashed-word features; width of the encoding and of the attention; labelled rows fitted on, at
-#: most, and passages that training takes from one of them, at most (scoring takes all).
-PASSAGE, HASHED, WIDTH, GATE, SAMPLE, PASSAGES = 64, 32, 24, 16, 8_000, 24
+#: Words of a passage; hashed-word features; width of the encoding and of the attention; labelled rows fitted on, at most
+#: (each with all its passages).
+PASSAGE, HASHED, WIDTH, GATE, SAMPLE = 64, 32, 24, 16, 8_000
 THRESHOLD = 0.7
 STATISTICS = 14
 
@@ -64,10 +64,12 @@ class Passages:
             starts[1:] &= ~black[:-1] | cut[1 : len(part)]
             s = np.flatnonzero(starts)
             byte_first = s[first]
-            size = np.diff(np.append(byte_first, len(part))).astype(np.float32)
+            # a row's last word and passage end where the row ends, so that a text's features are its own
+            row_end = at[1:][doc]
+            size = (np.minimum(np.append(byte_first[1:], len(part)), row_end[first]) - byte_first).astype(np.float32)
             classes = _CLASS[part]
             shares = [np.add.reduceat((classes == k).astype(np.float32), byte_first) / size for k in range(1, 7)]
-            length = np.diff(np.append(s, len(part))).astype(np.float32)
+            length = (np.minimum(np.append(s[1:], len(part)), row_end) - s).astype(np.float32)
             mean = np.add.reduceat(length, first) / n
             spread = np.sqrt(np.maximum(0, np.add.reduceat(length * length, first) / n - mean * mean))
             # words that the text has had before, in this passage or an earlier one, and words equal to the one before
@@ -91,7 +93,7 @@ class GatedAttention:
         make = lambda a, b: r.normal(0, 1 / np.sqrt(a), (a, b))
         self.mean, self.scale = np.zeros(width), np.ones(width)
         self.p = {"W": make(width, WIDTH), "b": np.zeros(WIDTH), "V": make(WIDTH, GATE), "U": make(WIDTH, GATE), "w": make(GATE, 1)[:, 0], "c": make(WIDTH, 1)[:, 0], "d": np.zeros(1)}
-        self.curve = (1.0, 0.0)
+        self.curve, self.fitted = (1.0, 0.0), False
 
     def forward(self, x: np.ndarray, bag: np.ndarray, bags: int):
         p = self.p
@@ -145,7 +147,7 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> GatedAttention:
     """A model from (passages, label) of the sample; a fifth is kept to calibrate on."""
     y = np.array([r[1] for r in rows], dtype=float)
     model = GatedAttention(STATISTICS + HASHED)
-    if len(y) < 20 or y.min() == y.max():
+    if len(y) < 20 or y.min() == y.max() or not any(len(r[0]) for r in rows):
         model.p = {k: v * 0 for k, v in model.p.items()}
         model.p["d"] = np.array([np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))])
         return model
@@ -158,18 +160,12 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> GatedAttention:
     x, at = bags(~held)
     share = y[~held].mean()
     model.train(x, at, y[~held], np.where(y[~held] > 0.5, 0.5 / share, 0.5 / (1 - share)))
-    model.curve = platt(model.raw(*bags(held)), y[held])
+    model.curve, model.fitted = platt(model.raw(*bags(held)), y[held]), True
     return model
 
 
-def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score (calibrated, 0 to 1), predicted (score >= 0.7) of every document.
-
-    Labels are learnt only from rows whose crc32(id) mod folds is not held_out, at most `sample` of them, picked by a hash
-    of the id. A text without words is an empty bag and is scored by the intercept; a null id hashes as the empty text and
-    stays null. Without labels of both classes every score is the share of label 1 (0.5 if none). Rows that repeat an id
-    are scored each; an empty table gives no rows.
-    """
+def learnt(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, sample: int, id_col: str, text_col: str) -> GatedAttention:
+    """The model of at most `sample` labelled rows outside the held-out fold; the same whatever the order of rows."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages()
@@ -177,29 +173,55 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
             out = []
             for x, at in passages(batch.column(0)):
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                    some = np.unique(np.linspace(a, b - 1, PASSAGES).astype(int)) if b - a > PASSAGES else np.arange(a, b)
-                    out.append(x[some].astype("<f4").tobytes())
+                    out.append(x[a:b].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], names=["x", "y"])
 
     found = training_rows(docs, labels, "quality", folds, held_out, sample, id_col, text_col).mapInArrow(gather, "x binary, y int").collect()
-    found.sort(key=lambda r: (bytes(r["x"]), r["y"]))  # the same model whatever the order of rows
+    found.sort(key=lambda r: (bytes(r["x"]), r["y"]))
     order = np.random.default_rng(6).permutation(len(found))
-    rows = [(np.frombuffer(found[i]["x"], "<f4").reshape(-1, STATISTICS + HASHED), found[i]["y"]) for i in order]
-    model = docs.sparkSession.sparkContext.broadcast(fit([r for r in rows if len(r[0])]))
+    return fit([(np.frombuffer(found[i]["x"], "<f4").reshape(-1, STATISTICS + HASHED), found[i]["y"]) for i in order])
+
+
+def probabilities(passages: Passages, model: GatedAttention, column: pa.Array) -> np.ndarray:
+    slope, shift = model.curve
+    raw = np.concatenate([np.zeros(0), *(model.raw(x, at) for x, at in passages(column))])
+    return sigmoid(slope * raw + shift)
+
+
+def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score (calibrated, 0 to 1), predicted (score >= 0.7) of every document.
+
+    Labels are learnt only from rows whose crc32(id) mod folds is not held_out, at most `sample` of them, picked by a hash
+    of the id. A text without words is an empty bag, in training too, and is scored by the intercept; a null id hashes as
+    the empty text and stays null. Without labels of both classes every score is the share of label 1 (0.5 if none). Rows
+    that repeat an id are scored each, by their own texts alone; an empty table gives no rows.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels, folds, held_out, sample, id_col, text_col))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages, attention = Passages(), model.value
-        slope, shift = attention.curve
+        passages = Passages()
         for batch in batches:
-            raw = np.concatenate([np.zeros(0), *(attention.raw(x, at) for x, at in passages(batch.column(1)))])
-            p = sigmoid(slope * raw + shift)
+            p = probabilities(passages, model.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])
 
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(score, "doc_id long, score double, predicted int")
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", "predicted")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns; rejected ids alone are joined to them."""
-    gone = quality(docs, labels, id_col=id_col, text_col=text_col).where("predicted = 0").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+def accepted(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that the classifier does not reject, with all their columns, decided row by row where they are read.
+
+    Rows that repeat an id, or have none, are judged each by their own text. Labels that cannot be learnt from (fewer than
+    20, or one class) reject nothing.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels, folds, held_out, sample, id_col, text_col))
+
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passages = Passages()
+        for batch in batches:
+            good = probabilities(passages, model.value, batch.column(at)) >= THRESHOLD
+            yield batch.filter(pa.array(good | (not model.value.fitted)))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -104,3 +104,14 @@ def test_top_k(spark):
     found = sorted(tuple(r) for r in top_k(v).select("query_id", "rank", "vec_id", "score").collect())
     assert found[:3] == [(0, 1, 5, 32768), (0, 2, 50, 32768), (0, 3, 6, 0)] and [r[2] for r in found[3:]] == [0, 5, 6]
     assert top_k(v.limit(0)).collect() == []
+
+
+def test_accepted_judges_rows_not_ids(spark):
+    """Repeated and null ids go by their own texts; labels that teach nothing reject nothing."""
+    good, bad = " ".join(f"The river number {k} flows to the sea, slowly." for k in range(30)), "buy buy BUY !!! $$$ " * 40
+    train = spark.createDataFrame([(k, (good if k % 2 else bad) + f" {k}", k) for k in range(200)], "doc_id long, text string, of long")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    more = spark.createDataFrame([(900, good, 1), (900, bad, 2), (None, bad, 3), (None, good, 4), (901, good, 5), (901, good, 6)], train.schema)
+    kept = {r["of"] for r in accepted(train.unionByName(more), labels).where("doc_id is null or doc_id >= 900").collect()}
+    assert kept == {1, 4, 5, 6}
+    assert accepted(more, labels.limit(5)).count() == 6

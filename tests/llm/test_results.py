@@ -152,3 +152,21 @@ def test_lm_keeps_every_word_and_pair(spark, monkeypatch, bits):
             want += math.log10(lm.PAIR_WEIGHT * min(p, v) / max(v, 1.0) + (1 - lm.PAIR_WEIGHT) * (w + 0.5) / floor)
         # the filter's false hits are all that may differ
         assert abs(found[i] - want) <= 0.02 * abs(want)
+
+
+def test_quality_is_of_the_text_alone(spark):
+    """Scores don't depend on rows beside, and training takes all passages and empty texts."""
+    import pyarrow as pa
+
+    from riskweave.llm import quality as ql
+
+    long = " ".join(f"w{k % 977} said." for k in range(500 * ql.PASSAGE // 2))
+    rows = ["alpha beta gamma delta.", " " * 500 + "one two", "\n\nthree  \n", None, "", "   ", long, "x" * 200]
+    together = [x[a:b] for x, at in ql.Passages()(pa.array(rows)) for a, b in zip(at[:-1], at[1:])]
+    assert [len(x) for x in together] == [1, 1, 1, 0, 0, 0, 500, 1]
+    for text, x in zip(rows, together):
+        alone = [y[a:b] for y, at in ql.Passages()(pa.array([text])) for a, b in zip(at[:-1], at[1:])]
+        assert np.array_equal(alone[0], x)
+    bags = [(x, k % 2) for k, x in enumerate(together * 4)]
+    model = ql.fit(bags)
+    assert model.fitted and np.isfinite(model.raw(np.zeros((0, ql.STATISTICS + ql.HASHED)), np.array([0, 0]))).all()
