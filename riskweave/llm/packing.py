@@ -8,6 +8,8 @@ then find their places by rank within their length, counted per (length, salt),
 
 from __future__ import annotations
 
+import math
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -22,12 +24,20 @@ CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers; beyond it the memory starts anew. Long words are never kept.
 CACHE_WORDS, CACHE_LENGTH = 600_000, 48
-#: Parts of each length that are ranked on their own.
-SALTS = 64
+#: Rows that one part of a length should have when it is ranked, and parts of each length at most (8 bytes each in the
+#: broadcast table of first ranks).
+PER_PART, SALTS = 1 << 16, 1 << 11
 #: Punctuation that the tokenizer always splits from a word before it.
 TAIL = b".,!?*#%&$|;:"
 
 
+def ends_in_letter(stem: bytes) -> bool:
+    """Whether the last character of a word is letters alone after the tokenizer's normalisation, so that punctuation after it is split off."""
+    if not stem or stem[-1] < 128:
+        return stem[-1:].isalnum()
+    return unicodedata.normalize("NFC", stem.decode()[-1]).lower().isalpha()
+
+
 class WordTokens:
     """A text's ids as bytes (little-endian uint32), joined from those of its white-space-separated words.
 
@@ -60,8 +70,7 @@ class WordTokens:
             low = word.lower()
             stem = low.rstrip(TAIL)
             plain = len(word) <= CACHE_LENGTH and b"<" not in word
-            lettered = stem and (stem[-1:].isalnum() or stem[-1] > 127 and stem.decode()[-1].isalpha())
-            split[word] = ((stem, low[len(stem) :]) if lettered else (low, b"")) if plain else None
+            split[word] = ((stem, low[len(stem) :]) if ends_in_letter(stem) else (low, b"")) if plain else None
         stems = self.stems
         new = {x for parts in split.values() if parts for x in parts if x and x not in stems}
         letters = [x for x in new if x.decode().isalpha()]
@@ -184,14 +193,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to a stored table of pieces."""
-    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    sizes = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity * SALTS rows
-    counts: dict[int, int] = {}
-    by = {(r["length"], r["__salt"]): r["n"] for r in sizes}
-    base = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    for (length, salt), n in sorted(by.items()):
-        base[length, salt] = counts.get(length, 0)
-        counts[length] = counts.get(length, 0) + n
+    salts = min(SALTS, max(1, math.ceil(cut.count() / PER_PART)))
+    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    base = np.zeros((capacity + 1, salts), dtype=np.int64)
+    for r in salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():  # at most capacity * salts rows
+        base[r["length"], r["__salt"]] = r["n"]
+    counts = {length: int(n) for length, n in enumerate(base.sum(1)) if n}
+    base = np.cumsum(base, axis=1) - base
     slots = cut.sparkSession.sparkContext.broadcast((base, places(patterns(counts, capacity))))
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -170,3 +170,21 @@ def test_quality_is_of_the_text_alone(spark):
     bags = [(x, k % 2) for k, x in enumerate(together * 4)]
     model = ql.fit(bags)
     assert model.fitted and np.isfinite(model.raw(np.zeros((0, ql.STATISTICS + ql.HASHED)), np.array([0, 0]))).all()
+
+
+def test_word_tokens_equal_the_tokenizer():
+    """20,000 random strings of letters, marks, capitals that lower-case to two characters, and punctuation."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from riskweave.llm.packing import WordTokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, ours = Tokenizer.from_file(path), WordTokens(path)
+    r = random.Random(8)
+    pool = "abcXYZ019éÉßİıǅﬁΣς你好ёйЙ́̇‍ـअ्๑½²Ⅷ①ªʰ😀_'’“.,!?*#%&$|;:<>()-@/\\\x00\x7f\xa0\x85 　 \t\n"
+    cases = ["".join(r.choice(pool) for _ in range(r.randint(1, 14))) for _ in range(20_000)] + ["かİ|#", "Xİ.", "</s> <unk>."]
+    wrong = [c for c in cases if ours(c.encode()) != np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert not wrong, wrong[:5]
