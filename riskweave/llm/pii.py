@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -220,20 +221,41 @@ def train(n: int = EXAMPLES, seed: int = SEED, precision: float = PRECISION) ->
     return model, (a, b), cuts
 
 
+class Covered:
+    """What base spans cover, as ascending ranges that don't overlap; a span is looked up by bisection."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end) - 1
+        return at >= 0 and self.ends[at] > start
+
+
 def selected(text: str, base: dict[str, list[Span]], model: BoostedTrees, curve: tuple[float, float], cuts: dict[str, float]) -> dict[str, list[Span]]:
     """Candidates over their thresholds that overlap no base span and no better candidate."""
-    taken = [s for spans in base.values() for s in spans]
-    proposed = [c for c in candidates(text) if not any(a < c[2] and c[1] < b for a, b in taken)]
+    covered = Covered([s for spans in base.values() for s in spans])
+    proposed = [c for c in candidates(text) if not covered.meets(c[1], c[2])]
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
     if not proposed:
         return found
     raw = model.raw(np.array([features(text, *c) for c in proposed]))
     p = 1 / (1 + np.exp(-(curve[0] * raw + curve[1])))
+    taken: list[Span] = []  # ascending; none overlaps another
     for i in np.lexsort((np.arange(len(p)), -p)):
         kind, start, end = proposed[i]
-        if p[i] >= cuts[kind] and not any(a < end and start < b for a, b in taken):
-            taken.append((start, end))
-            found[kind].append((start, end))
+        if p[i] >= cuts[kind]:
+            at = bisect_left(taken, (end, end))
+            if not at or taken[at - 1][1] <= start:
+                insort(taken, (start, end))
+                found[kind].append((start, end))
     return found
 
 
