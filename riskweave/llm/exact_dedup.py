@@ -7,10 +7,10 @@ other digests, each with a small share of the rows, go through an ordinary shuff
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import stored
+from riskweave.llm.common import free_name, stored
 
 #: Most digests that the sketch proposes, hence most rows that are broadcast (about 100 bytes each).
 CANDIDATES = 1_000
@@ -36,14 +36,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verified = rows.join(F.broadcast(proposed), "text_sha256", "left_semi").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     winners = stored(verified.where("group_size > 1"))
     heavy = rows.join(F.broadcast(winners), "text_sha256")
-    same = Window.partitionBy("text_sha256")
-    light = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti").withColumns({"keep_id": F.min("doc_id").over(same), "group_size": F.count(F.lit(1)).over(same)})
+    rest = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    # a digest is counted by partial sums and found again by a join that can be split, so that none is gathered in one task
+    several = stored(rest.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"))
+    light = rest.join(several, "text_sha256", "left").withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))).fillna(1, ["group_size"])
     names = ["doc_id", "keep_id", "group_size", "text_sha256"]
     return heavy.select(names).unionByName(light.select(names)).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns. Copies alone are shuffled by id to find them; clean rows keep their order of columns."""
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
-    d = docs.withColumn("__of", text_digest(F.col(text_col)))
-    return d.join(gone, d[id_col].eqNullSafe(gone["__id"]) & (d["__of"] == gone["__digest"]), "left_anti").drop("__of")
+    """The documents that stay, with all their columns, whatever these are called.
+
+    Dropped rows alone are sent to be found again, by id and digest. Rows that repeat id and text stay alike.
+    """
+    of = free_name(docs, "digest")
+    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_digest")).distinct()
+    d = docs.withColumn(of, text_digest(F.col(text_col)))
+    return d.join(gone, d[id_col].eqNullSafe(gone["gone_id"]) & (d[of] == gone["gone_digest"]), "left_anti").drop(of)
