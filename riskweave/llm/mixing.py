@@ -23,8 +23,8 @@ def _hashed(*parts):
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None, total: int | None, source_col: str = "source") -> DataFrame:
-    """source, parts and cdf: how often a row of each source is drawn, and the distribution function of one draw."""
-    counts = stored(docs.groupBy(F.col(source_col).alias("__source")).agg(F.count(F.lit(1)).alias("n")))
+    """of_source, parts and cdf: how often a row of each source is drawn, and the distribution function of one draw."""
+    counts = stored(docs.groupBy(F.col(source_col).alias("of_source")).agg(F.count(F.lit(1)).alias("n")))
     rows, sources = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     size = F.lit(total if total is not None else rows)
     if weights is None:
@@ -32,13 +32,28 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, total: int |
     else:
         known, all_of_it = F.lit(0.0), float(sum(weights.values()))
         for k, w in weights.items():
-            known = F.when(F.col("__source").eqNullSafe(F.lit(k)), F.lit(w / all_of_it)).otherwise(known)
+            known = F.when(F.col("of_source").eqNullSafe(F.lit(k)), F.lit(w / all_of_it)).otherwise(known)
         share = known
     rated = counts.withColumn("rate", size * share / F.col("n"))
     rated = rated.withColumn("parts", F.greatest(F.lit(1.0), F.ceil(F.col("rate") / STEP_RATE).cast("double")))
     rated = rated.withColumn("step", F.col("rate") / F.col("parts"))
     cdf = F.expr(f"aggregate(sequence(1, {TERMS - 1}), struct(exp(-step) as p, array(exp(-step)) as cs), (a, k) -> struct(a.p * step / k as p, concat(a.cs, array(element_at(a.cs, -1) + a.p * step / k)) as cs), a -> a.cs)")
-    return rated.select("__source", F.col("parts").cast("long").alias("__parts"), cdf.alias("__cdf"))
+    return rated.select("of_source", F.col("parts").cast("long").alias("parts"), cdf.alias("cdf"))
+
+
+def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """row (a struct of all columns), copy and shuffle_key of every copy, in a global order by shuffle_key."""
+    table = rates(docs, weights, total, source_col)
+    few = table.count() <= BROADCAST_SOURCES
+    table = F.broadcast(table) if few else table
+    # the row is one column, so that no name of docs can clash with those used here
+    d = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"))
+    u = F.expr(f"transform(sequence(0L, parts - 1), i -> cast(conv(substring(sha2(cast(concat_ws(':', '{seed}', cast(i as string), coalesce(cast(id as string), '')) as binary), 256), 1, 13), 16, 10) as long) / {UNIT:.0f}D)")
+    drawn = d.join(table, d["source"].eqNullSafe(table["of_source"])).withColumn("u", u)
+    drawn = drawn.withColumn("n", F.expr("aggregate(u, 0L, (a, u) -> a + size(filter(cdf, c -> c <= u)))")).where("n > 0")
+    copies = drawn.select("row", "id", F.explode(F.expr("sequence(0, cast(n as int) - 1)")).alias("copy"))
+    keyed = copies.withColumn("shuffle_key", _hashed(F.lit(seed), F.lit("order"), F.col("id"), F.col("copy")))
+    return keyed.orderBy("shuffle_key", "id", "copy").drop("id")
 
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -48,16 +63,13 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     distribution at a uniform number hashed from seed and id, so that a rerun or a lost task draws alike. Without weights
     the sources get equal shares; without total the mix has as many rows as docs, on average. A weight of zero or a source
     that weights leave out draws nothing. A null source is a source of its own; a null id hashes as the empty text; rows
-    that repeat an id draw the same count. Null and empty texts are ordinary rows, an empty table gives none. docs must not
-    have columns named copy or shuffle_key; names starting with two underscores are replaced.
+    that repeat an id draw the same count. Null and empty texts are ordinary rows, an empty table gives none. Columns of
+    docs that are called copy or shuffle_key, in any case, are replaced; all others pass as they are.
     """
-    table = rates(docs, weights, total, source_col)
-    few = table.count() <= BROADCAST_SOURCES
-    table = F.broadcast(table) if few else table
-    names = docs.columns
-    u = F.expr(f"transform(sequence(0L, __parts - 1), i -> cast(conv(substring(sha2(cast(concat_ws(':', '{seed}', cast(i as string), coalesce(cast(`{id_col}` as string), '')) as binary), 256), 1, 13), 16, 10) as long) / {UNIT:.0f}D)")
-    drawn = docs.join(table, docs[source_col].eqNullSafe(table["__source"])).withColumn("__u", u)
-    drawn = drawn.withColumn("__n", F.expr("aggregate(__u, 0L, (a, u) -> a + size(filter(__cdf, c -> c <= u)))")).where("__n > 0")
-    copies = drawn.select(*[F.col(f"`{c}`") for c in names], F.explode(F.expr("sequence(0, cast(__n as int) - 1)")).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", _hashed(F.lit(seed), F.lit("order"), F.col(id_col), F.col("copy")))
-    return keyed.orderBy("shuffle_key", id_col, "copy")
+    mixed = replicated(docs, weights, total, seed, id_col, source_col)
+    return mixed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("copy", "shuffle_key")], "copy", "shuffle_key")
+
+
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The copies with the columns of docs alone, all as they were."""
+    return replicated(docs, weights, total, seed, id_col, source_col).select("row.*")

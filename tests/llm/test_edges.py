@@ -4,12 +4,13 @@ import hashlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskweave.llm.exact_dedup import exact_dedup, without_copies
 from riskweave.llm.jaccard_join import near_duplicates, one_of_each
 from riskweave.llm.lm_scoring import lm_scores
-from riskweave.llm.mixing import mix_sources
+from riskweave.llm.mixing import mix_sources, mixed
 from riskweave.llm.packing import pack
 from riskweave.llm.pii import find_pii
 from riskweave.llm.quality import accepted, quality
@@ -115,3 +116,14 @@ def test_accepted_judges_rows_not_ids(spark):
     kept = {r["of"] for r in accepted(train.unionByName(more), labels).where("doc_id is null or doc_id >= 900").collect()}
     assert kept == {1, 4, 5, 6}
     assert accepted(more, labels.limit(5)).count() == 6
+
+
+def test_clashing_names(spark, docs):
+    """Columns called as what the operators make or use: replaced where they make it, kept as they are elsewhere."""
+    d = docs.select("doc_id", "text", "source", F.lit("mine").alias("copy"), F.lit("mine").alias("Shuffle_Key"), F.lit("mine").alias("digest"), F.lit("mine").alias("gone_id"), F.lit("mine").alias("n"), F.lit("mine").alias("row"), F.lit("mine").alias("u"))
+    found = mix_sources(d).collect()
+    assert found and all(isinstance(r["copy"], int) and isinstance(r["shuffle_key"], int) and {r[c] for c in ("digest", "gone_id", "n", "row", "u")} == {"mine"} for r in found)
+    assert {tuple(r)[3:] for r in mixed(d).collect()} == {("mine",) * 7} and mixed(d).columns == d.columns
+    for of in (without_copies, one_of_each):
+        kept = of(d)
+        assert kept.columns == d.columns and {tuple(r)[3:] for r in kept.collect()} == {("mine",) * 7}
