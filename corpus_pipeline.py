@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from riskweave.llm.common import stored, table
 from riskweave.llm.exact_dedup import without_copies
 from riskweave.llm.jaccard_join import one_of_each
-from riskweave.llm.mixing import mix_sources
+from riskweave.llm.mixing import mixed
 from riskweave.llm.packing import pack
 from riskweave.llm.quality import accepted
 
@@ -32,7 +32,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources get equal shares by Poisson replication; the order is global and shuffled."""
-    return mix_sources(docs).select(docs.columns)
+    return mixed(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what a stage keeps is written and read again as the next one's input."""
+    """All stages over the documents of sf_dir; what a stage keeps is written and read again as the next one's input.
+
+    Empty tables give no pieces; null texts are judged as empty; rows with a null id are judged by their own text in every
+    stage; rows that repeat id and text are kept or dropped alike, so those that stay are packed each. Labels that cannot be
+    learnt from reject nothing.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
