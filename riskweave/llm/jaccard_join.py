@@ -4,7 +4,8 @@ Shingles are ordered by frequency: those outside a bounded table of frequent shi
 similarity reaches the threshold share at least k of the first |x| - ceil(t |x|) + k shingles of each, for any k up to
 their overlap. Each document takes the k with the least estimated cost (rows scanned and candidates verified). A pair must
 share as many prefix shingles as its sizes ask for, given what can lie beyond the prefixes, before its sets are compared
-exactly: the smaller k of the two at least, and more the closer the sizes are.
+exactly: the smaller k of the two at least, and more the closer the sizes are. The first matches are counted while pairs
+are made, where the places of the shingles leave the overlap in reach; all others on the prefixes of the pairs left.
 
 Equal sets are one node from the start. Nodes are first tried against a few leaders of each shingle's list; what these
 links join needs no pair of its own any more, and only pairs between different groups are left to the exact round. So a
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import WordHasher, mix, stored
+from riskweave.llm.common import WordHasher, free_name, mix, stored
 from riskweave.llm.components import components
 from riskweave.llm.shingles import WORDS, set_id, shingle_sets
 
@@ -34,10 +35,16 @@ RARE = 16
 #: Most prefix shingles that a pair may have to share, the cost of a verification in rows scanned, and what a shingle
 #: outside the table is taken to bring in rows.
 MOST_MATCHES, VERIFY_COST, FEW = 24, 400, 0.1
-#: Nodes that one part of a very frequent shingle's list should have, and bits of the filter that picks wanted sets.
+#: Nodes that one part of a very frequent shingle's list should have, and bits of the filter that picks wanted sets at most.
 PART_NODES, WANTED_BITS = 1 << 16, 1 << 26
-#: Shingles that a task gathers before it hands them on, and shingles for each group of the counting shuffle.
-GATHER, PER_GROUP = 4_000_000, 1_000_000
+#: Shared prefix shingles that are counted while pairs are made; more are counted on whole prefixes. Each one more lets a
+#: list's pairs in one place later, so that rows grow while pairs shrink.
+MATCHED = 2
+#: Shingles that a task gathers before it hands them on, shingles for each group of the counting shuffle, and shingles of
+#: whole sets in one message.
+GATHER, PER_GROUP, SENT = 2_000_000, 1_000_000, 1 << 20
+#: Pairs and bytes of sets that a part of the exact comparison should have, and one unit of a hub's pairs.
+PART_PAIRS, PART_BYTES, UNIT_PAIRS, UNIT_BYTES = 512, 8 << 20, 64, 2 << 20
 #: Leaders of each list in the first round: the node with the largest share of frequent shingles, then by hash.
 LEADERS = 3
 #: Sets with this many copies count once in frequencies, as far as COPIED of them go (16 bytes each).
@@ -50,15 +57,15 @@ def needed(n, percent: int = PERCENT):
 
 
 def nodes_of(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, n_shingles and node (the name of its set; null without words) of each row."""
+    """doc_id, of (a hash of the text), n_shingles and node (the name of its set; null without words) of each row."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             sets = [(len(s), set_id(s) if len(s) else None) for s in shingle_sets(batch.column(1), hasher, words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([n for n, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.int64())], names=["doc_id", "of", "n_shingles", "node"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(name, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), F.xxhash64(text_col).alias("of")).mapInArrow(name, "doc_id long, of long, n_shingles long, node long")
 
 
 class Representatives:
@@ -230,25 +237,22 @@ def prefix_lists(docs: DataFrame, id_col: str, text_col: str, words: int, percen
     return packed.groupBy("part").applyInArrow(meet, "shingle long, node long, n long, matches int, place int" + "".join(f", lead{i} long" for i in range(LEADERS)))
 
 
-def places(node: np.ndarray, doc_id: np.ndarray) -> list[np.ndarray]:
+def bloom_places(node: np.ndarray, doc_id: np.ndarray, bits: int) -> list[np.ndarray]:
     h = mix(node.view(np.uint64) ^ mix(doc_id.view(np.uint64)))
-    return [h % np.uint64(WANTED_BITS), (h >> np.uint64(32)) % np.uint64(WANTED_BITS)]
+    return [h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)]
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """node and shingles (8 bytes each, ascending) of the wanted (node, doc_id), and of a few others.
 
-    A Bloom filter of fixed size tells wanted texts where they are read, so that other texts never travel.
+    A Bloom filter of bounded size tells wanted texts where they are read, so that other texts never travel.
     """
+    bits = min(WANTED_BITS, 1 << math.ceil(math.log2(max(1 << 16, 16 * wanted.count()))))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(WANTED_BITS, dtype=bool)
         for batch in batches:
-            for at in places(batch.column(0).to_numpy(), batch.column(1).to_numpy()):
-                bits[at] = True
-        at = np.flatnonzero(bits)
-        for k in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)] >> 16, pa.int32()), pa.array(at[k : k + (1 << 16)] & 0xFFFF, pa.int32())], names=["page", "bit"])
+            at = np.unique(np.concatenate(bloom_places(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 16, pa.int32()), pa.array(at & 0xFFFF, pa.int32())], names=["page", "bit"])
 
     def page(key, rows):
         bits = np.zeros(1 << 16, dtype=bool)
@@ -256,58 +260,80 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, word
         return pa.table({"page": [key[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]}, schema=pa.schema([("page", pa.int32()), ("bits", pa.binary())]))
 
     marked = wanted.select("node", "doc_id").mapInArrow(mark, "page int, bit int").dropDuplicates().groupBy("page").applyInArrow(page, "page int, bits binary")
-    bloom = np.zeros(WANTED_BITS // 8, dtype=np.uint8)
-    for r in marked.collect():  # WANTED_BITS in all
+    bloom = np.zeros(bits // 8, dtype=np.uint8)
+    for r in marked.toLocalIterator():  # WANTED_BITS in all
         bloom[r["page"] << 13 : (r["page"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bloom = WordHasher(), shared.value
         for batch in batches:
-            ids, found = batch.column(0).fill_null(0).to_numpy(), []
+            ids, found, held = batch.column(0).fill_null(0).to_numpy(), [], 0
             for k, s in enumerate(shingle_sets(batch.column(1), hasher, words)):
                 if len(s):
                     node = set_id(s)
-                    if all(bloom[int(at[0]) >> 3] >> (int(at[0]) & 7) & 1 for at in places(np.array([node]), ids[k : k + 1])):
+                    if all(bloom[int(at[0]) >> 3] >> (int(at[0]) & 7) & 1 for at in bloom_places(np.array([node]), ids[k : k + 1], bits)):
                         found.append((node, s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["node", "shingles"])
+                        held += len(s)
+                if held > SENT:
+                    yield packed_sets(found)
+                    found, held = [], 0
+            yield packed_sets(found)
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return d.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose sets reach the threshold, by exact intersection."""
+def packed_sets(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["node", "shingles"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int(np.count_nonzero(large[at] == small))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
+def units(pairs: DataFrame) -> DataFrame:
+    """part, a, b: pairs dealt to parts of bounded size.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links of similarity percent / 100 or more reach.
+    Of a pair, the node with more pairs is the hub. A hub's pairs are dealt by their other node to as many units as their
+    number and the size of their sets ask for; units are dealt to parts. So a group of any size is spread, and a part
+    needs each of its sets once.
+    """
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    degree = stored(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")))
+    da, db = degree.select(F.col("node").alias("a"), F.col("degree").alias("da")), degree.select(F.col("node").alias("b"), F.col("degree").alias("db"))
+    a_leads = F.col("da") >= F.col("db")
+    led = pairs.join(da, "a").join(db, "b").withColumns({"hub": F.when(a_leads, F.col("a")).otherwise(F.col("b")), "other": F.when(a_leads, F.col("b")).otherwise(F.col("a")), "pairs": F.greatest("da", "db"), "bytes": 8 * (F.col("na") + F.col("nb"))})
+    led = stored(led.select("a", "b", "hub", "other", "pairs", "bytes"))
+    n, total = led.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    parts = max(16, math.ceil(n / PART_PAIRS), math.ceil(total / PART_BYTES))
+    # sizes within a hub are alike, since only sets of like size can be similar
+    salts = F.ceil(F.greatest(F.col("pairs") / UNIT_PAIRS, F.col("pairs") * F.col("bytes") / UNIT_BYTES)).cast("long")
+    salt = F.pmod(F.xxhash64("other"), salts)
+    return led.select(F.pmod(F.xxhash64("hub", salt, F.lit(1)), F.lit(parts)).cast("int").alias("part"), "a", "b")
 
-    These are classes, not links: pairs whose ends are in one component already are skipped, so neither the links nor how
-    many a row has are in the result.
 
-    Words are runs of other than ASCII white space, A-Z lower-cased. A text of fewer than `words` words has one shingle,
-    its whole sequence; texts that are null, empty or white space have none and link with nothing. Rows that repeat an id
-    keep a row each. A null id is larger than any other: alone, its component is null. An empty table gives no rows.
-    Shingles are compared as 64-bit hashes. Only id and text are read, so other columns may have any names.
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b (with set sizes na, nb) whose sets reach the threshold, by exact intersection.
+
+    Pairs travel as ids; each part is sent each set that it needs once.
     """
+    dealt = stored(units(pairs))
+    needs = dealt.select(F.col("part").alias("to"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed_sets = needs.join(sets, "node").select("to", "node", "shingles")
+
+    def check(key, pairs, sets):
+        of = {node: np.frombuffer(x, np.uint64) for node, x in zip(sets.column("node").to_pylist(), sets.column("shingles").to_pylist())}
+        keep = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+            small, large = sorted((of[a], of[b]), key=len)
+            at = np.searchsorted(large, small)
+            at[at == len(large)] = 0
+            both = int(np.count_nonzero(large[at] == small))
+            keep.append(100 * both >= percent * (len(small) + len(large) - both))
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return dealt.groupBy("part").cogroup(needed_sets.groupBy("to")).applyInArrow(check, "a long, b long")
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """doc_id, of, n_shingles, component_id of every row."""
     named = stored(nodes_of(docs, id_col, text_col, words))
     nodes = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"))
     total = named.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
@@ -316,40 +342,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = stored(prefix_lists(docs, id_col, text_col, words, percent, table, total, speak))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Pairs that reach the threshold."""
+        """Pairs (a, b, na, nb) that reach the threshold."""
         pairs = stored(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select("node", F.coalesce("first", F.lit(0)).alias("doc_id"))
+        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.coalesce("first", F.lit(0)).alias("doc_id")))
         return stored(verified(pairs, sets_of(docs, wanted, id_col, text_col, words), percent))
 
-    led = lists.select("node", "matches", F.explode(F.array_distinct(F.array(*[f"lead{i}" for i in range(LEADERS)]))).alias("lead")).where("lead is not null")
-    led = led.groupBy(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min("matches").alias("least"))
-    links = linked(led.where("2 * shared >= least").select("a", "b"))
+    led = lists.select("node", "n", "matches", F.explode(F.array_distinct(F.array(*[f"lead{i}" for i in range(LEADERS)]))).alias("lead")).where("lead is not null")
+    led = led.groupBy(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.min("matches").alias("least"), F.max("n").alias("na"))
+    links = linked(led.where("2 * shared >= least").select("a", "b", "na", F.col("na").alias("nb")))
     groups = components(links)
 
     placed = stored(lists.select("shingle", "node", "n", "matches", "place").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    open_lists = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
-    # the first shingle that two sets share has enough of either set after it to reach the overlap that their sizes ask for
-    early = placed.where(F.col("place") * 100 <= F.col("n") * (100 - percent)).join(open_lists, "shingle")
-    x = early.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), (F.col("n") - F.col("place")).alias("ra"), F.col("component").alias("ca"))
-    y = early.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), (F.col("n") - F.col("place")).alias("rb"), F.col("component").alias("cb"))
-    met = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent))
-    met = stored(met.select("a", "b").distinct())
+    met = stored(candidates(placed, percent))
     # of the set whose prefix ends first, what the prefixes don't show lies beyond its prefix: needed(n) - matches at most
-    sides = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
-    whole = placed.join(sides, "node", "left_semi").groupBy("node").agg(F.collect_list("shingle").alias("prefix"), F.first("n").alias("n"), F.first(F.expr(f"(n * {percent} + 99) div 100") - F.col("matches")).alias("beyond"))
+    sides = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    whole = placed.join(sides, "node", "left_semi").groupBy("node").agg(F.collect_list("shingle").alias("prefix"), F.first(F.expr(f"(n * {percent} + 99) div 100") - F.col("matches")).alias("beyond"))
     whole = stored(whole)
     p, q = (whole.select(*[F.col(c).alias(f"{c}_{k}") for c in whole.columns]) for k in "ab")
     across = met.join(p, met["a"] == p["node_a"]).join(q, met["b"] == q["node_b"])
-    across = across.where((F.size(F.array_intersect("prefix_a", "prefix_b")) + F.greatest("beyond_a", "beyond_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
-    merged = components(links.unionByName(linked(across.select("a", "b"))))
+    across = across.where((F.size(F.array_intersect("prefix_a", "prefix_b")) + F.greatest("beyond_a", "beyond_b")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    merged = components(links.unionByName(linked(across.select("a", "b", "na", "nb"))))
 
     labelled = nodes.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = labelled.join(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("node", "component_id")
     every = named.join(labelled, "node", "left")
-    return every.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return every.select("doc_id", "of", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def candidates(placed: DataFrame, percent: int) -> DataFrame:
+    """a, b, na, nb of pairs in different components that share several prefix shingles, as far as MATCHED counts them.
+
+    Of the shingles that a similar pair shares, in order, the i-th has enough of either set after it to reach, with the
+    i - 1 before it, the overlap that the sizes ask for. So the first k of them stand where k - 1 less is enough, which
+    keeps late shingles of long lists out, and the very first where the whole overlap is.
+    """
+    open_lists = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
+    open_ = placed.join(open_lists, "shingle")
+    x, y = (open_.select("shingle", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("matches").alias(f"k{k}"), (F.col("n") - F.col("place")).alias(f"r{k}"), F.col("component").alias(f"c{k}")) for k in "ab")
+    left, k, sizes = F.least("ra", "rb"), F.least("ka", "kb", F.lit(MATCHED)), (F.col("na") + F.col("nb")) * percent
+    met = x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((left + k - 1) * (100 + percent) >= sizes))
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max(left).alias("left"), F.first(k).alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return met.where((F.col("shared") >= F.col("k")) & (F.col("left") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)).select("a", "b", "na", "nb")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that links of similarity percent / 100 or more reach.
+
+    These are classes, not links: pairs whose ends are in one component already are skipped, so neither the links nor how
+    many a row has are in the result.
+
+    Words are runs of other than ASCII white space, A-Z lower-cased. A text of fewer than `words` words has one shingle,
+    its whole sequence; texts that are null, empty or white space have none and link with nothing. Rows that repeat an id
+    keep a row each. A null id is larger than any other: alone, its component is null. An empty table gives no rows.
+    Shingles and sets are compared as 64-bit hashes. Only id and text are read, so other columns may have any names.
+    """
+    return classes(docs, id_col, text_col, words, percent).drop("of")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay when each group of near duplicates keeps the one with the smallest id; null ids stay."""
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    """The documents that stay when each group of near duplicates keeps the one with the smallest id.
+
+    Rows go by id and text: of rows that repeat an id with other texts each is judged by its own, a null id goes where its
+    group has another id, and rows that repeat id and text stay alike. Dropped rows alone are sent to be found again.
+    """
+    of = free_name(docs, "digest")
+    gone = classes(docs, id_col, text_col, WORDS, PERCENT).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("of").alias("gone_of")).distinct()
+    d = docs.withColumn(of, F.xxhash64(text_col))
+    return d.join(gone, d[id_col].eqNullSafe(gone["gone_id"]) & (d[of] == gone["gone_of"]), "left_anti").drop(of)

@@ -188,3 +188,29 @@ def test_word_tokens_equal_the_tokenizer():
     cases = ["".join(r.choice(pool) for _ in range(r.randint(1, 14))) for _ in range(20_000)] + ["かİ|#", "Xİ.", "</s> <unk>."]
     wrong = [c for c in cases if ours(c.encode()) != np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()]
     assert not wrong, wrong[:5]
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    """2,000 near copies of one text, a template below the threshold, and pairs at its edge, against brute force."""
+    import random
+
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(4000)}"
+    copied, template = [word() for _ in range(120)], [word() for _ in range(60)]
+    rows = []
+    for k in range(2000):
+        w = list(copied)
+        w[r.randrange(120)] = f"own{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(3000 + k, " ".join(template + [word() for _ in range(25)])) for k in range(150)]
+    for k in range(60):  # a tail of changing length: some pairs reach 80 %, some don't
+        w = [word() for _ in range(100)]
+        rows += [(4000 + 2 * k, " ".join(w)), (4001 + 2 * k, " ".join(w[: 80 + k % 16] + [word() for _ in range(10)]))]
+    small = rows[:40] + rows[2000:]
+    want = plain.near_duplicates(small)
+    from riskweave.llm.jaccard_join import near_duplicates
+
+    of = lambda x: {q["doc_id"]: (q["n_shingles"], q["component_id"]) for q in near_duplicates(spark.createDataFrame(x, "doc_id long, text string")).collect()}
+    assert of(small) == want and len({c for _, c in want.values()}) > 200
+    whole = of(rows)
+    assert {whole[k][1] for k in range(2000)} == {0} and all(whole[i] == x for i, x in want.items())
