@@ -3,8 +3,9 @@
 Counts of words and word pairs of every training text are merged by hash range. A pair or word with count c enters the
 filter once for each level 1..1+floor(log_b c); the filter is broadcast, and a count is read back by probing levels until
 one is absent. A text's probability interpolates pair and word probabilities from such probes. Where not all entries fit
-the broadcast, it holds the words and pairs of the highest levels; tokens it cannot decide travel to the stored counts by
-hash range, so that every word and pair counts at any size. The exact base score takes frequent words from a bounded
+the broadcast, it holds the words and pairs of the highest levels. A training text's own words and pairs occur, so that
+one that the filter lacks is at the level below, if there is but one; other tokens it cannot decide travel to the stored
+counts by hash range, so that every word and pair counts at any size. The exact base score takes frequent words from a bounded
 broadcast and all others from a join by hash range.
 """
 
@@ -28,7 +29,7 @@ PAIR_WEIGHT = 0.25
 #: Words with this count are frequent, unless more than FREQUENT_WORDS are (then the count that leaves so many).
 FREQUENT_COUNT, FREQUENT_WORDS = 8, 1 << 20
 #: Tokens that a task gathers before it hands counts on, and tokens for each group of the merging shuffle.
-GATHER, PER_GROUP = 3_000_000, 1_000_000
+GATHER, PER_GROUP = 1_500_000, 1_000_000
 #: Level of a word or pair that the filter cannot decide, and the bytes of one such token: key, word, before, pair, levels.
 OPEN, RECORD = 255, 35
 
@@ -303,6 +304,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str =
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = crc_mod(F.col("doc_id"), folds) == held_out
+    d = d.withColumn("learnt", ~held)
     total = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
     table, bloom, (least_word, least_pair), frequent, n_tokens, n_words = train(d.where(~held).select("text"), total)
     floor = n_tokens + 0.5 * (n_words + 1)
@@ -314,7 +316,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str =
         filter_, hasher = LogBloom(groups, segment, bits), WordHasher()
         for batch in batches:
             data, bounds = byte_column(batch.column(1))
-            ids, found = batch.column(0).to_pylist(), []
+            ids, learnt, found = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False), []
             for i, j in steps(bounds):
                 part = data[bounds[i] : bounds[j]]
                 tokens, at = with_ends(hasher, part, bounds[i : j + 1] - bounds[i])
@@ -326,10 +328,13 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str =
                 previous = np.concatenate([[END], tokens[:-1]]).astype(np.uint64)
                 previous[at[:-1]] = END
                 pairs = pairs_of(tokens, at)
+                own = np.repeat(learnt[i:j], np.diff(at))  # tokens that the counts have
                 word = filter_.levels_from(tokens, least_word)
+                word[own & (word == OPEN) & (least_word == 2)] = 1
                 before = np.concatenate([word[:1], word[:-1]])
                 before[at[:-1]] = filter_.levels_from(np.array([END]), least_word)[0]
                 pair = filter_.levels_from(pairs, least_pair)
+                pair[own & (pair == OPEN) & (least_pair == 2)] = 1
                 pair[(word == OPEN) | (before == OPEN)] = OPEN
                 settled(word, before, pair)
                 waits = (word == OPEN) | (before == OPEN) | (pair == OPEN)
