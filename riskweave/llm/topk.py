@@ -18,25 +18,24 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import stored
 
 SCALE = 256.0
-#: Rows of a block (one bitmap is a bit for each) and queries that meet a block in one row.
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 64
-#: Quantised components beyond this take no part: their products might leave 64 bits.
-LIMIT = 1 << 24
-#: Most bytes of packed queries that are broadcast; more go to the blocks by a shuffle.
+#: Rows of a block (one bitmap is a bit for each).
+BLOCK_ROWS = 16_384
+#: Most bytes of queries that are broadcast at once; more are searched in several rounds over the index, which stays where it is.
 BROADCAST_BYTES = 32 << 20
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id and q, the floors of the scaled components, of rows that take part."""
     v = F.col(vector_col)
-    usable = v.isNotNull() & F.col(id_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < LIMIT / SCALE))
-    return vectors.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("int")).alias("q"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf"))
+    floor = lambda x: F.when(F.abs(x.cast("double") * SCALE) < 2.0**63, F.floor(x.cast("double") * SCALE)).otherwise(F.raise_error(F.lit("a scaled component leaves 64 bits")).cast("long"))
+    return vectors.where(v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, finite)).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, floor).alias("q"))
 
 
 def slices(values: np.ndarray) -> tuple[list[np.ndarray], int]:
     """Bitmaps of the digits of values - min, least significant first, and min."""
     low = int(values.min())
-    up, bitmaps = (values - low).astype(np.uint64), []
+    up, bitmaps = values.view(np.uint64) - np.uint64(low & (1 << 64) - 1), []  # modulo 2**64, where any difference fits
     while up.any():
         bits = np.packbits((up & np.uint64(1)).astype(np.uint8), bitorder="little")
         bitmaps.append(np.pad(bits, (0, -len(bits) % 8)).view(np.uint64))
@@ -141,7 +140,7 @@ def build_index(rows: DataFrame) -> DataFrame:
     def pack(key, batch):
         ids = batch.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        q = batch.column("q").combine_chunks().values.to_numpy().reshape(len(ids), -1)[order].astype(np.int64)
+        q = batch.column("q").combine_chunks().flatten().to_numpy().reshape(len(ids), key[1].as_py())[order].astype(np.int64)
         lows, widths, parts = [], [], []
         for d in range(q.shape[1]):
             bitmaps, low = slices(q[:, d])
@@ -157,42 +156,49 @@ def build_index(rows: DataFrame) -> DataFrame:
 def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best other rows of each row whose id is divisible by query_every.
 
-    The score is the integer inner product of quantised vectors; ties go to the smaller vec_id. Vectors that are null,
-    empty, or hold a null, non-finite or huge (LIMIT) component take no part, nor do null ids; vectors meet only others of
-    their own length. With fewer than k candidates all are returned; a query without any has no row. Rows that repeat an id
-    are candidates each, never of a query of that id, and a repeated query is answered once, by one of its rows (the
-    least vector). An empty table gives no rows. Other columns are not read.
+    The score is the integer inner product of quantised vectors; ties go to the smaller vec_id. Vectors that are null or
+    hold a null or non-finite component take no part, nor do null ids; vectors meet only others of their own length, empty
+    ones too, whose scores are 0. A component or score that leaves 64 bits is an error. With fewer than k candidates all are
+    returned; a query without any has no row. Rows that repeat an id are candidates each, never of a query of that id, and
+    a repeated query is answered once, by one of its rows (the least vector). An empty table gives no rows. Other columns
+    are not read.
     """
     rows = stored(quantised(vectors, id_col, vector_col))
     index = stored(build_index(rows))
-    asked = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
-    n_queries, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("q")), F.lit(0))).first()
-    groups = max(1, -(-n_queries // BLOCK_QUERIES))
-    packed = asked.groupBy(F.size("q").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("part")).agg(F.collect_list(F.struct("vec_id", "q")).alias("queries"))
-    packed = stored(packed)
-    pairs = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
-    meet = pairs.join(F.broadcast(packed) if 8 * width <= BROADCAST_BYTES else packed, ["dims", "part"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded, block = None, None
-        for batch in batches:
-            for row in range(batch.num_rows):
-                at = (batch.column("block")[row].as_py(), batch.column("dims")[row].as_py())
-                if at != loaded:
-                    ids = np.frombuffer(batch.column("ids")[row].as_py(), dtype="<i8")
+    asked = stored(rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("q").alias("q")))
+    size = asked.agg(F.coalesce(F.sum(8 * F.size("q") + 16), F.lit(0))).first()[0]
+    rounds = max(1, -(-size // BROADCAST_BYTES))
+    context = rows.sparkSession.sparkContext
+    # while there are fewer blocks than tasks, each block is searched for a part of the queries at a time
+    parallel = 4 * max(1, context.defaultParallelism)
+    parts = max(1, -(-parallel // max(1, index.count())))
+    blocks = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parallel, "block", "part") if parts > 1 else index.withColumn("part", F.lit(0))
+
+    def searched(queries) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    ids = np.frombuffer(row["ids"], dtype="<i8")
                     words = -(-len(ids) // 64)
-                    bits = np.frombuffer(batch.column("bits")[row].as_py(), dtype=np.uint64).reshape(-1, words)
-                    index, first = [], 0
-                    for low, w in zip(batch.column("lows")[row].as_py(), batch.column("widths")[row].as_py()):
-                        index.append((list(bits[first : first + w]), low))
-                        first += w
+                    bits = np.frombuffer(row["bits"], dtype=np.uint64).reshape(-1, words)
+                    ends = np.cumsum([0, *row["widths"]]).tolist()
+                    attributes = [(list(bits[a:b]), low) for a, b, low in zip(ends, ends[1:], row["lows"])]
                     valid = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view(np.uint64)
-                    loaded, block = at, (index, valid, ids)
-                found = [(x["vec_id"], vec_id, score) for x in batch.column("queries")[row].as_py() for vec_id, score in search_block(*block, np.array(x["q"]), x["vec_id"], k)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*found) if found else [[]] * 3)], names=["query_id", "vec_id", "score"])
-
-    parallel = max(1, int(rows.sparkSession.sparkContext.defaultParallelism)) * 4
-    meet = meet.repartition(parallel, "block", "part") if 8 * width <= BROADCAST_BYTES else meet
-    found = meet.mapInArrow(search, "query_id long, vec_id long, score long")
+                    own, vectors = queries.value.get(row["dims"], ((), ()))
+                    found = [(q, vec_id, score) for q, x in zip(own[row["part"] :: parts], vectors[row["part"] :: parts]) for vec_id, score in search_block(attributes, valid, ids, x, q, k)]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*found) if found else [[]] * 3)], names=["query_id", "vec_id", "score"])
+
+        return blocks.mapInArrow(search, "query_id long, vec_id long, score long")
+
+    found = None
+    for g in range(rounds):
+        of: dict[int, tuple[list, list]] = {}
+        for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == g).collect():  # BROADCAST_BYTES or so
+            ids, vectors_of = of.setdefault(len(r["q"]), ([], []))
+            ids.append(r["vec_id"])
+            vectors_of.append(np.array(r["q"], dtype=np.int64))
+        one = searched(context.broadcast(of))
+        one = stored(one) if rounds > 1 else one
+        found = one if found is None else found.unionByName(one)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

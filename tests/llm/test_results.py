@@ -214,3 +214,22 @@ def test_near_duplicates_of_a_large_group(spark):
     assert of(small) == want and len({c for _, c in want.values()}) > 200
     whole = of(rows)
     assert {whole[k][1] for k in range(2000)} == {0} and all(whole[i] == x for i, x in want.items())
+
+
+@pytest.mark.parametrize("most", [32 << 20, 200])  # all queries in one broadcast; many rounds
+def test_top_k_of_large_components_and_repeats(spark, monkeypatch, most):
+    from riskweave.llm import topk
+
+    r = np.random.default_rng(1)
+    rows = [(int(k), [float(x) for x in r.normal(0, 1, 3)]) for k in range(300)] + [(1000, [1e6, 2e6, -3e6]), (1001, [1e6, -1e6, 70000.0]), (1002, []), (1050, []), (1003, []), (1100, [0.0] * 3), (1101, None), (1102, [math.inf] * 3), (7, [9.0] * 3), (7, [9.0] * 3), (50, [-9.0] * 3)]
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(map(math.isfinite, v))]
+    want = []
+    for q in sorted({i for i, _ in ok if i % 50 == 0}):
+        x = min(v for i, v in ok if i == q)
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in ok if i != q and len(x) == len(y))[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", most)
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, found)) == want
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
