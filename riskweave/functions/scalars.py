@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Token, status and risk weight of cryptographic algorithms; the first token that a name holds decides.
 ALGORITHMS = (
@@ -13,8 +14,13 @@ ALGORITHMS = (
     ("RSA", "quantum_vulnerable", 1.0), ("ECDSA", "quantum_vulnerable", 1.0), ("ECDHE", "quantum_vulnerable", 1.0), ("ECDH", "quantum_vulnerable", 1.0), ("ECC", "quantum_vulnerable", 1.0),
     ("DSA", "quantum_vulnerable", 1.0), ("DIFFIE", "quantum_vulnerable", 1.0), ("DH", "quantum_vulnerable", 1.0),
 )
+# Families of those tokens (all others are asymmetric), weights of sensitivity, replacements by purpose.
+FAMILIES = {"pqc": ("ML-KEM", "KYBER", "ML-DSA", "DILITHIUM", "SPHINCS"), "symmetric": ("AES-256", "AES256", "AES-128", "AES128", "3DES"), "hash": ("MD5", "SHA-1", "HMAC", "SHA-256", "SHA256")}
+REPLACEMENTS = {"key_exchange": "ML-KEM (Kyber)", "signature": "ML-DSA (Dilithium)"}
 SENSITIVITY = {"public": 0.1, "internal": 0.4, "confidential": 0.7, "restricted": 1.0}
 USER_ID, PC_ID = "^[A-Z]{3}[0-9]{4}$", "^PC-[0-9]{4}$"
+US_TIME = "MM/dd/yyyy HH:mm:ss"
+ISO_TIME = "^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
 LOG_FORMATS = ("dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd HH:mm")
 
 
@@ -23,6 +29,16 @@ def parse_any(text: Column, formats: tuple[str, ...] = LOG_FORMATS) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
+def us_time(text: Column) -> Column:
+    """A time like 01/31/2010 07:00:00, else null."""
+    return parse_any(text, (US_TIME,))
+
+
+def iso_time(text: Column) -> Column:
+    """An ISO-8601 date or time; Z and offsets count, without either it is UTC's session time; anything else is null."""
+    return F.when(text.rlike(ISO_TIME), text.try_cast("timestamp"))
+
+
 def strict_bool(text: Column) -> Column:
     """True, False or, for an empty text, null; anything else raises."""
     return F.when(text == "True", True).when(text == "False", False).when((text == "") | text.isNull(), None).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), text)))
@@ -34,11 +50,24 @@ def to_utc(local: Column, zone: str) -> Column:
     return F.when(F.from_utc_timestamp(utc, zone) == local, utc)
 
 
+def to_utc_strict(local: Column, zone: str) -> Column:
+    """Local time to UTC; a time that the zone skips, or has twice, raises."""
+    utc = F.to_utc_timestamp(local, zone)
+    again = (F.from_utc_timestamp(utc + F.expr("interval 1 hour"), zone) == local) | (F.from_utc_timestamp(utc - F.expr("interval 1 hour"), zone) == local)
+    fault = lambda what: F.raise_error(F.concat(F.lit(f"{what} time in {zone}: "), local.cast("string"))).cast("timestamp")
+    return F.when(F.from_utc_timestamp(utc, zone) != local, fault("skipped")).when(again, fault("ambiguous")).otherwise(utc)
+
+
 def number(text: Column) -> Column:
     """A double; null, NaN and garbage are 0."""
     return F.coalesce(F.nanvl(text.try_cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
+def flag_number(flag: Column) -> Column:
+    """A boolean as 0 or 1; null is 0."""
+    return F.coalesce(flag.cast("double"), F.lit(0.0))
+
+
 def logistic(score: Column, slope: float = 45.0) -> Column:
     return F.round(1 / (1 + F.exp(score * slope)), 4)
 
@@ -61,6 +90,22 @@ def algorithm(name: Column) -> tuple[Column, Column]:
     return status, risk
 
 
+def family(name: Column) -> Column:
+    """The family of the token that decides."""
+    upper, out = F.upper(F.coalesce(name, F.lit(""))), F.lit("unknown")
+    for token, _, _ in reversed(ALGORITHMS):
+        out = F.when(F.contains(upper, F.lit(token)), next((f for f, ts in FAMILIES.items() if token in ts), "asymmetric")).otherwise(out)
+    return out
+
+
+def replacement(status: Column, family_: Column, purpose: Column) -> Column:
+    """What should take an algorithm's place."""
+    by_purpose = F.lit("ML-KEM / ML-DSA")
+    for k, v in REPLACEMENTS.items():
+        by_purpose = F.when(purpose == k, v).otherwise(by_purpose)
+    return F.when(status.isin("quantum_safe", "pqc", "quantum_adequate"), "none (already adequate)").when(family_ == "symmetric", "AES-256").otherwise(by_purpose)
+
+
 def sensitivity(level: Column) -> Column:
     w = F.lit(0.4)
     for k, v in SENSITIVITY.items():
@@ -91,3 +136,17 @@ def log_fields(line: Column) -> dict[str, Column]:
 
 def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def canonical_json(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """Rows as JSON with names in order at every depth, times in ISO-8601 UTC; nulls are left out."""
+
+    def clean(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[clean(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: clean(x, kind.elementType))
+        return iso_utc(c) if isinstance(kind, T.TimestampType) else c
+
+    names = sorted(columns or df.columns)
+    return F.to_json(F.struct(*[clean(F.col(f"`{n}`"), df.schema[n].dataType).alias(n) for n in names]))

@@ -80,3 +80,8 @@ def short_gap(minutes: Column) -> Column:
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
+def by_landing(incidents: DataFrame, landed: str = "landed_at", last: str = "incident_id") -> DataFrame:
+    """The latest landing time first, untimed incidents last."""
+    return incidents.orderBy(F.desc_nulls_last(landed), last)

@@ -123,9 +123,10 @@ def max_abs(columns: list[str]) -> Column:
 
 
 def knots(rows: DataFrame, score: str, n: int = KNOTS) -> DataFrame:
-    """i and knot: n + 1 quantiles of a score, never falling."""
+    """i and knot: n + 1 quantiles of a score, and their running maximum, so that rounding never makes one fall."""
     q = rows.agg(F.percentile(score, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("q"))
-    return q.select(F.posexplode("q").alias("i", "knot"))
+    rising = F.aggregate("q", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.greatest(x, F.coalesce(F.try_element_at(a, F.lit(-1)), x)))))
+    return q.select(F.posexplode(rising).alias("i", "knot"))
 
 
 def top_deviations(zs: list[str], k: int = 3) -> Column:
@@ -229,19 +230,75 @@ def fraud_scores(rows: DataFrame, model, features: list[str], out: str = "fraud_
     return model.transform(filled).withColumn(out, vector_to_array("probability")[1]).drop("__features", "rawPrediction", "probability", "__prediction", "__weight", *[f"{f}__missing" for f in features])
 
 
-def tfidf_top(docs: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
-    """key and the k terms of the largest weight: smoothed idf, unit length per document."""
+def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, term and weight: smoothed idf, unit length per document."""
     tokens = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("term"))
     tf = tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = docs.count()
     w = tf.join(df, "term").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    w = w.withColumn("w", F.round(F.col("w") / norm, 9))
+    return w.select(key, "term", F.round(F.col("w") / norm, 9).alias("w"))
+
+
+def tfidf_top(docs: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
+    """key and the k terms of the largest weight."""
     rn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("w"), "term"))
-    return w.withColumn("rn", rn).where(F.col("rn") <= k).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "term"))), lambda x: x["term"]), " ").alias("terms"))
+    return tfidf(docs, key, text).withColumn("rn", rn).where(F.col("rn") <= k).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "term"))), lambda x: x["term"]), " ").alias("terms"))
 
 
 def templates(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines with their numbers masked, and how often each form occurs."""
     return lines.groupBy(F.regexp_replace(line, "[0-9]+", "<*>").alias("template")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def perturbed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Features moved far out by what their names say: a ratio to 1, bytes by a million, anything else by ten."""
+    return rows.withColumns({c: F.lit(1.0) if "ratio" in c else F.col(c).cast("double") + (1e6 if "bytes" in c else 10.0) for c in columns})
+
+
+def risk_deltas(before: DataFrame, after: DataFrame, key: str, risk: str) -> DataFrame:
+    """How risk moves from one table to the other: median, mean, and the share of rows where it rises."""
+    delta = F.col("later") - F.col("earlier")
+    both = before.select(key, F.col(risk).alias("earlier")).join(after.select(key, F.col(risk).alias("later")), key)
+    return both.agg(F.median(delta).alias("median_risk_delta"), F.avg(delta).alias("mean_risk_delta"), F.avg((delta > 0).cast("double")).alias("fraction_risk_increased"))
+
+
+def select_variant(rows: DataFrame, variant: str, risk: str, date: str, threshold: float = ALERT) -> DataFrame:
+    """The variant whose daily alert rate varies least (deviation by mean, 0 without alerts); the first by name at a tie."""
+    daily = rows.groupBy(variant, date).agg(F.avg((F.col(risk) >= threshold).cast("double")).alias("r"))
+    cv = daily.groupBy(variant).agg(F.when(F.avg("r") > 0, F.stddev_pop("r") / F.avg("r")).otherwise(0.0).alias("daily_cv"))
+    return cv.agg(F.min(F.struct("daily_cv", variant)).alias("best")).select(f"best.{variant}", "best.daily_cv")
+
+
+def ranked_importance(importance: DataFrame) -> DataFrame:
+    """Features with their places, the largest first, by name at a tie; one row a feature."""
+    return importance.withColumn("place", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
+
+
+def buffer_decisions(buffer: DataFrame, key: str, text: str, contamination: float = 0.05, window: int = 50, trees: int = 100, seed: int = 42) -> DataFrame:
+    """key, prediction (-1 or 1), decision and terms of a buffer of logs; no rows until it is full.
+
+    Logs become TF-IDF vectors of the buffer's own terms; an isolation forest scores them, and the share `contamination`
+    with the highest scores lies below decision 0. terms: the five heaviest of a log. The buffer holds `window` rows.
+    """
+    spark = buffer.sparkSession
+    schema = f"{key} {dict(buffer.dtypes)[key]}, prediction int, decision double, terms string"
+    if buffer.count() < window:
+        return spark.createDataFrame([], schema)
+    weights = tfidf(buffer, key, text)
+    names = [r[0] for r in weights.select("term").distinct().orderBy("term").collect()]  # terms of `window` logs
+    wide = buffer.select(key).join(weights.groupBy(key).pivot("term", names).agg(F.first("w")), key, "left").fillna(0.0)
+    columns = [f"t{i}" for i in range(len(names))]
+    wide = wide.toDF(key, *columns)
+    scored = anomaly_scores(wide, columns, isolation_forest(wide, columns, key, trees, window, seed)).select(key, "anomaly")
+    offset = scored.agg(F.percentile("anomaly", F.lit(1.0 - contamination)).alias("offset"))
+    decided = scored.join(offset).withColumn("decision", F.col("offset") - F.col("anomaly"))
+    return decided.join(tfidf_top(buffer, key, text), key, "left").select(key, F.when(F.col("decision") < 0, -1).otherwise(1).alias("prediction"), "decision", "terms")
+
+
+def anomaly_report(decisions: DataFrame) -> DataFrame:
+    """One row of totals, with the anomalies as an array of the buffer's bounded size."""
+    bad = F.col("prediction") == -1
+    n = F.count(F.lit(1))
+    return decisions.agg(n.alias("total_logs"), F.count_if(~bad).alias("normal_count"), F.count_if(bad).alias("anomalies_count"), F.when(n > 0, F.count_if(bad) * 100.0 / n).otherwise(0.0).alias("anomaly_percentage"), F.collect_list(F.when(bad, F.struct(*decisions.columns))).alias("anomalies"))

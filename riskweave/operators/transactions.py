@@ -137,3 +137,18 @@ def time_split(tx: DataFrame, train: float = 0.6, val: float = 0.8) -> DataFrame
 
 def first_positive(column: Column) -> Column:
     return F.when(column > 0, column)
+
+
+def joined_back(pairs: DataFrame, tx: DataFrame, keys: tuple[str, ...] = ("nameOrig", "step", "amount")) -> DataFrame:
+    """The raw rows of distinct keys, with how many rows each key has found, 0 too: a caller wants exactly one."""
+    wanted = pairs.select(*keys).distinct()
+    n = wanted.join(tx.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")), list(keys), "left").fillna(0, ["n_rows"])
+    return n.join(tx, list(keys), "left")
+
+
+def exactly_one(found: DataFrame, keys: tuple[str, ...] = ("nameOrig", "step", "amount")) -> DataFrame:
+    """What joined_back found; raises unless each key has one row."""
+    bad = [tuple(r) for r in found.where("n_rows <> 1").select(*keys, "n_rows").distinct().limit(5).collect()]
+    if bad:
+        raise ValueError(f"keys without exactly one row: {bad}")
+    return found.drop("n_rows")

@@ -406,3 +406,12 @@ def list_dates(act: DataFrame) -> DataFrame:
 @query("dedupe_first", "act", "select source, pc_id, event_id from act qualify row_number() over (partition by source, pc_id order by event_time, event_id) = 1")
 def dedupe_first(act: DataFrame) -> DataFrame:
     return q.first_per_key(act, ["source", "pc_id"], ["event_time", "event_id"]).select("source", "pc_id", "event_id")
+
+
+@query("dq_invalid_values", "act", """with u as (select distinct user_id as v from act where not regexp_full_match(user_id, '[A-Z]{3}[0-9]{4}')), p as (select distinct pc_id as v from act where not regexp_full_match(pc_id, 'PC-[0-9]{4}')),
+e as (select distinct event_type as v from act where not coalesce(case source when 'logon' then event_type in ('Logon', 'Logoff') when 'device' then event_type in ('Connect', 'Disconnect') when 'file' then event_type in ('File Open', 'File Write', 'File Copy', 'File Delete') when 'email' then event_type in ('Send', 'View') end, false))
+select 'user_id' as kind, (select count(*) from u) as n, coalesce((select string_agg(v, ',' order by v) from (select v from u order by v limit 20) x), '') as examples
+union all select 'pc_id', (select count(*) from p), coalesce((select string_agg(v, ',' order by v) from (select v from p order by v limit 20) x), '')
+union all select 'event_type', (select count(*) from e), coalesce((select string_agg(v, ',' order by v) from (select v from e order by v limit 20) x), '')""")
+def dq_invalid_values(act: DataFrame) -> DataFrame:
+    return q.invalid_values(act)

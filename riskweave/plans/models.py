@@ -204,3 +204,21 @@ def m_anomaly_adapter(act: DataFrame) -> DataFrame:
     kinds = act.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("kinds"))
     further = F.slice(F.array_except("kinds", F.array("t.event_type")), 1, 2)
     return top.join(kinds, "user_id").select("user_id", F.col("t.event_type").alias("top_activity"), F.array_join(further, ",").alias("further"))
+
+
+@query("m_select_cv", "events", """with d as (select event_type, ts::date as day, avg((value >= 60)::int::double) as r from events group by all), c as (select event_type, case when avg(r) > 0 then stddev_pop(r) / avg(r) else 0 end as daily_cv from d group by 1)
+select event_type, round(daily_cv, 9) as daily_cv from c order by c.daily_cv, event_type limit 1""")
+def m_select_cv(events: DataFrame) -> DataFrame:
+    rows = events.select("event_type", "value", F.to_date("ts").alias("day"))
+    return m.select_variant(rows, "event_type", "value", "day", 60.0).select("event_type", F.round("daily_cv", 9).alias("daily_cv"))
+
+
+@query("m_importance_ranked", "lineitem", "select *, (row_number() over (order by importance desc, feature))::int as place from (" + " union all ".join(f"select '{f}' as feature, round(avg(abs({p})), 6) as importance from lineitem" for f, p in PHI.items()) + ") x")
+def m_importance_ranked(lineitem: DataFrame) -> DataFrame:
+    return m.ranked_importance(m_importance(lineitem))
+
+
+@query("m_perturbed", "lineitem", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, 1.0::double as tax_ratio, l_extendedprice::double + 1000000 as price_bytes, l_quantity::double + 10 as quantity from lineitem")
+def m_perturbed(lineitem: DataFrame) -> DataFrame:
+    rows = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_tax").cast("double").alias("tax_ratio"), F.col("l_extendedprice").cast("double").alias("price_bytes"), F.col("l_quantity").cast("double").alias("quantity"))
+    return m.perturbed(rows, ["tax_ratio", "price_bytes", "quantity"])

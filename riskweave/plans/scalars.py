@@ -101,3 +101,32 @@ def json_in_string(events: DataFrame) -> DataFrame:
 @query("file_fingerprint", "region")
 def file_fingerprint(region: DataFrame) -> DataFrame:
     return readers.fingerprints(region.sparkSession, region.inputFiles())
+
+
+FAMILY = "case " + " ".join(f"when contains(upper(crypto_algorithm), '{t}') then '{next((f for f, ts in s.FAMILIES.items() if t in ts), 'asymmetric')}'" for t, _, _ in s.ALGORITHMS) + " else 'unknown' end"
+
+
+@query("s_asset_replacement", "ast", f"select asset_id, family, case when status in ('quantum_safe', 'pqc', 'quantum_adequate') then 'none (already adequate)' when family = 'symmetric' then 'AES-256' when purpose = 'key_exchange' then 'ML-KEM (Kyber)' when purpose = 'signature' then 'ML-DSA (Dilithium)' else 'ML-KEM / ML-DSA' end as replacement from (select *, {STATUS} as status, {FAMILY} as family from ast) x")
+def s_asset_replacement(ast: DataFrame) -> DataFrame:
+    status, _ = s.algorithm(F.col("crypto_algorithm"))
+    kind = s.family(F.col("crypto_algorithm"))
+    return ast.select("asset_id", kind.alias("family"), s.replacement(status, kind, F.col("purpose")).alias("replacement"))
+
+
+@query("s_iso_time", "events", "select event_id, case when event_id % 7 = 0 then null else date_trunc('second', ts)::timestamp - (event_id % 5) * interval '1' hour end as t from events")
+def s_iso_time(events: DataFrame) -> DataFrame:
+    ts = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    text = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 5 == 0, "Z").otherwise(F.format_string("+%02d:00", F.col("event_id") % 5)))
+    return events.select("event_id", s.iso_time(F.when(F.col("event_id") % 7 == 0, "nonsense").otherwise(text)).alias("t"))
+
+
+@query("s_us_time", "events", "select event_id, case when event_id % 7 = 0 then null else date_trunc('second', ts)::timestamp end as t from events")
+def s_us_time(events: DataFrame) -> DataFrame:
+    return events.select("event_id", s.us_time(F.when(F.col("event_id") % 7 == 0, "31/31/2024").otherwise(F.date_format("ts", "MM/dd/yyyy HH:mm:ss"))).alias("t"))
+
+
+@query("s_canonical_json", "asm", """select assessment_id, '{"assessment_id":"' || assessment_id || '","at":{"day":"' || strftime(coalesce(event_time, timestamp '2024-01-01'), '%Y-%m-%dT%H:%M:%SZ') || '","of":"' || "domain" || '"},"entity_id":"' || entity_id || '"}' as json from asm""")
+def s_canonical_json(asm: DataFrame) -> DataFrame:
+    at = F.struct(F.col("domain").alias("of"), F.coalesce("event_time", F.timestamp_add("DAY", F.lit(0), F.lit("2024-01-01").cast("timestamp"))).alias("day"))
+    df = asm.select("entity_id", at.alias("at"), "assessment_id")
+    return df.select("assessment_id", s.canonical_json(df).alias("json"))

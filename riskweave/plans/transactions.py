@@ -93,3 +93,9 @@ parts as (select case when step <= a then 'train' when step <= greatest(b, a + 1
 select part, count(*) as n_rows, sum(isFraud)::bigint as n_fraud from parts group by part""")
 def t_time_split(led: DataFrame) -> DataFrame:
     return t.time_split(led).groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("isFraud").alias("n_fraud"))
+
+
+@query("t_joined_back", "led", """with k as (select distinct nameOrig, step, amount from led where isFraud = 1)
+select k.nameOrig, k.step, k.amount, led.row_id, count(*) over (partition by k.nameOrig, k.step, k.amount) as n_rows from k join led on k.nameOrig = led.nameOrig and k.step = led.step and k.amount = led.amount""")
+def t_joined_back(led: DataFrame) -> DataFrame:
+    return t.joined_back(led.where("isFraud = 1"), led).select("nameOrig", "step", "amount", "row_id", "n_rows")

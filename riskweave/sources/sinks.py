@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,3 +37,26 @@ def write_partitioned(df: DataFrame, keys: list[str], path: str | None = None, m
 def write_report(df: DataFrame, path: str) -> None:
     """A few rows of figures as JSON lines."""
     df.coalesce(1).write.mode("errorifexists").json(path)
+
+
+class OutputExists(ValueError):
+    """A result stands where another should be written."""
+
+
+def published(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
+    """Let `write` fill a staging folder beside path and then rename it, so that readers see all of a result or none.
+
+    An existing path is refused before anything is written; a failed write leaves nothing behind.
+    """
+    jvm, stage = spark._jvm, f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    to, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(stage)
+    fs = to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(to):
+        raise OutputExists(path)
+    try:
+        write(stage)
+        if fs.exists(to) or not fs.rename(staged, to):
+            raise OutputExists(path)
+    finally:
+        fs.delete(staged, True)
+    return path

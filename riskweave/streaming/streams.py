@@ -95,7 +95,7 @@ def ingest(stream: DataFrame, ledger: str, dead: str, checkpoint: str, each: Cal
         spark = df.sparkSession
         checked = c.invalid(df).persist()
         bad = checked.where(F.size("errors") > 0)
-        bad.select(F.to_json(F.struct(*df.columns)).alias("payload"), F.array_join("errors", ",").alias("error")).write.mode("overwrite").json(f"{dead}/batch={number}")
+        bad.select(F.to_json(F.struct(*df.columns)).alias("payload"), F.array_join("errors", ",").alias("error"), F.col("errors").alias("details")).write.mode("overwrite").json(f"{dead}/batch={number}")
         good = c.dedupe(checked.where(F.size("errors") == 0).drop("errors"), ["event_time"])
         earlier = _earlier(spark, ledger, number, good)
         good = c.new_only(good, earlier) if earlier is not None else good
@@ -123,3 +123,8 @@ def buffered(stream: DataFrame, keep: int, folder: str, checkpoint: str, each: C
         each(df.sparkSession.read.parquet(f"{folder}/tail-{number}"))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+
+
+def snapshots(stream: DataFrame, folder: str, checkpoint: str, of: Callable[[DataFrame], DataFrame]):
+    """After each batch the whole result of `of` over it takes the place of the one before, as JSON."""
+    return stream.writeStream.foreachBatch(lambda df, _: of(df).coalesce(1).write.mode("overwrite").json(folder)).option("checkpointLocation", checkpoint).start()
