@@ -216,12 +216,10 @@ def accepted(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     """
     model = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels, folds, held_out, sample, id_col, text_col))
 
-    at = docs.columns.index(text_col)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def good(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         passages = Passages()
-        for batch in batches:
-            good = probabilities(passages, model.value, batch.column(at)) >= THRESHOLD
-            yield batch.filter(pa.array(good | (not model.value.fitted)))
+        for column in texts:
+            yield pa.array((probabilities(passages, model.value, column) >= THRESHOLD) | (not model.value.fitted))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.where(good(text_col))  # the text alone goes to Python
