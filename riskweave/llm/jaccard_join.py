@@ -42,7 +42,7 @@ PART_NODES, WANTED_BITS = 1 << 16, 1 << 26
 MATCHED = 2
 #: Shingles that a task gathers before it hands them on, shingles for each group of the counting shuffle, and shingles of
 #: whole sets in one message.
-GATHER, PER_GROUP, SENT = 2_000_000, 500_000, 1 << 20
+GATHER, PER_GROUP, SENT = 1_000_000, 500_000, 1 << 19
 #: Pairs and bytes of sets that a part of the exact comparison should have, and one unit of a hub's pairs.
 PART_PAIRS, PART_BYTES, UNIT_PAIRS, UNIT_BYTES = 512, 8 << 20, 64, 2 << 20
 #: Leaders of each list in the first round: the node with the largest share of frequent shingles, then by hash.
