@@ -23,7 +23,7 @@ from riskweave.llm.common import per_worker, stored
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers; beyond it the memory starts anew. Long words are never kept.
-CACHE_WORDS, CACHE_LENGTH = 100_000, 48
+CACHE_WORDS, CACHE_LENGTH = 250_000, 48
 #: Rows that one part of a length should have when it is ranked, and parts of each length at most (8 bytes each in the
 #: broadcast table of first ranks).
 PER_PART, SALTS = 1 << 16, 1 << 11
