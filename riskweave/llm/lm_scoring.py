@@ -29,7 +29,9 @@ PAIR_WEIGHT = 0.25
 #: Words with this count are frequent, unless more than FREQUENT_WORDS are (then the count that leaves so many).
 FREQUENT_COUNT, FREQUENT_WORDS = 8, 1 << 20
 #: Tokens that a task gathers before it hands counts on, and tokens for each group of the merging shuffle.
-GATHER, PER_GROUP = 1_500_000, 1_000_000
+GATHER, PER_GROUP = 750_000, 500_000
+#: Bytes of text that are scored at a time (one longer text is taken alone).
+SCORED_BYTES = 1 << 18
 #: Level of a word or pair that the filter cannot decide, and the bytes of one such token: key, word, before, pair, levels.
 OPEN, RECORD = 255, 35
 
@@ -317,7 +319,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str =
         for batch in batches:
             data, bounds = byte_column(batch.column(1))
             ids, learnt, found = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False), []
-            for i, j in steps(bounds):
+            for i, j in steps(bounds, SCORED_BYTES):
                 part = data[bounds[i] : bounds[j]]
                 tokens, at = with_ends(hasher, part, bounds[i : j + 1] - bounds[i])
                 place = np.searchsorted(words, tokens)
