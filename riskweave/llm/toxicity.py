@@ -1,9 +1,11 @@
 """Toxicity by weak supervision.
 
-Many lexicon voters (groups of words and word beginnings that training labels point to) and pattern voters (shouting,
-masking, repetition) vote on training rows. A generative model of the unknown truth estimates how accurate each voter is
-and which voters depend on each other, as a tree over the voters, by expectation maximisation; given labels are one more
-noisy voter. A linear classifier then learns from the posterior labels and scores every whole text.
+Many lexicon voters (groups of words and word beginnings) and pattern voters (shouting, masking, repetition) vote on
+training rows. A lexicon comes from the labels of other rows than those it votes on, so no vote knows its row's own label.
+A generative model of the unknown truth sees the votes alone and estimates how accurate each voter is and which voters
+depend on each other, as a tree over the voters, by expectation maximisation. A linear classifier then learns from the
+posterior labels and scores every whole text. Given labels choose the lexicon entries, tell the share of toxic rows that
+the estimation starts from, and calibrate: the posterior by two numbers, the score on rows that nothing else learns from.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from riskweave.llm.common import _BYTE, _LOWER, _R, _R_INV
 from riskweave.llm.fitting import logistic, platt, sigmoid, training_rows
 
 #: Labelled rows that are fitted on, at most; buckets of hashed features; lexicon entries and the voters that share them.
-SAMPLE, BUCKETS, ENTRIES, LEXICONS = 9_000, 1 << 20, 240, 24
+SAMPLE, BUCKETS, ENTRIES, LEXICONS = 9_000, 1 << 20, 96, 24
+#: A lexicon entry's toxic share less one standard error is at least this; parts of the sample, the first to calibrate on.
+SURE, PARTS = 0.35, 5
 #: Bytes of word beginnings that count as features beside whole words.
 STARTS = (4, 5, 6)
 #: A feature in fewer training documents is not used; standard errors from the base rate that make one clear.
-LEAST, CLEAR = 5, 4.0
+LEAST, CLEAR = 5, 3.0
 THRESHOLD = 0.7
 
 _ALNUM = np.zeros(256, dtype=bool)
@@ -135,6 +139,40 @@ class LabelModel:
         return parent
 
 
+def lexicon(column: np.ndarray, label: np.ndarray, share: float, buckets: int) -> np.ndarray:
+    """Voter of each bucket, -1 where none, from pairs of a bucket in a row and that row's label.
+
+    Entries are the features that the labels make surest; they are dealt to the voters by rank, so voters are alike.
+    """
+    held, toxic = np.bincount(column, minlength=buckets), np.bincount(column, weights=label, minlength=buckets)
+    clear = (held >= LEAST) & (toxic - held * share > 3.0 * np.sqrt(held * share * (1 - share)))
+    p = (toxic + share) / (held + 1)
+    sure = np.where(clear, p - np.sqrt(p * (1 - p) / (held + 1)), 0.0)
+    entries = np.argsort(-sure, kind="stable")[:ENTRIES]
+    entries = entries[sure[entries] >= SURE]
+    voter = np.full(buckets, -1)
+    voter[entries] = np.arange(len(entries)) % LEXICONS
+    return voter
+
+
+def cast_votes(row: np.ndarray, column: np.ndarray, patterns: np.ndarray, y: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
+    """Votes on each row (0 abstains, 1 toxic, 2 clean) by lexicons of the other parts but the first, and by patterns.
+
+    The last voter says clean where no lexicon voter says anything.
+    """
+    n = len(y)
+    votes = np.zeros((n, LEXICONS + PATTERNS + 1), dtype=np.int64)
+    for k in range(1, PARTS):
+        others = (part != k) & (part != 0)
+        mine = others[row]
+        voter = lexicon(column[mine], y[row[mine]], y[others].mean() if others.any() else 0.5, buckets)
+        hit = (part == k)[row] & (voter[column] >= 0)
+        votes[row[hit], voter[column[hit]]] = 1
+    votes[:, LEXICONS : LEXICONS + PATTERNS] = patterns
+    votes[:, -1] = np.where(votes[:, :LEXICONS].any(1), 0, 2)
+    return votes
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS) -> tuple[np.ndarray, float, tuple[float, float]]:
     """Weights, intercept and calibration from (buckets, patterns, label) of the sample; a fifth is kept to calibrate on."""
     y = np.array([r[2] for r in rows], dtype=float)
@@ -142,26 +180,20 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS)
         return np.zeros(buckets), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), (1.0, 0.0)
     n = len(rows)
     row, column = np.repeat(np.arange(n), [len(r[0]) for r in rows]), np.concatenate([r[0] for r in rows])
-    learn = np.arange(n) % 5 != 0
+    part = np.arange(n) % PARTS
+    learn = part != 0
     inside = learn[row]
-    # lexicon: features that labels point to most, by how far their toxic share stands above the base rate
-    held, toxic = np.bincount(column[inside], minlength=buckets), np.bincount(column[inside], weights=y[row[inside]], minlength=buckets)
-    base = y[learn].mean()
-    z = np.where(held >= LEAST, (toxic - held * base) / np.sqrt(held * base * (1 - base) + 1e-9), 0.0)
-    entries = np.argsort(-z, kind="stable")[:ENTRIES]
-    entries = entries[z[entries] > 3.0]
-    voter = np.full(buckets, -1)
-    voter[entries] = np.arange(len(entries)) % LEXICONS
-    votes = np.zeros((n, LEXICONS + PATTERNS + 2), dtype=np.int64)  # 0 abstains, 1 toxic, 2 clean
-    hit = voter[column] >= 0
-    votes[row[hit], voter[column[hit]]] = 1
-    votes[:, LEXICONS : LEXICONS + PATTERNS] = np.stack([r[1] for r in rows])
-    votes[np.bincount(row[hit], minlength=n) == 0, LEXICONS + PATTERNS] = 2
-    votes[:, -1] = np.where(y > 0.5, 1, 2)
-    model = LabelModel(votes[learn], np.where(y[learn] > 0.5, 0.9, 0.1))
-    posterior = model.posterior(votes[learn])
+    votes = cast_votes(row, column, np.stack([r[1] for r in rows]), y, part, buckets)[learn]
+    # the estimation starts from the rows with most lexicon votes, about as many as labels say are toxic
+    said = votes[:, :LEXICONS].sum(1)
+    model = LabelModel(votes, np.where(said >= max(1.0, np.quantile(said, 1 - y[learn].mean())), 0.9, 0.1))
+    found = model.posterior(votes)
+    odds = np.log(np.clip(found, 1e-9, 1) / np.clip(1 - found, 1e-9, 1))
+    slope, shift = platt(odds, y[learn])  # two numbers set the posterior's level; its order is the label model's
+    posterior = sigmoid(slope * odds + shift)
     # the linear classifier sees the features whose posterior share stands clear of the base rate, either way
     number = np.cumsum(learn) - 1
+    held = np.bincount(column[inside], minlength=buckets)
     mass = np.bincount(column[inside], weights=posterior[number[row[inside]]], minlength=buckets)
     base = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
     clear = (held >= LEAST) & (np.abs(mass - held * base) > CLEAR * np.sqrt(held * base * (1 - base)))
