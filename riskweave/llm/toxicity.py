@@ -3,9 +3,9 @@
 Many lexicon voters (groups of words and word beginnings) and pattern voters (shouting, masking, repetition) vote on
 training rows. A lexicon comes from the labels of other rows than those it votes on, so no vote knows its row's own label.
 A generative model of the unknown truth sees the votes alone and estimates how accurate each voter is and which voters
-depend on each other, as a tree over the voters, by expectation maximisation. A linear classifier then learns from the
-posterior labels and scores every whole text. Given labels choose the lexicon entries, tell the share of toxic rows that
-the estimation starts from, and calibrate: the posterior by two numbers, the score on rows that nothing else learns from.
+depend on each other, as a tree over the voters, by expectation maximisation. Linear classifiers then learn from the
+posterior labels, each with a part of the sample left out, and their average scores every whole text. Given labels choose the lexicon entries, tell the share of toxic rows that
+the estimation starts from, and calibrate: the posterior by two numbers, the score on rows left out.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from riskweave.llm.fitting import logistic, platt, sigmoid, training_rows
 
 #: Labelled rows that are fitted on, at most; buckets of hashed features; lexicon entries and the voters that share them.
 SAMPLE, BUCKETS, ENTRIES, LEXICONS = 9_000, 1 << 20, 96, 24
-#: A lexicon entry's toxic share less one standard error is at least this; parts of the sample, the first to calibrate on.
+#: A lexicon entry's toxic share less one standard error is at least this; parts of the sample, each left out once.
 SURE, PARTS = 0.35, 5
 #: Bytes of word beginnings that count as features beside whole words.
 STARTS = (4, 5, 6)
@@ -173,17 +173,11 @@ def cast_votes(row: np.ndarray, column: np.ndarray, patterns: np.ndarray, y: np.
     return votes
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS) -> tuple[np.ndarray, float, tuple[float, float]]:
-    """Weights, intercept and calibration from (buckets, patterns, label) of the sample; a fifth is kept to calibrate on."""
-    y = np.array([r[2] for r in rows], dtype=float)
-    if len(y) < 20 or y.min() == y.max():
-        return np.zeros(buckets), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), (1.0, 0.0)
-    n = len(rows)
-    row, column = np.repeat(np.arange(n), [len(r[0]) for r in rows]), np.concatenate([r[0] for r in rows])
-    part = np.arange(n) % PARTS
+def taught(row: np.ndarray, column: np.ndarray, patterns: np.ndarray, y: np.ndarray, part: np.ndarray, buckets: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a linear classifier of the posterior labels of all parts but the first."""
     learn = part != 0
-    inside = learn[row]
-    votes = cast_votes(row, column, np.stack([r[1] for r in rows]), y, part, buckets)[learn]
+    inside, number, n = learn[row], np.cumsum(learn) - 1, int(learn.sum())
+    votes = cast_votes(row, column, patterns, y, part, buckets)[learn]
     # the estimation starts from the rows with most lexicon votes, about as many as labels say are toxic
     said = votes[:, :LEXICONS].sum(1)
     model = LabelModel(votes, np.where(said >= max(1.0, np.quantile(said, 1 - y[learn].mean())), 0.9, 0.1))
@@ -192,17 +186,34 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS)
     slope, shift = platt(odds, y[learn])  # two numbers set the posterior's level; its order is the label model's
     posterior = sigmoid(slope * odds + shift)
     # the linear classifier sees the features whose posterior share stands clear of the base rate, either way
-    number = np.cumsum(learn) - 1
     held = np.bincount(column[inside], minlength=buckets)
     mass = np.bincount(column[inside], weights=posterior[number[row[inside]]], minlength=buckets)
     base = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
     clear = (held >= LEAST) & (np.abs(mass - held * base) > CLEAR * np.sqrt(held * base * (1 - base)))
     used, code = inside & clear[column], np.cumsum(clear) - 1
-    small, b = logistic(number[row[used]], code[column[used]], int(learn.sum()), int(clear.sum()), posterior, np.ones(int(learn.sum())))
     w = np.zeros(buckets)
-    w[clear] = small
-    raw = np.bincount(row, weights=w[column], minlength=n) + b
-    return w, b, platt(raw[~learn], y[~learn])
+    w[clear], b = logistic(number[row[used]], code[column[used]], n, int(clear.sum()), posterior, np.ones(n))
+    return w, b
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS) -> tuple[np.ndarray, float, tuple[float, float]]:
+    """Weights, intercept and calibration from (buckets, patterns, label) of the sample.
+
+    Each part is left out once; the classifiers are averaged and calibrated on the scores of the parts that each left out.
+    """
+    y = np.array([r[2] for r in rows], dtype=float)
+    if len(y) < 20 or y.min() == y.max():
+        return np.zeros(buckets), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), (1.0, 0.0)
+    n, patterns = len(rows), np.stack([r[1] for r in rows])
+    row, column = np.repeat(np.arange(n), [len(r[0]) for r in rows]), np.concatenate([r[0] for r in rows])
+    weights, intercept, raw = np.zeros(buckets), 0.0, np.zeros(n)
+    for k in range(PARTS):
+        part = (np.arange(n) + k) % PARTS
+        w, b = taught(row, column, patterns, y, part, buckets)
+        out = part == 0
+        raw[out] = (np.bincount(row, weights=w[column], minlength=n) + b)[out]
+        weights, intercept = weights + w / PARTS, intercept + b / PARTS
+    return weights, intercept, platt(raw, y)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
