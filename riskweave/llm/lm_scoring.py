@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +28,7 @@ PAIR_WEIGHT = 0.25
 #: Words with this count are frequent, unless more than FREQUENT_WORDS are (then the count that leaves so many).
 FREQUENT_COUNT, FREQUENT_WORDS = 8, 1 << 20
 #: Tokens that a task gathers before it hands counts on, and tokens for each group of the merging shuffle.
-GATHER, PER_GROUP = 750_000, 500_000
+GATHER, PER_GROUP = 1_500_000, 500_000
 #: Bytes of text that are scored at a time (one longer text is taken alone).
 SCORED_BYTES = 1 << 18
 #: Level of a word or pair that the filter cannot decide, and the bytes of one such token: key, word, before, pair, levels.
@@ -173,6 +172,15 @@ def settled(word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> None:
     before[(before == OPEN) & (pair == 0)] = 0
 
 
+def planes(keys: np.ndarray) -> bytes:
+    """Keys as all their lowest bytes, then all their next ones: neighbours differ in the lowest alone, the rest compresses."""
+    return np.ascontiguousarray(keys.astype("<i8").view("u1").reshape(-1, 8).T).tobytes()
+
+
+def keys_of(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(8, -1).T).view("<i8").ravel()
+
+
 def packed(fields: list[np.ndarray], of: slice | np.ndarray) -> bytes:
     return b"".join(x[of].tobytes() for x in fields)
 
@@ -180,7 +188,7 @@ def packed(fields: list[np.ndarray], of: slice | np.ndarray) -> bytes:
 def unpacked(data: bytes) -> list[np.ndarray]:
     """key, word, before, pair and their three levels of the tokens in `data`."""
     n = len(data) // RECORD
-    return [np.frombuffer(data, t, n, at * n).copy() for t, at in (("<i8", 0), ("<u8", 8), ("<u8", 16), ("<u8", 24), ("u1", 32), ("u1", 33), ("u1", 34))]
+    return [keys_of(data[: 8 * n]), *(np.frombuffer(data, t, n, at * n).copy() for t, at in (("<u8", 8), ("<u8", 16), ("<u8", 24), ("u1", 32), ("u1", 33), ("u1", 34)))]
 
 
 def dispatched(fields: list[np.ndarray], groups: int, floor: float) -> pa.RecordBatch:
@@ -193,7 +201,7 @@ def dispatched(fields: list[np.ndarray], groups: int, floor: float) -> pa.Record
         part = parts_of(hashes[s][of], groups)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(1, groups))
-        out += [(s, g, packed(fields, x)) for g, x in enumerate(np.split(of[order], ends)) if len(x)]
+        out += [(s, g, planes(key[x]) + packed(fields[1:], x)) for g, x in enumerate(np.split(of[order], ends)) if len(x)]
     done = stage == 3
     if done.any():
         distinct, back = np.unique(key[done], return_inverse=True)
@@ -202,8 +210,12 @@ def dispatched(fields: list[np.ndarray], groups: int, floor: float) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out) if out else [[]] * 3, (pa.int32(), pa.int32(), pa.binary()))], names=["stage", "part", "data"])
 
 
-def open_scores(scored: DataFrame, table: DataFrame, groups: int, floor: float, words_too: bool) -> DataFrame:
-    """key and the summed log10 probability of the tokens that the filter left open, from the stored counts."""
+def open_scores(scored: DataFrame, table: DataFrame, groups: int, floor: float, least_word: int, least_pair: int) -> DataFrame:
+    """key and the summed log10 probability of the tokens that the filter left open, from the stored counts.
+
+    Entries of the least levels and above are in the filter, which never leaves them open, so only those below travel.
+    """
+    words_too = least_word > 1
     schema = "stage int, part int, data binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,11 +223,18 @@ def open_scores(scored: DataFrame, table: DataFrame, groups: int, floor: float,
             rows = [(k, x) for k, x in zip(*(c.to_pylist() for c in batch.columns))]
             if rows:
                 n = [len(x) // (RECORD - 8) for _, x in rows]
-                each = [unpacked(np.full(m, k, "<i8").tobytes() + x) for (k, x), m in zip(rows, n)]
+                each = [unpacked(planes(np.full(m, k)) + x) for (k, x), m in zip(rows, n)]
                 yield dispatched([np.concatenate(x) for x in zip(*each)], groups, floor)
 
     def visit(stage: int):
-        name = "pair" if stage == 2 else "word"
+        name, least = ("pair", least_pair) if stage == 2 else ("word", least_word)
+
+        def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    hashes, counts = np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["counts"], "<i8")
+                    at = levels(counts) if len(counts) else counts
+                    yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int32()), pa.array([hashes[at < least].tobytes()], pa.binary()), pa.array([at[at < least].astype("u1").tobytes()], pa.binary())], names=["part", "hashes", "levels"])
 
         def look_up(key, rows, known):
             held = [unpacked(x) for x in rows.column("data").to_pylist()]
@@ -223,17 +242,18 @@ def open_scores(scored: DataFrame, table: DataFrame, groups: int, floor: float,
                 return pa.Table.from_batches([dispatched(unpacked(b""), groups, floor)])
             fields = [np.concatenate(x) for x in zip(*held)]
             hashes = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in known.column("hashes").to_pylist())])
-            counts = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(x, "<i8") for x in known.column("counts").to_pylist())])
+            of = np.concatenate([np.zeros(0, "u1"), *(np.frombuffer(x, "u1") for x in known.column("levels").to_pylist())])
             found = np.zeros(len(fields[0]), np.uint8)
             if len(hashes):
                 at = np.searchsorted(hashes, fields[1 + stage])
                 at[at == len(hashes)] = 0
-                found = np.where(hashes[at] == fields[1 + stage], levels(counts)[at], 0).astype(np.uint8)
+                found = np.where(hashes[at] == fields[1 + stage], of[at], 0).astype(np.uint8)
             fields[4 + stage] = found
             settled(*fields[4:])
             return pa.Table.from_batches([dispatched(fields, groups, floor)])
 
-        return look_up, table.select("part", F.col(f"{name}s").alias("hashes"), F.col(f"{name}_counts").alias("counts"))
+        known = table.select("part", F.col(f"{name}s").alias("hashes"), F.col(f"{name}_counts").alias("counts"))
+        return look_up, known.mapInArrow(below, "part int, hashes binary, levels binary")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,6 +327,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str =
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = crc_mod(F.col("doc_id"), folds) == held_out
     d = d.withColumn("learnt", ~held)
+    numbered = d.withColumn("key", F.monotonically_increasing_id())  # fixed once the scored rows are stored
     total = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
     table, bloom, (least_word, least_pair), frequent, n_tokens, n_words = train(d.where(~held).select("text"), total)
     floor = n_tokens + 0.5 * (n_words + 1)
@@ -318,7 +339,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str =
         filter_, hasher = LogBloom(groups, segment, bits), WordHasher()
         for batch in batches:
             data, bounds = byte_column(batch.column(1))
-            ids, learnt, found = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False), []
+            ids, learnt, keys, found = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_pylist(), []
             for i, j in steps(bounds, SCORED_BYTES):
                 part = data[bounds[i] : bounds[j]]
                 tokens, at = with_ends(hasher, part, bounds[i : j + 1] - bounds[i])
@@ -345,13 +366,11 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str =
                 for k in range(j - i):
                     a, b = at[k], at[k + 1]
                     rare = tokens[a:b][~known[a:b]]
-                    text = part[bounds[i + k] - bounds[i] : bounds[i + k + 1] - bounds[i]]
-                    key = xxhash.xxh3_64_intdigest(b"%s:" % str(ids[i + k]).encode() + text.tobytes())
-                    found.append((ids[i + k], key - (1 << 63), int(b - a), int(known[a:b].sum()), float(base[a:b].sum()), float(p[a:b].sum()), rare.tobytes() if len(rare) else None, packed([*asked, word, before, pair], a + np.flatnonzero(waits[a:b])) or None))
+                    found.append((ids[i + k], keys[i + k], int(b - a), int(known[a:b].sum()), float(base[a:b].sum()), float(p[a:b].sum()), rare.tobytes() if len(rare) else None, packed([*asked, word, before, pair], a + np.flatnonzero(waits[a:b])) or None))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found) if found else [[]] * 8, types)], names=["doc_id", "key", "n_tokens", "known", "base", "score", "rare", "open"])
 
-    scored = stored(d.mapInArrow(score, "doc_id long, key long, n_tokens long, known long, base double, score double, rare binary, open binary"))
+    scored = stored(numbered.mapInArrow(score, "doc_id long, key long, n_tokens long, known long, base double, score double, rare binary, open binary"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,11 +381,11 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str =
             part = parts_of(hashes, groups)
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(1, groups))
-            cut = [(g, k.tobytes(), h.tobytes()) for g, (k, h) in enumerate(zip(np.split(of[order], ends), np.split(hashes[order], ends))) if len(k)]
+            cut = [(g, planes(k), h.tobytes()) for g, (k, h) in enumerate(zip(np.split(of[order], ends), np.split(hashes[order], ends))) if len(k)]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*cut), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "hashes"])
 
     def look_up(key, rows, known):
-        keys = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(x, "<i8") for x in rows.column("keys").to_pylist())])
+        keys = np.concatenate([np.zeros(0, "<i8"), *(keys_of(x) for x in rows.column("keys").to_pylist())])
         hashes = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in rows.column("hashes").to_pylist())])
         words = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in known.column("words").to_pylist())])
         counts = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(x, "<i8") for x in known.column("word_counts").to_pylist())])
@@ -381,11 +400,8 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str =
     dealt = scored.where("rare is not null").select("key", "rare").mapInArrow(deal, "part int, keys binary, hashes binary")
     rest = dealt.groupBy("part").cogroup(table.select("part", "words", "word_counts").groupBy("part")).applyInArrow(look_up, "key long, base double, known long")
     rest = rest.groupBy("key").agg(F.sum("base").alias("rest_base"), F.sum("known").alias("rest_known"))
-    # rows that repeat id and text have one key and sent their words each
-    rest = rest.join(scored.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key")
     whole = scored.join(rest, "key", "left")
     if least_pair > 1:
-        opened = open_scores(scored, table, groups, floor, least_word > 1)
-        whole = whole.join(opened.join(scored.groupBy("key").agg(F.count(F.lit(1)).alias("open_rows")), "key"), "key", "left").withColumn("score", F.col("score") + F.coalesce(F.col("rest_score") / F.col("open_rows"), F.lit(0.0)))
-    share = lambda c: F.coalesce(F.col(c) / F.col("rows"), F.lit(0.0))
-    return whole.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held_out).alias("held_out"), "n_tokens", (F.col("known") + F.round(share("rest_known"))).cast("long").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("base") + share("rest_base")).alias("base_score"), "score")
+        opened = open_scores(scored, table, groups, floor, least_word, least_pair)
+        whole = whole.join(opened, "key", "left").withColumn("score", F.col("score") + F.coalesce("rest_score", F.lit(0.0)))
+    return whole.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held_out).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest_base", F.lit(0.0))).alias("base_score"), "score")
