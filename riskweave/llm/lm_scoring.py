@@ -4,8 +4,8 @@ Counts of words and word pairs of every training text are merged by hash range.
 filter once for each level 1..1+floor(log_b c); the filter is broadcast, and a count is read back by probing levels until
 one is absent. A text's probability interpolates pair and word probabilities from such probes. Where not all entries fit
 the broadcast, it holds the words and pairs of the highest levels. A training text's own words and pairs occur, so that
-one that the filter lacks is at the level below, if there is but one; other tokens it cannot decide travel to the stored
-counts by hash range, so that every word and pair counts at any size. The exact base score takes frequent words from a bounded
+one that the filter lacks is at the level below, if there is but one; other tokens it cannot decide travel by hash range to
+filters of the lower levels, so that every word and pair counts at any size. The exact base score takes frequent words from a bounded
 broadcast and all others from a join by hash range.
 """
 
@@ -182,13 +182,14 @@ def keys_of(data: bytes) -> np.ndarray:
 
 
 def packed(fields: list[np.ndarray], of: slice | np.ndarray) -> bytes:
-    return b"".join(x[of].tobytes() for x in fields)
+    return b"".join(planes(x[of]) if x.itemsize == 8 else x[of].tobytes() for x in fields)
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:
     """key, word, before, pair and their three levels of the tokens in `data`."""
     n = len(data) // RECORD
-    return [keys_of(data[: 8 * n]), *(np.frombuffer(data, t, n, at * n).copy() for t, at in (("<u8", 8), ("<u8", 16), ("<u8", 24), ("u1", 32), ("u1", 33), ("u1", 34)))]
+    long, short = ([data[at * n : (at + size) * n] for at in places] for size, places in ((8, (0, 8, 16, 24)), (1, (32, 33, 34))))
+    return [keys_of(long[0]), *(keys_of(x).view("<u8") for x in long[1:]), *(np.frombuffer(x, "u1").copy() for x in short)]
 
 
 def dispatched(fields: list[np.ndarray], groups: int, floor: float) -> pa.RecordBatch:
@@ -201,7 +202,7 @@ def dispatched(fields: list[np.ndarray], groups: int, floor: float) -> pa.Record
         part = parts_of(hashes[s][of], groups)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(1, groups))
-        out += [(s, g, planes(key[x]) + packed(fields[1:], x)) for g, x in enumerate(np.split(of[order], ends)) if len(x)]
+        out += [(s, g, packed(fields, x)) for g, x in enumerate(np.split(of[order], ends)) if len(x)]
     done = stage == 3
     if done.any():
         distinct, back = np.unique(key[done], return_inverse=True)
@@ -213,7 +214,8 @@ def dispatched(fields: list[np.ndarray], groups: int, floor: float) -> pa.Record
 def open_scores(scored: DataFrame, table: DataFrame, groups: int, floor: float, least_word: int, least_pair: int) -> DataFrame:
     """key and the summed log10 probability of the tokens that the filter left open, from the stored counts.
 
-    Entries of the least levels and above are in the filter, which never leaves them open, so only those below travel.
+    Entries of the least levels and above are in the broadcast filter, which never leaves them open. Those below make a
+    filter of their own for each hash range, of the same kind, and meet there the tokens that ask.
     """
     words_too = least_word > 1
     schema = "stage int, part int, data binary"
@@ -234,26 +236,25 @@ def open_scores(scored: DataFrame, table: DataFrame, groups: int, floor: float,
                 for r in batch.to_pylist():
                     hashes, counts = np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["counts"], "<i8")
                     at = levels(counts) if len(counts) else counts
-                    yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int32()), pa.array([hashes[at < least].tobytes()], pa.binary()), pa.array([at[at < least].astype("u1").tobytes()], pa.binary())], names=["part", "hashes", "levels"])
+                    segment = 1 << math.ceil(math.log2(max(64, ENTRY_BITS * int(at[at < least].sum()))))
+                    yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int32()), pa.array([LogBloom.build(hashes[at < least], counts[at < least], segment)], pa.binary())], names=["part", "bits"])
 
         def look_up(key, rows, known):
             held = [unpacked(x) for x in rows.column("data").to_pylist()]
             if not held:
                 return pa.Table.from_batches([dispatched(unpacked(b""), groups, floor)])
             fields = [np.concatenate(x) for x in zip(*held)]
-            hashes = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in known.column("hashes").to_pylist())])
-            of = np.concatenate([np.zeros(0, "u1"), *(np.frombuffer(x, "u1") for x in known.column("levels").to_pylist())])
-            found = np.zeros(len(fields[0]), np.uint8)
-            if len(hashes):
-                at = np.searchsorted(hashes, fields[1 + stage])
-                at[at == len(hashes)] = 0
-                found = np.where(hashes[at] == fields[1 + stage], of[at], 0).astype(np.uint8)
+            asked, back = np.unique(fields[1 + stage], return_inverse=True)
+            found = np.zeros(len(asked), np.uint8)
+            for bits in known.column("bits").to_pylist():  # one, or none where nothing is known
+                found = LogBloom(1, 8 * len(bits), np.frombuffer(bits, "u1")).level(asked).astype(np.uint8)
+            found = found[back]
             fields[4 + stage] = found
             settled(*fields[4:])
             return pa.Table.from_batches([dispatched(fields, groups, floor)])
 
         known = table.select("part", F.col(f"{name}s").alias("hashes"), F.col(f"{name}_counts").alias("counts"))
-        return look_up, known.mapInArrow(below, "part int, hashes binary, levels binary")
+        return look_up, known.mapInArrow(below, "part int, bits binary")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
