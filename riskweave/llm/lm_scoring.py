@@ -67,6 +67,24 @@ def tallied(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nd
     return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def planes(keys: np.ndarray) -> bytes:
+    """Keys as all their lowest bytes, then all their next ones: neighbours differ in the lowest alone, the rest compresses."""
+    return np.ascontiguousarray(keys.astype("<i8").view("u1").reshape(-1, 8).T).tobytes()
+
+
+def keys_of(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(8, -1).T).view("<i8").ravel()
+
+
+def rising(hashes: np.ndarray) -> bytes:
+    """Ascending hashes by their differences, whose highest bytes are 0."""
+    return planes(np.diff(hashes, prepend=np.zeros(1, np.uint64)))
+
+
+def hashes_of(data: bytes) -> np.ndarray:
+    return np.cumsum(keys_of(data).view("<u8"), dtype=np.uint64)
+
+
 def counts_table(training: DataFrame, groups: int) -> DataFrame:
     """part, words, word_counts, pairs, pair_counts: exact counts by hash range, packed."""
 
@@ -79,7 +97,7 @@ def counts_table(training: DataFrame, groups: int) -> DataFrame:
                 ends = np.searchsorted(parts_of(hashes, groups), np.arange(1, groups))
                 cut = [(g, h, c) for g, (h, c) in enumerate(zip(np.split(hashes, ends), np.split(counts, ends))) if len(h)]
                 # those that occur once go without their counts
-                rows = [(g, kind, h[c == 1].tobytes(), h[c > 1].tobytes(), c[c > 1].astype("<i8").tobytes()) for g, h, c in cut]
+                rows = [(g, kind, rising(h[c == 1]), rising(h[c > 1]), c[c > 1].astype("<i8").tobytes()) for g, h, c in cut]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "kind", "once", "more", "counts"])
 
         for batch in batches:
@@ -98,10 +116,10 @@ def counts_table(training: DataFrame, groups: int) -> DataFrame:
         out = {"part": [key[0].as_py()]}
         for kind, name in ((0, "word"), (1, "pair")):
             of = [r for r in rows.to_pylist() if r["kind"] == kind]
-            once = [np.frombuffer(r["once"], "<u8") for r in of]
-            more, counts = [np.frombuffer(r["more"], "<u8") for r in of], [np.frombuffer(r["counts"], "<i8") for r in of]
+            once = [hashes_of(r["once"]) for r in of]
+            more, counts = [hashes_of(r["more"]) for r in of], [np.frombuffer(r["counts"], "<i8") for r in of]
             hashes, n = tallied(np.concatenate([np.zeros(0, "<u8"), *once, *more]), np.concatenate([np.zeros(0, "<i8"), *(np.ones(len(x), "<i8") for x in once), *counts]))
-            out[f"{name}s"], out[f"{name}_counts"] = [hashes.tobytes()], [n.astype("<i8").tobytes()]
+            out[f"{name}s"], out[f"{name}_counts"] = [rising(hashes)], [n.astype("<i8").tobytes()]
         return pa.table(out, schema=pa.schema([("part", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())]))
 
     gathered = training.mapInArrow(gather, "part int, kind int, once binary, more binary, counts binary")
@@ -172,15 +190,6 @@ def settled(word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> None:
     before[(before == OPEN) & (pair == 0)] = 0
 
 
-def planes(keys: np.ndarray) -> bytes:
-    """Keys as all their lowest bytes, then all their next ones: neighbours differ in the lowest alone, the rest compresses."""
-    return np.ascontiguousarray(keys.astype("<i8").view("u1").reshape(-1, 8).T).tobytes()
-
-
-def keys_of(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(8, -1).T).view("<i8").ravel()
-
-
 def packed(fields: list[np.ndarray], of: slice | np.ndarray) -> bytes:
     return b"".join(planes(x[of]) if x.itemsize == 8 else x[of].tobytes() for x in fields)
 
@@ -234,7 +243,7 @@ def open_scores(scored: DataFrame, table: DataFrame, groups: int, floor: float,
         def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    hashes, counts = np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["counts"], "<i8")
+                    hashes, counts = hashes_of(r["hashes"]), np.frombuffer(r["counts"], "<i8")
                     at = levels(counts) if len(counts) else counts
                     segment = 1 << math.ceil(math.log2(max(64, ENTRY_BITS * int(at[at < least].sum()))))
                     yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int32()), pa.array([LogBloom.build(hashes[at < least], counts[at < least], segment)], pa.binary())], names=["part", "bits"])
@@ -299,8 +308,8 @@ def train(training: DataFrame, total: int) -> tuple[DataFrame, LogBloom, tuple[i
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                words, counts = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["word_counts"], "<i8")
-                pairs, pair_counts = np.frombuffer(r["pairs"], "<u8"), np.frombuffer(r["pair_counts"], "<i8")
+                words, counts = hashes_of(r["words"]), np.frombuffer(r["word_counts"], "<i8")
+                pairs, pair_counts = hashes_of(r["pairs"]), np.frombuffer(r["pair_counts"], "<i8")
                 often = levels(counts) >= frequent_level if len(counts) else np.zeros(0, bool)
                 hashes, n = np.concatenate([words, pairs]), np.concatenate([counts, pair_counts])
                 enter = levels(n) >= np.repeat([least_word, least_pair], [len(words), len(pairs)]) if len(n) else np.zeros(0, bool)
@@ -388,7 +397,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str =
     def look_up(key, rows, known):
         keys = np.concatenate([np.zeros(0, "<i8"), *(keys_of(x) for x in rows.column("keys").to_pylist())])
         hashes = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in rows.column("hashes").to_pylist())])
-        words = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in known.column("words").to_pylist())])
+        words = np.concatenate([np.zeros(0, "<u8"), *(hashes_of(x) for x in known.column("words").to_pylist())])
         counts = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(x, "<i8") for x in known.column("word_counts").to_pylist())])
         c = np.zeros(len(hashes))
         if len(words):
