@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskweave.llm.centroids import centroid_clusters
 from riskweave.llm.common import table
+from riskweave.llm.conversation_repair import Repair, damaged
 from riskweave.llm.exact_dedup import exact_dedup
 from riskweave.llm.jaccard_join import near_duplicates
 from riskweave.llm.lm_scoring import lm_scores
+from riskweave.llm.minhash_dedup import minhash_duplicates
 from riskweave.llm.mixing import mix_sources
 from riskweave.llm.packing import pack
 from riskweave.llm.pii import find_pii
@@ -101,6 +104,19 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return Repair(damaged(conversations), conversations).report()
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
@@ -113,6 +129,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_pack": op10_pack,
+        "op11_repair": op11_repair,
+        "op12_centroids": op12_centroids,
+        "op13_minhash_dedup": op13_minhash_dedup,
     }
 
 
