@@ -109,10 +109,79 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Repair(damaged(conversations), conversations).report()
 
 
+def _repair_sql() -> str:
+    """The DP row by row, each state with its cost, audit and turns so far."""
+    retained = lambda e, role, name, between: (
+        f"{{'c': {e}.c + {2 * len(between)} + case when fault in (1, 2) then 1000000 when own = '{role}' then 0 else {2 if name else 1000000} end + (fault = 3)::bigint, "
+        f"'a': {e}.a || '{'I' * len(between)}' || case when own = '{role}' then 'K' else 'R' end, "
+        f"'t': list_concat({e}.t, [{', '.join([*between, f"case when own = '{role}' then role else '{name}' end || ':' || text"])}])}}"
+    )
+    deleted = lambda e: f"{{'c': {e}.c + 3, 'a': {e}.a || 'D', 't': {e}.t}}"
+    best = lambda options: f"list_sort([{', '.join(options)}])[1]"
+    new_s = best([deleted("es"), retained("e0", "s", "", [])])
+    new_u = best([deleted("eu"), *(retained(e, "u", "user", []) for e in ("e0", "es", "ea")), retained("eu", "u", "user", ["'assistant:'"])])
+    new_a = best([deleted("ea"), retained("eu", "a", "assistant", []), *(retained(e, "a", "assistant", ["'user:'"]) for e in ("e0", "es", "ea"))])
+    closed = lambda e, turns: f"{{'c': {e}.c + {2 * len(turns)}, 'a': {e}.a || '{'I' * len(turns)}', 't': list_concat({e}.t, {turns}::varchar[])}}"
+    ends = best([closed("e0", []), closed("es", ["user:", "assistant:"]), closed("eu", ["assistant:"]), closed("ea", [])])
+    never = "{'c': 1000000::bigint, 'a': '', 't': []::varchar[]}"
+    return rf"""
+with recursive keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), '') as key from conversations),
+coded as (
+  select *, xor(list_reduce(list_concat([4294967295::bigint], list_transform(key, lambda x: ord(x)::bigint)), lambda c, b:
+    list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295::bigint) % 20 as code from keyed),
+damaged as (
+  select conv_id, turn, case when code = 4 then 'user' else role end as role, case code when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case when code = 3 then [0, 1] else [0] end) as copy from coded where code <> 0),
+numbered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as k, count(*) over (partition by conv_id) as n, substr(role, 1, 1) as own from damaged),
+t as (
+  select *, case when not regexp_matches(text, '[^ 	-]') then 1 when row_number() over (partition by conv_id, role, text order by k) > 1 then 2
+    when not regexp_matches(text, '[.!?][ 	-]*$') then 3 else 0 end as fault, lag(own) over (partition by conv_id order by k) || own as pair from numbered),
+r as (
+  select conv_id, 0::bigint as k, {{'c': 0::bigint, 'a': '', 't': []::varchar[]}} as e0, {never} as es, {never} as eu, {never} as ea from (select distinct conv_id from t) c
+  union all
+  select t.conv_id, t.k, {deleted("e0")}, {new_s}, {new_u}, {new_a} from r join t on t.conv_id is not distinct from r.conv_id and t.k = r.k + 1),
+ended as (select r.conv_id, {ends} as e from r join t on t.conv_id is not distinct from r.conv_id and t.k = r.k where t.k = t.n),
+counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(fault = 1) as blank, count_if(fault = 2) as duplicate, count_if(fault = 3) as truncated,
+    count_if(k > 1 and pair not in ('su', 'ua', 'au')) as illegal from t group by conv_id)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(e.c, 0)::bigint as cost, coalesce(e.a, '') as audit, sha256(coalesce(array_to_string(e.t, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counted on o.conv_id is not distinct from counted.conv_id left join ended on o.conv_id is not distinct from ended.conv_id
+"""
+
+
+OP11_SQL = _repair_sql()
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(table(spark, sf_dir, "embeddings"))
 
 
+def _centroids_sql(rounds: int = 3) -> str:
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} as (
+  select *, row_number() over (partition by rid order by d, cluster) as near from (
+    select v.rid, v.vec_id, v.q, c.cluster, list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from v, c{r} c) x qualify near = 1)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} as (
+  select c.cluster, coalesce(m.q, c.q) as q from c{r} c left join (
+    select cluster, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as q from (
+      select cluster, i, sum(x)::hugeint as s, count(*)::hugeint as n from (select cluster, unnest(q) as x, unnest(range(64)) as i from a{r}) y group by cluster, i) z group by cluster) m on m.cluster = c.cluster)""")
+    return f"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as q, row_number() over () as rid from embeddings
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as (select (h - 1)::integer as cluster, q from (select q, row_number() over (order by sha256('1:' || coalesce(vec_id::varchar, '')), q) as h from v) x where h <= 16),
+{", ".join(parts)}
+select vec_id, a.cluster, d as distance, (sum(d) over (partition by a.cluster))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(c.q, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} c on a.cluster = c.cluster
+"""
+
+
+OP12_SQL = _centroids_sql()
+
 def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_duplicates(table(spark, sf_dir, "documents"))
 
@@ -136,4 +205,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL}
+    return {"op1_topk": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL, "op11_repair": OP11_SQL, "op12_centroids": OP12_SQL}

@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from riskweave.llm.centroids import centroid_clusters
+from riskweave.llm.conversation_repair import Repair, damaged
 from riskweave.llm.exact_dedup import exact_dedup, without_copies
 from riskweave.llm.jaccard_join import near_duplicates, one_of_each
 from riskweave.llm.lm_scoring import lm_scores
+from riskweave.llm.minhash_dedup import minhash_duplicates
 from riskweave.llm.mixing import mix_sources, mixed
 from riskweave.llm.packing import pack
 from riskweave.llm.pii import find_pii
@@ -37,7 +40,7 @@ def labels(spark):
 
 TOKENS = public_tokenizers.path(corpus_pipeline.TOKENIZER)
 OF_DOCS = {
-    "exact": exact_dedup, "copies": without_copies, "near": near_duplicates, "one": one_of_each, "lm": lm_scores, "mix": mix_sources, "pack": lambda d: pack(d, TOKENS), "pii": find_pii, "repeats": without_repeats,
+    "minhash": minhash_duplicates, "exact": exact_dedup, "copies": without_copies, "near": near_duplicates, "one": one_of_each, "lm": lm_scores, "mix": mix_sources, "pack": lambda d: pack(d, TOKENS), "pii": find_pii, "repeats": without_repeats,
 }
 
 
@@ -127,3 +130,23 @@ def test_clashing_names(spark, docs):
     for of in (without_copies, one_of_each):
         kept = of(d)
         assert kept.columns == d.columns and {tuple(r)[3:] for r in kept.collect()} == {("mine",) * 7}
+
+
+def test_minhash(docs):
+    found = minhash_duplicates(docs).collect()
+    assert len(found) == len(TEXTS)
+    by = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found}
+    assert by[9] == (5, 1, False) and by[3] == (0, 3, True) and by[5] == (0, 5, True) and by[7][1] == 6 and by[10] == (1, 10, True) and by[None] == (5, 1, False)
+    assert by[6][0] == len(plain.shingles(LONG, 3))
+
+
+def test_new_operators_on_empty_tables_and_clashing_names(spark):
+    turns = "conv_id long, turn long, role string, text string, part int, pos long, kind int, own int, at long, code long, copy int, figures string, said string"
+    empty = spark.createDataFrame([], turns)
+    assert Repair(damaged(empty), empty).report().collect() == [] and Repair(damaged(empty), empty).turns().collect() == []
+    rows = [(1, 0, "user", "Hi.", *[1] * 7, "x", "x"), (1, 1, "assistant", "Yes.", *[1] * 7, "x", "x"), (2, None, None, None, *[1] * 7, "x", "x")]
+    found = {r["conv_id"]: tuple(r)[1:-1] for r in Repair(spark.createDataFrame(rows, turns)).report().collect()}
+    assert found == {1: (0, 0, 0, 0, 0, 0, "KK"), 2: (0, 1, 0, 0, 0, 3, "D")}
+    vectors = "vec_id long, embedding array<float>, x int, h string, small int, wide int, norms int, cluster int, distance int"
+    assert centroid_clusters(spark.createDataFrame([], vectors)).collect() == []
+    assert [tuple(r)[:5] for r in centroid_clusters(spark.createDataFrame([(3, [0.5] * 64, 1, "x", 1, 1, 1, 9, 9)], vectors)).collect()] == [(3, 0, 0, 0, 0)]
