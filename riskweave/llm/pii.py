@@ -65,7 +65,7 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     """The spans of the base formats, failing ones dropped without another try."""
     found = {"email": emails(text), "ip": [], "card": [], "phone": []}
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
             found["ip"].append(m.span())
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := only_digits(m[0])) <= 19 and luhn(d):
