@@ -67,7 +67,7 @@ class WordTokens:
             self.stems.clear()
         split = {}
         for word in words:
-            low = word.lower()
+            low = word.lower() if word.isascii() else word  # composing letters and marks comes before lower-casing
             stem = low.rstrip(TAIL)
             plain = len(word) <= CACHE_LENGTH and b"<" not in word
             split[word] = ((stem, low[len(stem) :]) if ends_in_letter(stem) else (low, b"")) if plain else None
