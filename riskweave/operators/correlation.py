@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.functions.scalars import half_even
+
 WINDOW_MINUTES = 120
 FIRING, BONUS = 0.5, 0.15
 WEIGHTS = {"ps1_behavioral": 1.0, "ps2_transaction": 1.0}
-MOST_IN_BATCH = 1000
 
 
 def invalid(assessments: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def fused(score: str = "score", domain: str = "domain", weights: dict[str, float
     average = F.sum(w * F.col(score)) / F.sum(w)
     firing = F.count_if(F.col(score) >= FIRING)
     boosted = F.when(firing >= 2, F.least(F.lit(1.0), average + (1 - average) * BONUS * (firing - 1))).otherwise(average)
-    return F.round(boosted + 1e-9, 4), firing  # a tie goes up, whatever its last bit
+    return half_even(boosted, 4), firing
 
 
 def confidence(firing: Column) -> Column:

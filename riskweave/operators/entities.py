@@ -10,10 +10,16 @@ class ResolutionError(ValueError):
     """An id has no entity, or has two."""
 
 
-def flatten(crosswalk: DataFrame) -> DataFrame:
-    """source, raw_id, entity_id from a crosswalk with one column a source; null ids are skipped."""
+def flatten(crosswalk: DataFrame, strict: bool = False) -> DataFrame:
+    """source, raw_id, entity_id from a crosswalk with one column a source; null ids are skipped.
+
+    strict raises if an id names two entities.
+    """
     sources = F.array(F.struct(F.lit("cert").alias("source"), F.col("user_id").alias("raw_id")), F.struct(F.lit("paysim").alias("source"), F.col("account").alias("raw_id")))
-    return crosswalk.select("entity_id", F.explode(sources).alias("s")).select("s.source", "s.raw_id", "entity_id").where("raw_id is not null")
+    index = crosswalk.select("entity_id", F.explode(sources).alias("s")).select("s.source", "s.raw_id", "entity_id").where("raw_id is not null")
+    if strict and (bad := conflicts(index).limit(5).collect()):
+        raise ResolutionError(f"ids of two entities: {', '.join(f'{r.source}:{r.raw_id}' for r in bad)}")
+    return index
 
 
 def conflicts(index: DataFrame) -> DataFrame:
@@ -52,11 +58,6 @@ def buckets(users: DataFrame, summary: DataFrame, k: int, version: str = "v1") -
     return fraud.unionByName(privileged).unionByName(normal)
 
 
-def numbered(rows: DataFrame, order: list) -> DataFrame:
-    """n = the place of each row, from 1; rows are few (a selection)."""
-    return rows.withColumn("n", F.row_number().over(Window.orderBy(*order)))
-
-
 def hash_bridge(left: DataFrame, right: DataFrame, a: str, b: str, version: str = "v1") -> DataFrame:
     """Pairs of the two sides' distinct values, each side in the order of its hashes.
 

@@ -28,13 +28,13 @@ def first_of(rows: DataFrame, keys: list[str], flag: str) -> DataFrame:
 def non_primary_pc(logons: DataFrame) -> DataFrame:
     """1 where the pc isn't the user's most frequent earlier one (ties to the smaller name); 0 without history.
 
-    Each logon meets the distinct pcs of its user only; running counts per (user, pc) need no other join.
+    Each row brings its pc's count so far. Of the rows before, those with the largest count are pcs that have been seen so
+    often, and none has been seen more often since; so a running minimum of (-count, pc) is the most frequent one.
     """
-    pcs = logons.select("user_id", F.col("pc_id").alias("candidate")).distinct()
-    met = logons.join(pcs, "user_id").withColumn("hits", F.coalesce(F.sum((F.col("pc_id") == F.col("candidate")).cast("int")).over(_before(_by("user_id", "candidate"))), F.lit(0)))
-    best = F.min(F.when(F.col("hits") > 0, F.struct((-F.col("hits")).alias("n"), F.col("candidate").alias("pc"))))
-    found = met.groupBy("event_id", "pc_id").agg(best.alias("best"))
-    return found.select("event_id", F.coalesce((F.col("pc_id") != F.col("best.pc")).cast("int"), F.lit(0)).alias("non_primary"))
+    n = F.row_number().over(_by("user_id", "pc_id"))
+    counted = logons.withColumn("__seen", F.when(F.col("pc_id").isNotNull(), F.struct((-n).alias("n"), F.col("pc_id").alias("pc"))))
+    found = counted.withColumn("__best", F.min("__seen").over(_before(_by("user_id"))))
+    return found.select("event_id", F.coalesce((F.col("pc_id") != F.col("__best.pc")).cast("int"), F.lit(0)).alias("non_primary"))
 
 
 def hour_surprise(logons: DataFrame) -> DataFrame:

@@ -77,9 +77,11 @@ def short_gap(minutes: Column) -> Column:
     return F.when(minutes.isNull(), "").when(h > 0, F.format_string("%dh %dm", h, m)).otherwise(F.format_string("%dm", m))
 
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+def reasons_by_domain(signals: DataFrame, k: int = 5) -> DataFrame:
+    """Per domain: signals, and the first k of their records by id. Each task sends k records of a domain at most."""
+    first = signals.withColumn("__rn", F.row_number().over(Window.partitionBy("domain").orderBy("assessment_id"))).where(F.col("__rn") <= k)
+    examples = first.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list("assessment_id")), ",").alias("examples"))
+    return signals.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).join(examples, "domain")
 
 
 def by_landing(incidents: DataFrame, landed: str = "landed_at", last: str = "incident_id") -> DataFrame:

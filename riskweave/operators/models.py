@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.functions.scalars import half_even
+from riskweave.operators.ranks import prefix_sums, quantiles
+
 TREES, SAMPLE = 150, 50_000
 #: Arrays of a tree's nodes.
 NODES = {"feature": "<i4", "cut": "<f8", "left": "<i4", "right": "<i4", "depth": "<f8"}
@@ -38,9 +41,9 @@ def variances(rows: DataFrame, features: list[str]) -> DataFrame:
 
 def robust_parameters(rows: DataFrame, features: list[str]) -> DataFrame:
     """feature, center (median) and scale (quartile range, 1 if that is 0), exact."""
-    q = rows.agg(*[F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f) for f in features]).unpivot([], features, "feature", "q")
-    spread = F.col("q")[2] - F.col("q")[0]
-    return q.select("feature", F.col("q")[1].alias("center"), F.when(spread == 0, 1.0).otherwise(spread).alias("scale"))
+    q = quantiles(rows, features, [0.25, 0.5, 0.75])
+    spread = F.col("values")[2] - F.col("values")[0]
+    return q.select("feature", F.col("values")[1].alias("center"), F.when(spread == 0, 1.0).otherwise(spread).alias("scale"))
 
 
 def scaled(rows: DataFrame, features: list[str], parameters: list[tuple[str, float, float]]) -> DataFrame:
@@ -60,9 +63,8 @@ def isolation_forest(rows: DataFrame, features: list[str], key: str, trees: int
     """
     n = rows.count()
     share = min(1.0, 2.0 * sample / max(1, n))
-    drawn = rows.select(key, *features).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "tree", key), F.lit(1 << 30)) / float(1 << 30)
-    drawn = drawn.where(u < share)
+    taken = lambda tree: F.pmod(F.xxhash64(F.lit(seed), tree, F.col(key)), F.lit(1 << 30)) / float(1 << 30) < share
+    drawn = rows.select(key, *features, F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), taken)).alias("tree"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -124,7 +126,7 @@ def max_abs(columns: list[str]) -> Column:
 
 def knots(rows: DataFrame, score: str, n: int = KNOTS) -> DataFrame:
     """i and knot: n + 1 quantiles of a score, and their running maximum, so that rounding never makes one fall."""
-    q = rows.agg(F.percentile(score, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("q"))
+    q = quantiles(rows, [score], [i / n for i in range(n + 1)]).select(F.col("values").alias("q"))
     rising = F.aggregate("q", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.greatest(x, F.coalesce(F.try_element_at(a, F.lit(-1)), x)))))
     return q.select(F.posexplode(rising).alias("i", "knot"))
 
@@ -143,8 +145,9 @@ def reasons(top: Column) -> Column:
 
 
 def distribution(rows: DataFrame, x: str) -> DataFrame:
-    q = F.percentile(x, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return rows.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), q.alias("q"), F.min(x).alias("min"), F.max(x).alias("max")).select("mean", "std", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"), "min", "max")
+    q = quantiles(rows, [x], [0.5, 0.95, 0.99]).select(*[F.col("values")[i].alias(p) for i, p in enumerate(("p50", "p95", "p99"))])
+    moments = rows.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return moments.join(q, how="left").select("mean", "std", "p50", "p95", "p99", "min", "max")  # one row each
 
 
 def alert_stability(rows: DataFrame, risk: str, other: str, date: str, threshold: float = ALERT) -> DataFrame:
@@ -161,9 +164,9 @@ def by_threshold(rows: DataFrame, score: str, label: str) -> DataFrame:
     Scores are counted first, so the running sums go over distinct scores.
     """
     per = rows.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("threshold"))
-    every = Window.partitionBy(F.lit(1))
-    return per.select("threshold", "p", "n", F.sum("p").over(down).alias("tp"), (F.sum("n").over(down) - F.sum("p").over(down)).alias("fp"), F.sum("p").over(every).alias("positives"), F.sum("n").over(every).alias("total"))
+    curve = prefix_sums(per, [F.desc("threshold")], tp=F.col("p"), __upto=F.col("n"))
+    whole = rows.agg(F.sum(label).alias("positives"), F.count(F.lit(1)).alias("total"))  # one row
+    return curve.join(F.broadcast(whole)).select("threshold", "p", "n", "tp", (F.col("__upto") - F.col("tp")).alias("fp"), "positives", "total")
 
 
 def best_f1(curve: DataFrame) -> DataFrame:
@@ -230,6 +233,20 @@ def fraud_scores(rows: DataFrame, model, features: list[str], out: str = "fraud_
     return model.transform(filled).withColumn(out, vector_to_array("probability")[1]).drop("__features", "rawPrediction", "probability", "__prediction", "__weight", *[f"{f}__missing" for f in features])
 
 
+def entity_assessments(anomalies: DataFrame, most: int = 3, slope: float = 45.0) -> DataFrame:
+    """One assessment for each entity with anomalies (entity_id, log_id, score: the lower the stranger, activity, user, pc,
+    time): risk of the strangest, and reasons: its activity with the risk as weight, then up to most - 1 further distinct
+    activities, by name, with .3 of it. Ties go to the smaller log_id.
+    """
+    top = anomalies.groupBy("entity_id").agg(F.min(F.struct("score", "log_id", "activity", "user", "pc", "time")).alias("t"), F.collect_set("activity").alias("kinds"))  # activities are few
+    risk = half_even(1 / (1 + F.exp(F.col("t.score") * slope)), 4)
+    first = F.concat(F.lit("flagged '"), F.col("t.activity"), F.lit("' on PC "), F.coalesce("t.pc", F.lit("")), F.lit(" at "), F.coalesce(F.date_format("t.time", "yyyy-MM-dd H:m"), F.lit("")), F.lit(" (user "), F.col("t.user"), F.format_string("); decision_function=%.4f", "t.score"))
+    reason = lambda name, weight, said: F.struct(name.alias("signal_name"), weight.alias("weight"), said.alias("raw_value"))
+    others = F.slice(F.array_sort(F.array_except("kinds", F.array("t.activity"))), 1, most - 1)
+    more = F.transform(others, lambda a: reason(a, half_even(F.col("risk") * 0.3, 4), F.concat(F.lit("also flagged '"), a, F.lit("' for user "), F.col("t.user"))))
+    return top.withColumn("risk", risk).select("entity_id", F.col("t.log_id").alias("log_id"), "risk", F.concat(F.array(reason(F.col("t.activity"), F.col("risk"), first)), more).alias("reasons"), F.col("t.time").alias("event_time"))
+
+
 def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term and weight: smoothed idf, unit length per document."""
     tokens = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("term"))
@@ -261,7 +278,8 @@ def risk_deltas(before: DataFrame, after: DataFrame, key: str, risk: str) -> Dat
     """How risk moves from one table to the other: median, mean, and the share of rows where it rises."""
     delta = F.col("later") - F.col("earlier")
     both = before.select(key, F.col(risk).alias("earlier")).join(after.select(key, F.col(risk).alias("later")), key)
-    return both.agg(F.median(delta).alias("median_risk_delta"), F.avg(delta).alias("mean_risk_delta"), F.avg((delta > 0).cast("double")).alias("fraction_risk_increased"))
+    half = quantiles(both.select(delta.alias("delta")), ["delta"], [0.5]).select(F.col("values")[0].alias("median_risk_delta"))
+    return half.join(both.agg(F.avg(delta).alias("mean_risk_delta"), F.avg((delta > 0).cast("double")).alias("fraction_risk_increased")))  # one row each
 
 
 def select_variant(rows: DataFrame, variant: str, risk: str, date: str, threshold: float = ALERT) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EPOCH = "2010-01-01 00:00:00"
 TYPES = ("PAYMENT", "TRANSFER", "CASH_OUT", "CASH_IN", "DEBIT")
 ELIGIBLE = ("TRANSFER", "CASH_OUT")
+#: Windows in one stretch of an account's time; rows of about one in BUCKET windows are dealt twice.
+BUCKET = 32
 
 
 def _account() -> Window:
@@ -37,14 +39,41 @@ def recency(tx: DataFrame) -> DataFrame:
     return tx.withColumn("steps_since_prev", F.col("step") - F.lag("step").over(_account()))
 
 
+def bucketed(tx: DataFrame, window: int) -> DataFrame:
+    """Rows dealt by account and stretch of BUCKET windows, each also in the next stretch if windows there reach back to it
+    (__own is false there); so an account with very many rows is split, and every window lies within one stretch."""
+    width = BUCKET * window
+    bucket = F.floor(F.col("step") / width)
+    reaches = F.col("step") >= (bucket + 1) * width - window
+    both = F.when(reaches, F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own"))))
+    parts = tx.withColumn("__e", F.explode(both)).withColumns({"__bucket": F.col("__e.b"), "__own": F.col("__e.own")}).drop("__e")
+    return parts.repartition("nameOrig", "__bucket")
+
+
 def trailing(tx: DataFrame, window: int = 24) -> DataFrame:
-    """Count, sum and distinct destinations over the trailing window, and the amount against the window's average."""
+    """Count, sum and distinct destinations over the trailing window, and the amount against the window's average.
+
+    A destination counts from its first row until `window` steps after the last one that follows within the window: these
+    two ends become +1 and -1 on the account's line of time, and the running sum there is the number of destinations. Null
+    is no destination. One shuffle, by account and stretch of time.
+    """
     if window < 1:
         raise ValueError("window must be at least 1 step")
-    w = _trailing(window)
-    out = tx.withColumns({"txn_count": F.count(F.lit(1)).over(w), "total_amount": F.sum("amount").over(w), "unique_dest": F.size(F.collect_set("nameDest").over(w)).cast("bigint")})
+    dealt = bucketed(tx, window)
+    w = Window.partitionBy("nameOrig", "__bucket").orderBy("step").rangeBetween(-window, 0)
+    to = Window.partitionBy("nameOrig", "__bucket", "nameDest").orderBy("step")
+    before, after = F.lag("step").over(to), F.lead("step").over(to)
+    known = F.col("nameDest").isNotNull()
+    opens, closes = known & (before.isNull() | (F.col("step") > before + window)), known & (after.isNull() | (after > F.col("step") + window))
+    out = dealt.withColumns({"txn_count": F.count(F.lit(1)).over(w), "total_amount": F.sum("amount").over(w), "__opens": opens, "__closes": closes})
+    # of one time, openings come first, then the rows, then closings
+    entry = lambda time, order, delta, row: F.struct(time.alias("time"), F.lit(order).alias("order"), F.lit(delta).alias("delta"), row.alias("row"))
+    entries = F.array(F.when(F.col("__opens"), entry(F.col("step"), 0, 1, F.lit(False))), F.when(F.col("__own"), entry(F.col("step"), 1, 0, F.lit(True))), F.when(F.col("__closes"), entry(F.col("step") + window, 2, -1, F.lit(False))))
+    line = out.withColumn("__e", F.explode(F.filter(entries, lambda x: x.isNotNull())))
+    upto = Window.partitionBy("nameOrig", "__bucket").orderBy("__e.time", "__e.order").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("unique_dest", F.sum("__e.delta").over(upto)).where("__e.row").drop("__e", "__bucket", "__own", "__opens", "__closes")
     average = F.col("total_amount") / F.col("txn_count")
-    return out.withColumn("amount_ratio", F.when(average != 0, F.col("amount") / average).otherwise(1.0))
+    return line.withColumn("amount_ratio", F.when(average != 0, F.col("amount") / average).otherwise(1.0))
 
 
 def transfer_then_cash_out(tx: DataFrame, window: int = 2) -> DataFrame:
@@ -135,10 +164,6 @@ def time_split(tx: DataFrame, train: float = 0.6, val: float = 0.8) -> DataFrame
     return tx.join(F.broadcast(cuts)).withColumn("part", part).drop("train_cut", "val_cut")  # cuts has one row
 
 
-def first_positive(column: Column) -> Column:
-    return F.when(column > 0, column)
-
-
 def joined_back(pairs: DataFrame, tx: DataFrame, keys: tuple[str, ...] = ("nameOrig", "step", "amount")) -> DataFrame:
     """The raw rows of distinct keys, with how many rows each key has found, 0 too: a caller wants exactly one."""
     wanted = pairs.select(*keys).distinct()

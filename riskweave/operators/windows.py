@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators import events as e
+from riskweave.operators.ranks import quantiles
 
+# Names of measures and features, by source, as the output's contract has them.
 LOGON = ["logon_event_count", "logon_count", "logoff_count", "unique_logon_pc_count", "new_logon_pc_count", "non_primary_logon_count", "non_primary_logon_ratio", "login_hour_surprise_mean", "logon_session_count", "logon_session_minutes_sum", "logon_session_minutes_mean", "logon_session_minutes_max"]
 DEVICE = ["device_event_count", "device_connect_count", "device_disconnect_count", "new_device_tree_count", "device_session_count", "device_session_minutes_sum", "device_session_minutes_mean", "device_session_minutes_max"]
 FILE = ["file_activity_count", "file_open_count", "file_write_count", "file_copy_count", "file_delete_count", "file_to_removable_count", "file_from_removable_count", "file_extension_count", "new_file_path_count"]
@@ -46,8 +48,12 @@ def project_count(projects: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(projects, F.lit("")), "[;,|]"), lambda p: F.trim(p) != ""))
 
 
+# Words of titles with wide access.
+PRIVILEGED = "(?i)admin|manager|director|president|supervisor|security"
+
+
 def privileged(title: Column) -> Column:
-    return F.coalesce(title.rlike("(?i)admin|manager|director|president|supervisor|security"), F.lit(False))
+    return F.coalesce(title.rlike(PRIVILEGED), F.lit(False))
 
 
 def with_users(rows: DataFrame, users: DataFrame, strict: bool = False) -> DataFrame:
@@ -102,7 +108,9 @@ def profile(summaries: DataFrame, features: list[str], key: str, peer: str, days
 
 def role_daily(summaries: DataFrame, features: list[str]) -> DataFrame:
     """Median over a role's users of their daily medians and deviations."""
-    return summaries.groupBy("role", "event_date").agg(*[F.median(f"{f}__{s}").alias(f"{f}__{s}") for f in features for s in ("median", "mad")])
+    columns = [f"{f}__{s}" for f in features for s in ("median", "mad")]
+    found = quantiles(summaries, columns, [0.5], ["role", "event_date"])
+    return found.groupBy("role", "event_date").agg(*[F.max(F.when(F.col("feature") == c, F.col("values")[0])).alias(c) for c in columns])
 
 
 def scale_floor(feature: str) -> float:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators import correlation as c
-from riskweave.plans.registry import query
+from riskweave.plans.registry import half_even_sql, query
 
 BAD = "case when entity_id like '%7' then '' else entity_id end as entity_id, case when score = 1 then 1.5 else score end as score, case when assessment_id like '%99' then 'other' else domain end as domain"
 BAD_SPARK = ["assessment_id", "case when entity_id like '%7' then '' else entity_id end as entity_id", "case when score = 1 then 1.5 else score end as score", "case when assessment_id like '%99' then 'other' else domain end as domain"]
@@ -43,7 +43,7 @@ an as (select a.*, f.anchor, coalesce(f.anchor::varchar, a.assessment_id) as win
 STRONG = f"{ANCHORED}, st as (select * from an qualify row_number() over (partition by entity_id, window_, domain order by score desc, event_time desc nulls last, assessment_id) = 1)"
 FUSED = f"""{STRONG},
 f0 as (select entity_id, window_, min(anchor) as anchor, avg(score) as a, count_if(score >= 0.5) as firing, array_to_string(list_sort(list(distinct domain)), ',') as domains, array_to_string(list_sort(list(assessment_id)), ',') as members, max(event_time) as landed_at, min(event_time) as first_at, count(event_time) as timed from st group by entity_id, window_),
-fu as (select *, round(case when firing >= 2 then least(1.0, a + (1 - a) * 0.15 * (firing - 1)) else a end + 1e-9, 4) as combined_score, case when firing >= 2 then 'high' else 'low' end as confidence from f0),
+fu as (select *, {half_even_sql("case when firing >= 2 then least(1.0, a + (1 - a) * 0.15 * (firing - 1)) else a end", 4)} as combined_score, case when firing >= 2 then 'high' else 'low' end as confidence from f0),
 inc as (select *, case when combined_score >= 0.9 and confidence = 'high' then 'revoke' when combined_score >= 0.7 then 'step_up_auth' when combined_score >= 0.4 then 'throttle' else 'allow' end as access_decision, case when firing >= 2 then 'escalated' else 'new' end as status from fu)"""
 
 

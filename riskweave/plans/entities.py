@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import entities as n
 from riskweave.operators import transactions as t
+from riskweave.operators.ranks import numbered
 from riskweave.plans.registry import query
 
 FLAT = "ix as (select 'cert' as source, user_id as raw_id, entity_id from xwalk union all select 'paysim', account, entity_id from xwalk)"
@@ -17,14 +18,8 @@ def xwalk_flatten(xwalk: DataFrame) -> DataFrame:
     return n.flatten(xwalk)
 
 
-@query("xwalk_conflicts", "led", "select source, raw_id, count(distinct entity_id) as n_entities from (select 'paysim' as source, nameOrig as raw_id, nameDest as entity_id from led where row_id % 50 = 0) x group by all having count(distinct entity_id) > 1")
+@query("xwalk_conflicts", "led", "select 'paysim' as source, nameOrig as raw_id, count(distinct nameDest) as n_entities from led group by all having count(distinct nameDest) > 1")
 def xwalk_conflicts(led: DataFrame) -> DataFrame:
-    return n.conflicts(led.where("row_id % 50 = 0").select(F.lit("paysim").alias("source"), F.col("nameOrig").alias("raw_id"), F.col("nameDest").alias("entity_id")))
-
-
-# row_id % 50 = 0 holds for no row, so xwalk_conflicts and its SQL are empty; this is the same over the whole ledger
-@query("xwalk_conflicts_all", "led", "select 'paysim' as source, nameOrig as raw_id, count(distinct nameDest) as n_entities from led group by all having count(distinct nameDest) > 1")
-def xwalk_conflicts_all(led: DataFrame) -> DataFrame:
     return n.conflicts(led.select(F.lit("paysim").alias("source"), F.col("nameOrig").alias("raw_id"), F.col("nameDest").alias("entity_id")))
 
 
@@ -63,9 +58,9 @@ def select_buckets(usr: DataFrame, led: DataFrame) -> DataFrame:
     return n.buckets(usr, t.account_summary(led).withColumn("total_amount", F.round("total_amount", 3)), 10)
 
 
-@query("assign_entities", "usr", "select user_id, 'G' || cast(k as varchar) as entity_id, ['admin', 'analyst', 'teller'][((k - 1) % 3 + 1)::int] as duty from (select user_id, row_number() over (order by user_id) as k from usr where role = 'MACHINERY') x")
+@query("assign_entities", "usr", "select user_id, 'G' || cast(k as varchar) as entity_id, ['admin', 'analyst', 'teller'][((k - 1) % 3 + 1)::int] as duty from (select user_id, row_number() over (order by user_id) as k from usr) x")
 def assign_entities(usr: DataFrame) -> DataFrame:
-    k = n.numbered(usr.where("role = 'MACHINERY'").select("user_id"), ["user_id"])
+    k = numbered(usr.select("user_id"), ["user_id"])
     duty = F.element_at(F.array(*[F.lit(x) for x in ("admin", "analyst", "teller")]), ((F.col("n") - 1) % 3 + 1).cast("int"))
     return k.select("user_id", F.concat(F.lit("G"), F.col("n").cast("string")).alias("entity_id"), duty.alias("duty"))
 

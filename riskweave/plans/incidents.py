@@ -15,9 +15,9 @@ def l_list(asm: DataFrame) -> DataFrame:
     return incidents(asm).where("status = 'escalated' and combined_score >= 0.8").orderBy(F.desc("combined_score")).select("entity_id", "members", "combined_score")
 
 
-@query("l_feedback_log", "fb", "select seq, incident_id, action, reason from fb where incident_id in ('INC-1', 'INC-2', 'INC-3') order by seq")
+@query("l_feedback_log", "fb", "select seq, incident_id, action, reason from fb order by seq")
 def l_feedback_log(fb: DataFrame) -> DataFrame:
-    return fb.where(F.col("incident_id").isin("INC-1", "INC-2", "INC-3")).orderBy("seq").select("seq", "incident_id", "action", "reason")
+    return fb.orderBy("seq").select("seq", "incident_id", "action", "reason")
 
 
 @query("l_lifecycle", "fb", """with recursive o as (select incident_id, action, row_number() over (partition by incident_id order by seq) as k from fb),
@@ -43,7 +43,7 @@ def l_summary(asm: DataFrame) -> DataFrame:
 
 @query("l_reasons_by_domain", "asm", f"with recursive {STRONG} select domain, count(*) as n, array_to_string(list_slice(list_sort(list(assessment_id)), 1, 5), ',') as examples from st group by domain")
 def l_reasons_by_domain(asm: DataFrame) -> DataFrame:
-    return n.exploded(incidents(asm)).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("assessment_id")), 1, 5), ",").alias("examples"))
+    return n.reasons_by_domain(n.exploded(incidents(asm)))
 
 
 @query("l_signals", "asm", f"with recursive {STRONG} select entity_id, assessment_id, domain, score, event_time from st")

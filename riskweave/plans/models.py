@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import models as m
 from riskweave.operators import transactions as t
+from riskweave.operators.ranks import quantiles
 from riskweave.plans.behaviour import ALL_Z, ALL_ZS, FEATURES, Z, ZS, all_scored, scored
-from riskweave.plans.registry import query
+from riskweave.plans.registry import half_even_sql, query
 
 
 @query("m_date_split", "act", "select event_date, case when k <= floor(n * 0.6::double) then 'train' when k <= floor(n * 0.6::double) + floor(n * 0.2::double) then 'val' else 'test' end as part from (select event_date, row_number() over (order by event_date) as k, count(*) over () as n from (select distinct event_date from act) d) x")
@@ -130,7 +131,8 @@ def m_perturb(lineitem: DataFrame) -> DataFrame:
     forest = m.isolation_forest(rows, FOREST, "key")
     far = m.anomaly_scores(m.anomaly_scores(rows, FOREST, forest).withColumn("l_extendedprice", F.col("l_extendedprice") + 1e6), FOREST, forest, "moved")
     delta = F.col("moved") - F.col("anomaly")
-    return far.agg(F.percentile(delta, F.lit(0.5)).alias("median_delta"), F.avg(delta).alias("mean_delta"), F.avg((delta > 0).cast("double")).alias("raised"))
+    half = quantiles(far.select(delta.alias("delta")), ["delta"], [0.5]).select(F.col("values")[0].alias("median_delta"))
+    return half.join(far.agg(F.avg(delta).alias("mean_delta"), F.avg((delta > 0).cast("double")).alias("raised")))  # one row each
 
 
 @query("m_fraud_model", "led")
@@ -222,3 +224,17 @@ def m_importance_ranked(lineitem: DataFrame) -> DataFrame:
 def m_perturbed(lineitem: DataFrame) -> DataFrame:
     rows = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_tax").cast("double").alias("tax_ratio"), F.col("l_extendedprice").cast("double").alias("price_bytes"), F.col("l_quantity").cast("double").alias("quantity"))
     return m.perturbed(rows, ["tax_ratio", "price_bytes", "quantity"])
+
+
+@query("m_entity_assessments", "act xwalk", f"""with a as (select x.entity_id, act.event_id, act.event_type, act.user_id, act.pc_id, event_time, 0.05::double - coalesce(email_size, 0) / 20000.0::double as score from act join xwalk x on act.user_id = x.user_id),
+t as (select *, {half_even_sql("1 / (1 + exp(45 * score))", 4)} as risk from a qualify row_number() over (partition by entity_id order by score, event_id) = 1),
+o as (select t.entity_id, list_slice(list_sort(list(distinct a.event_type)), 1, 2) as others from t join a on a.entity_id = t.entity_id and a.event_type <> t.event_type group by t.entity_id)
+select t.entity_id, event_id as log_id, risk, array_to_string(list_prepend(event_type, coalesce(others, [])), ',') as signals, case when len(others) > 0 then {half_even_sql("risk * 0.3::double", 4)} end as further_weight,
+  'flagged ''' || event_type || ''' on PC ' || pc_id || ' at ' || strftime(event_time, '%Y-%m-%d ') || hour(event_time) || ':' || minute(event_time) || ' (user ' || user_id || '); decision_function=' || printf('%.4f', score) as raw_value
+from t left join o on t.entity_id = o.entity_id""")
+def m_entity_assessments(act: DataFrame, xwalk: DataFrame) -> DataFrame:
+    mapped = act.join(xwalk.select("user_id", "entity_id"), "user_id")
+    score = F.lit(0.05) - F.coalesce("email_size", F.lit(0)) / 20000.0
+    anomalies = mapped.select("entity_id", F.col("event_id").alias("log_id"), score.alias("score"), F.col("event_type").alias("activity"), F.col("user_id").alias("user"), F.col("pc_id").alias("pc"), F.col("event_time").alias("time"))
+    r = F.col("reasons")
+    return m.entity_assessments(anomalies).select("entity_id", "log_id", "risk", F.array_join(F.transform(r, lambda x: x["signal_name"]), ",").alias("signals"), F.get(r, F.lit(1))["weight"].alias("further_weight"), r[0]["raw_value"].alias("raw_value"))

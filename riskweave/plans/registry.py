@@ -12,6 +12,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def half_even_sql(x: str, digits: int) -> str:
+    """DuckDB: a double between 0 and 1 rounded to digits, half to even on its binary value, in whole numbers of 2**-100."""
+    one = f"{1 << 100}"
+    v = f"(({x}) * {one}::double)::hugeint * {10**digits}"
+    up = f"({v} % {one}::hugeint > {1 << 99}::hugeint or {v} % {one}::hugeint = {1 << 99}::hugeint and ({v} // {one}::hugeint) % 2 = 1)::int"
+    return f"(({v} // {one}::hugeint + {up})::double / {10.0**digits}::double)"
+
+
 def query(name: str, inputs: str, sql: str | None = None):
     """Register a function of the named tables or views; sql is a SELECT over the same names, optionally WITH its own parts."""
     names = inputs.split()
@@ -33,7 +41,7 @@ def query(name: str, inputs: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from riskweave.plans import behaviour, correlation, entities, incidents, models, scalars, transactions  # noqa: F401  they register theirs
+    from riskweave.plans import behaviour, correlation, entities, fraud, incidents, models, scalars, transactions  # noqa: F401  they register theirs
 
     return _QUERIES
 

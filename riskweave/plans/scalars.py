@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import scalars as s
 from riskweave.operators.correlation import INCIDENTS, uuid5
-from riskweave.plans.registry import query
+from riskweave.plans.registry import half_even_sql, query
 from riskweave.sources import readers, sinks
 
 TS = "coalesce(try_strptime(split_part(line, chr(9), 2), '%d-%m-%Y %H:%M:%S'), try_strptime(split_part(line, chr(9), 2), '%Y-%m-%d %H:%M'))"
@@ -44,10 +44,10 @@ def s_interp(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.round(s.interpolate(F.col("value"), [10, 40, 90], [0.1, 0.5, 1.0]), 9).alias("y"))
 
 
-STATUS = "case " + " ".join(f"when contains(upper(crypto_algorithm), '{t}') then '{q}'" for t, q, _ in s.ALGORITHMS) + " else 'unknown' end"
-RISK = "case " + " ".join(f"when contains(upper(crypto_algorithm), '{t}') then {r}::double" for t, _, r in s.ALGORITHMS) + " else 0.5::double end"
+STATUS = "case " + " ".join(f"when contains(upper(crypto_algorithm), '{t}') then '{q}'" for t, q, _, _ in s.ALGORITHMS) + " else 'unknown' end"
+RISK = "case " + " ".join(f"when contains(upper(crypto_algorithm), '{t}') then {r}::double" for t, _, r, _ in s.ALGORITHMS) + " else 0.5::double end"
 WEIGHT = "case data_sensitivity " + " ".join(f"when '{k}' then {v}::double" for k, v in s.SENSITIVITY.items()) + " else 0.4::double end"
-ASSETS = f"""sc as (select *, round(risk * weight * (0.4::double + 0.6::double * least(retention_years / 10, 1.0)) + 1e-9, 3) as priority_score, status = 'quantum_vulnerable' and data_sensitivity in ('confidential', 'restricted') and retention_years >= 5 as hndl_risk
+ASSETS = f"""sc as (select *, {half_even_sql("risk * weight * (0.4::double + 0.6::double * least(retention_years / 10, 1.0))", 3)} as priority_score, status = 'quantum_vulnerable' and data_sensitivity in ('confidential', 'restricted') and retention_years >= 5 as hndl_risk
   from (select *, {STATUS} as status, {RISK} as risk, {WEIGHT} as weight from ast) x),
 sa as (select *, case when priority_score >= 0.7 then 'CRITICAL' when priority_score >= 0.45 then 'HIGH' when priority_score >= 0.2 then 'MEDIUM' else 'LOW' end as priority_tier from sc)"""
 
@@ -103,7 +103,7 @@ def file_fingerprint(region: DataFrame) -> DataFrame:
     return readers.fingerprints(region.sparkSession, region.inputFiles())
 
 
-FAMILY = "case " + " ".join(f"when contains(upper(crypto_algorithm), '{t}') then '{next((f for f, ts in s.FAMILIES.items() if t in ts), 'asymmetric')}'" for t, _, _ in s.ALGORITHMS) + " else 'unknown' end"
+FAMILY = "case " + " ".join(f"when contains(upper(crypto_algorithm), '{t}') then '{f}'" for t, _, _, f in s.ALGORITHMS) + " else 'unknown' end"
 
 
 @query("s_asset_replacement", "ast", f"select asset_id, family, case when status in ('quantum_safe', 'pqc', 'quantum_adequate') then 'none (already adequate)' when family = 'symmetric' then 'AES-256' when purpose = 'key_exchange' then 'ML-KEM (Kyber)' when purpose = 'signature' then 'ML-DSA (Dilithium)' else 'ML-KEM / ML-DSA' end as replacement from (select *, {STATUS} as status, {FAMILY} as family from ast) x")
@@ -125,8 +125,8 @@ def s_us_time(events: DataFrame) -> DataFrame:
     return events.select("event_id", s.us_time(F.when(F.col("event_id") % 7 == 0, "31/31/2024").otherwise(F.date_format("ts", "MM/dd/yyyy HH:mm:ss"))).alias("t"))
 
 
-@query("s_canonical_json", "asm", """select assessment_id, '{"assessment_id":"' || assessment_id || '","at":{"day":"' || strftime(coalesce(event_time, timestamp '2024-01-01'), '%Y-%m-%dT%H:%M:%SZ') || '","of":"' || "domain" || '"},"entity_id":"' || entity_id || '"}' as json from asm""")
+@query("s_canonical_json", "asm", """select assessment_id, '{"assessment_id":"' || assessment_id || '","at":{"day":' || coalesce('"' || case when epoch_us(event_time) % 1000000 = 0 then strftime(event_time, '%Y-%m-%dT%H:%M:%SZ') else strftime(event_time, '%Y-%m-%dT%H:%M:%S.%fZ') end || '"', 'null') || ',"of":"' || "domain" || '"},"entity_id":"' || entity_id || '"}' as json from asm""")
 def s_canonical_json(asm: DataFrame) -> DataFrame:
-    at = F.struct(F.col("domain").alias("of"), F.coalesce("event_time", F.timestamp_add("DAY", F.lit(0), F.lit("2024-01-01").cast("timestamp"))).alias("day"))
+    at = F.struct(F.col("domain").alias("of"), F.col("event_time").alias("day"))
     df = asm.select("entity_id", at.alias("at"), "assessment_id")
     return df.select("assessment_id", s.canonical_json(df).alias("json"))

@@ -85,7 +85,7 @@ _view("fb", ("events",), """
 select event_id as seq, 'INC-' || cast(user_id as string) as incident_id, 'U' || cast(user_id as string) as entity_id,
   case event_type when 'click' then 'acknowledge' when 'view' then 'escalate' when 'error' then 'dismiss' else 'bogus' end as action,
   'r' || cast(event_id % 5 as string) as reason, cast(ts as timestamp) as ts
-from events where event_id % 10 = 0""")
+from events""")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

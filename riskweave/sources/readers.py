@@ -62,6 +62,18 @@ def entity_mapping(spark: SparkSession, path: str) -> DataFrame:
     return e.select("entity_id", F.explode(both).alias("s")).select("s.source", "s.raw_id", "entity_id").where("raw_id is not null")
 
 
+def json_array(spark: SparkSession, path: str, schema: str, field: str | None = None, inner: dict[str, str] | None = None) -> DataFrame:
+    """A row for each object of a JSON document's array, which stands alone or in a field; inner: columns that hold JSON as
+    text, with its type. Raises if the document has no such array."""
+    doc = spark.read.text(path, wholetext=True)
+    kind = f"array<struct<{schema}>>"
+    rows = doc.select(F.from_json("value", kind).alias("a") if field is None else F.from_json("value", f"struct<`{field}`: {kind}>")[field].alias("a"))
+    if rows.where("a is null").limit(1).count():
+        raise ContractError(f"{path}: no array{f' {field}' if field else ''}")
+    out = rows.select(F.explode("a").alias("x")).select("x.*")
+    return out.withColumns({c: F.from_json(c, t) for c, t in (inner or {}).items()})
+
+
 def fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Name, size and SHA-256 of files."""
     return spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "length", F.sha2("content", 256).alias("sha256"))

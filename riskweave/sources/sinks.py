@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +15,28 @@ def fresh(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/riskweave-{uuid.uuid4().hex}"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from spark.checkpoint.dir; a local one on a local master, an error on a cluster without."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = set_.get() if set_.isDefined() else None
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="riskweave-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cut the lineage: the rows written to the shared folder and read back, so that a lost executor costs no recomputation."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str | None = None) -> str:
     path = path or fresh(df.sparkSession)
     df.write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(path)

@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskweave.functions import scalars as s
 from riskweave.operators import correlation as c
+from riskweave.sources.tail import TailSource
+from riskweave.sources.versioned import VersionedTable
 
 
 def kafka_lines(spark: SparkSession, servers: str, topic: str, per_trigger: int | None = None) -> DataFrame:
@@ -125,6 +127,30 @@ def buffered(stream: DataFrame, keep: int, folder: str, checkpoint: str, each: C
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
 
-def snapshots(stream: DataFrame, folder: str, checkpoint: str, of: Callable[[DataFrame], DataFrame]):
-    """After each batch the whole result of `of` over it takes the place of the one before, as JSON."""
-    return stream.writeStream.foreachBatch(lambda df, _: of(df).coalesce(1).write.mode("overwrite").json(folder)).option("checkpointLocation", checkpoint).start()
+def snapshots(stream: DataFrame, table: VersionedTable, checkpoint: str, of: Callable[[DataFrame], DataFrame]):
+    """After each batch the whole result of `of` over it is the table's next version; readers see one or the other, whole."""
+    return stream.writeStream.foreachBatch(lambda df, _: table.overwrite(of(df))).option("checkpointLocation", checkpoint).start()
+
+
+def tailed(spark: SparkSession, folder: str, group: str = "default", most: int = 64 << 20) -> DataFrame:
+    """partition, offset and line of a folder of growing files, from where the group has come to."""
+    spark.dataSource.register(TailSource)
+    return spark.readStream.format("tail").option("path", folder).option("group", group).option("bytes", str(most)).load()
+
+
+def consume(lines: DataFrame, ledger: VersionedTable, dead: VersionedTable, checkpoint: str, each: Callable[[int], Any] | None = None):
+    """JSON records of lines (partition, offset, line) into the ledger, each id once; others with error, payload and details
+    into dead, each offset once. Offsets count as handled after both, so a batch that comes again changes nothing."""
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ledger.schema.fields)
+
+    def batch(df: DataFrame, number: int) -> None:
+        parsed = df.withColumn("r", F.from_json("line", kind)).select("partition", "offset", "line", "r.*")
+        checked = c.invalid(parsed).persist()
+        bad = checked.where(F.size("errors") > 0)
+        dead.insert_new(bad.select(F.concat_ws(":", "partition", "offset").alias("at"), F.array_join("errors", ",").alias("error"), F.col("line").alias("payload"), F.to_json(F.struct("errors")).alias("details")), "at")
+        ledger.insert_new(checked.where(F.size("errors") == 0).select(*ledger.schema.names), "assessment_id")
+        checked.unpersist()
+        if each:
+            each(number)
+
+    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

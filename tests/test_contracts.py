@@ -14,6 +14,7 @@ from riskweave.operators import models as m
 from riskweave.operators import quality as q
 from riskweave.operators import transactions as t
 from riskweave.sources import readers, sinks
+from riskweave.sources.versioned import VersionedTable
 from riskweave.streaming import streams
 from tests.test_operators import B, X, assessments
 from tests.test_streams import feed, run, sample
@@ -119,8 +120,11 @@ def test_buffer_decisions_and_snapshots(spark, tmp_path):
     assert len(found) == 50 and found["037"]["prediction"] == -1 and found["037"]["decision"] == min(r["decision"] for r in found.values())
     assert 1 <= sum(r["prediction"] == -1 for r in found.values()) <= 3 and len(found["037"]["terms"].split()) == 5
     stream = feed(spark, df, str(tmp_path), 2, "log_id")
-    run(streams.snapshots(stream, str(tmp_path / "snap"), str(tmp_path / "cp"), lambda b: m.anomaly_report(m.buffer_decisions(b.where("log_id >= '030'"), "log_id", "line", window=30, trees=20))))
-    report = spark.read.json(str(tmp_path / "snap")).collect()
+    schema = m.anomaly_report(m.buffer_decisions(df, "log_id", "line", window=30, trees=2)).schema
+    table = VersionedTable(spark, str(tmp_path / "snap"), schema, ["total_logs"], 1)
+    run(streams.snapshots(stream, table, str(tmp_path / "cp"), lambda b: m.anomaly_report(m.buffer_decisions(b.where("log_id >= '030'"), "log_id", "line", window=30, trees=20))))
+    report = table.read().collect()
+    assert table.version() == 2 and table.read(1).first()["total_logs"] == 0
     assert len(report) == 1 and report[0]["total_logs"] == 30 and report[0]["anomalies_count"] + report[0]["normal_count"] == 30
 
 
@@ -144,3 +148,32 @@ def test_replayed_batch_leaves_each_record_once(spark, tmp_path):
     run(streams.ingest(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), str(tmp_path / "ledger"), str(tmp_path / "dead"), str(tmp_path / "cp")))
     ids = [r[0] for r in spark.read.parquet(str(tmp_path / "ledger")).select("assessment_id").collect()]
     assert sorted(ids) == sorted(r[0] for r in df.select("assessment_id").collect())
+
+
+def test_json_arrays(spark, tmp_path):
+    """Assets and assessments stand alone as arrays; anomalies lie in a field, with their logs as JSON in text."""
+    (tmp_path / "assets.json").write_text(json.dumps([{"asset_id": 1, "crypto_algorithm": "RSA"}, {"asset_id": 2}], indent=1))
+    found = readers.json_array(spark, str(tmp_path / "assets.json"), "asset_id long, crypto_algorithm string").collect()
+    assert [tuple(r) for r in found] == [(1, "RSA"), (2, None)]
+    log = json.dumps({"USER": "U1", "ACTIVITY": "Logon"})
+    (tmp_path / "anomalies.json").write_text(json.dumps({"total": 1, "anomalies": [{"log": log, "score": -0.125}]}))
+    found = readers.json_array(spark, str(tmp_path / "anomalies.json"), "log string, score double", "anomalies", {"log": "USER string, ACTIVITY string"}).select("log.USER", "log.ACTIVITY", "score").collect()
+    assert [tuple(r) for r in found] == [("U1", "Logon", -0.125)]
+    with pytest.raises(readers.ContractError):
+        readers.json_array(spark, str(tmp_path / "anomalies.json"), "log string", "nothing")
+
+
+def test_assessments_of_anomalies(spark):
+    at = dt.datetime(2024, 1, 2, 3, 4)
+    rows = [("E1", "2", -0.02, "Logon", "U1", "P1", at), ("E1", "1", -0.02, "Device", "U1", "P1", at), ("E1", "3", 0.1, "Web", "U1", "P1", at), ("E1", "4", 0.1, "Mail", "U1", "P1", at), ("E2", "5", 0.0, "Logon", "U2", None, None)]
+    found = {r["entity_id"]: r for r in m.entity_assessments(spark.createDataFrame(rows, "entity_id string, log_id string, score double, activity string, user string, pc string, time timestamp")).collect()}
+    risk = round(1 / (1 + 2.718281828459045 ** (-0.02 * 45)), 4)
+    assert (found["E1"]["log_id"], found["E1"]["risk"], found["E2"]["risk"]) == ("1", risk, 0.5)
+    assert [(x["signal_name"], x["weight"]) for x in found["E1"]["reasons"]] == [("Device", risk), ("Logon", round(risk * 0.3, 4)), ("Mail", round(risk * 0.3, 4))]
+    assert found["E1"]["reasons"][0]["raw_value"] == "flagged 'Device' on PC P1 at 2024-01-02 3:4 (user U1); decision_function=-0.0200"
+    assert len(found["E2"]["reasons"]) == 1
+
+
+def test_gaps_as_text(spark):
+    df = spark.createDataFrame([(65.0,), (42.9,), (None,), (0.0,)], "x double")
+    assert [r[0] for r in df.select(i.short_gap(F.col("x"))).collect()] == ["1h 5m", "42m", "", "0m"]

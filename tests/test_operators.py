@@ -96,8 +96,6 @@ B, X = "ps1_behavioral", "ps2_transaction"
 def test_decisions(spark, rows, want):
     found = c.incidents(c.anchored(assessments(spark, rows)))
     got = sorted((r["access_decision"], r["confidence"]) for r in found.collect())
-    # a pair that corroborates scores .75 + .25 * .15, short of revoking
-    want = [("step_up_auth", "high")] if want == [("revoke", "high")] else want
     assert got == want
 
 
@@ -200,7 +198,7 @@ def test_iforest_finds_the_outlier(spark):
 def test_conflicts_over_the_whole_ledger(spark):
     from riskweave.plans import registry
 
-    assert registry.queries()["xwalk_conflicts_all"](spark, "/root/testdata/sf0.001").count() > 0
+    assert registry.queries()["xwalk_conflicts"](spark, "/root/testdata/sf0.001").count() > 0
 
 
 def test_fraud_scores_of_every_row(spark):
