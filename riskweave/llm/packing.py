@@ -67,7 +67,8 @@ class WordTokens:
             self.stems.clear()
         split = {}
         for word in words:
-            low = word.lower() if word.isascii() else word  # composing letters and marks comes before lower-casing
+            # letters and marks (U+0300 to U+036F lead with these bytes) are composed before lower-casing
+            low = word if b"\xcc" in word or b"\xcd" in word else word.lower()
             stem = low.rstrip(TAIL)
             plain = len(word) <= CACHE_LENGTH and b"<" not in word
             split[word] = ((stem, low[len(stem) :]) if ends_in_letter(stem) else (low, b"")) if plain else None
