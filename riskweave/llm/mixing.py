@@ -32,7 +32,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None, total: int |
     else:
         known, all_of_it = F.lit(0.0), float(sum(weights.values()))
         for k, w in weights.items():
-            known = F.when(F.col("of_source").eqNullSafe(F.lit(k)), F.lit(w / all_of_it)).otherwise(known)
+            known = F.when(F.col("of_source").eqNullSafe(F.lit(k)), F.lit(w / all_of_it if all_of_it else 0.0)).otherwise(known)
         share = known
     rated = counts.withColumn("rate", size * share / F.col("n"))
     rated = rated.withColumn("parts", F.greatest(F.lit(1.0), F.ceil(F.col("rate") / STEP_RATE).cast("double")))
@@ -62,7 +62,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     A source's rows are repeated at the mean rate total * weight / rows: each row's count is the inverse of that Poisson
     distribution at a uniform number hashed from seed and id, so that a rerun or a lost task draws alike. Without weights
     the sources get equal shares; without total the mix has as many rows as docs, on average. A weight of zero or a source
-    that weights leave out draws nothing. A null source is a source of its own; a null id hashes as the empty text; rows
+    that weights leave out draws nothing, and so does every source if all weights are zero. A null source is a source of its own; a null id hashes as the empty text; rows
     that repeat an id draw the same count. Null and empty texts are ordinary rows, an empty table gives none. Columns of
     docs that are called copy or shuffle_key, in any case, are replaced; all others pass as they are.
     """

@@ -98,6 +98,7 @@ def test_pii(docs):
 def test_mix(docs):
     found = mix_sources(docs.select("doc_id", "text", "source", "node"), {"s": 1.0, None: 0.0}, total=100)
     assert {r["source"] for r in found.collect()} == {"s"}
+    assert mix_sources(docs.select("doc_id", "text", "source"), {"s": 0.0, None: 0.0}).collect() == [] == mix_sources(docs.select("doc_id", "text", "source"), {}).collect()
     keys = [r["shuffle_key"] for r in found.collect()]
     assert keys == sorted(keys)
 
