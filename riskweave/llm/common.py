@@ -123,15 +123,20 @@ class Powers:
 
 
 class WordHasher:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of texts, A-Z lower-cased, without a Python loop over words."""
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of texts, A-Z lower-cased, without a Python loop over words.
 
-    def __init__(self):
-        self.up, self.down = Powers(_R), Powers(_R_INV)
+    starts and ends tell where the words of the last call lie in its bytes. Hashers of different odd bases are independent.
+    """
+
+    def __init__(self, base: int = _R):
+        self.up, self.down = Powers(base), Powers(pow(base, -1, 1 << 64))
+        self.starts = self.ends = np.zeros(0, np.int64)
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """data: bytes of consecutive texts; bounds: where each begins, and the end. Returns hashes and the texts' bounds in them."""
         n = len(data)
         if not n:
+            self.starts = self.ends = np.zeros(0, np.int64)
             return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
         black = ~_WS[data]
         cut = np.zeros(n + 1, dtype=bool)
@@ -140,7 +145,7 @@ class WordHasher:
         first[1:] &= ~black[:-1] | cut[1:n]
         last = black.copy()
         last[:-1] &= ~black[1:] | cut[1:n]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        starts, ends = self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_BYTE[_LOWER[data]] * self.up.upto(n), out=total[1:])
         return mix((total[ends] - total[starts]) * self.down.upto(n)[starts]), np.searchsorted(starts, bounds)

@@ -18,17 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import per_worker, stored
+from riskweave.llm.common import WordHasher, byte_column, per_worker, steps, stored
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker remembers; beyond it the memory starts anew. Long words are never kept.
-CACHE_WORDS, CACHE_LENGTH = 250_000, 48
+#: Words, and stems of new words, whose ids a worker remembers; beyond it the memory starts anew. Long words are never kept.
+CACHE_WORDS, CACHE_STEMS, CACHE_LENGTH = 2_000_000, 150_000, 48
 #: Rows that one part of a length should have when it is ranked, and parts of each length at most (8 bytes each in the
 #: broadcast table of first ranks).
 PER_PART, SALTS = 1 << 16, 1 << 11
 #: Punctuation that the tokenizer always splits from a word before it.
 TAIL = b".,!?*#%&$|;:"
+#: Bytes of words that are encoded as they stand: of special tokens, and that lead marks (U+0300 to U+036F).
+ODD = np.zeros(256, dtype=np.int64)
+ODD[[0x3C, 0xCC, 0xCD]] = 1
 
 
 def ends_in_letter(stem: bytes) -> bool:
@@ -38,11 +41,41 @@ def ends_in_letter(stem: bytes) -> bool:
     return unicodedata.normalize("NFC", stem.decode()[-1]).lower().isalpha()
 
 
+class WordMemory:
+    """Ids of words by two hashes of theirs, as arrays: some 35 bytes a word."""
+
+    def __init__(self):
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.length, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u4")
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Entry of each word, -1 where it is not known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[bytes]) -> None:
+        """New words, by ascending key. A word with the key of another takes no place beside it."""
+        if len(self.keys) + len(keys) > CACHE_WORDS:
+            self.__init__()
+        at = np.searchsorted(self.keys, keys)
+        free = (at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.ones(len(keys), bool)
+        keys, checks, ids = keys[free], checks[free], [x for x, f in zip(ids, free.tolist()) if f]
+        length = np.array([len(x) // 4 for x in ids], np.int32)
+        at = np.searchsorted(self.keys, keys)
+        self.start = np.insert(self.start, at, (np.cumsum(length) - length + len(self.ids)).astype(np.int32))
+        self.length, self.keys, self.checks = np.insert(self.length, at, length), np.insert(self.keys, at, keys), np.insert(self.checks, at, checks)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+
+
 class WordTokens:
     """A text's ids as bytes (little-endian uint32), joined from those of its white-space-separated words.
 
     The tokenizer drops white space and never joins across it, lower-cases, and splits punctuation from letters; so words
-    are encoded once and remembered. Words that may hold a special token are encoded as they stand.
+    are encoded once and remembered, without their case. Words that may hold a special token, or letters and marks that are
+    composed before they are lower-cased, are encoded as they stand, and so are very long ones.
     """
 
     def __init__(self, path: str):
@@ -51,7 +84,8 @@ class WordTokens:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.stems = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.memory, self.stems = Tokenizer.from_file(path), WordMemory(), {}
+        self.hashers = WordHasher(), WordHasher(0xC2B2AE3D27D4EB4F)
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -59,44 +93,68 @@ class WordTokens:
     def encode(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that are not remembered; simple ones are put together from a stem and its punctuation."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        if len(self.stems) > 2 * CACHE_WORDS:
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words without oddities, put together from a stem and its punctuation."""
+        if len(self.stems) > CACHE_STEMS:
             self.stems.clear()
-        split = {}
+        split = []
         for word in words:
-            # letters and marks (U+0300 to U+036F lead with these bytes) are composed before lower-casing
-            low = word if b"\xcc" in word or b"\xcd" in word else word.lower()
+            low = word.lower()
             stem = low.rstrip(TAIL)
-            plain = len(word) <= CACHE_LENGTH and b"<" not in word
-            split[word] = ((stem, low[len(stem) :]) if ends_in_letter(stem) else (low, b"")) if plain else None
+            split.append((stem, low[len(stem) :]) if ends_in_letter(stem) else (low, b""))
         stems = self.stems
-        new = {x for parts in split.values() if parts for x in parts if x and x not in stems}
+        new = {x for parts in split for x in parts if x and x not in stems}
         letters = [x for x in new if x.decode().isalpha()]
         if letters:  # each is one word to the tokenizer, and its last id ends a word
             ids = np.array(self.tokenizer.encode(b" ".join(letters).decode(), add_special_tokens=False).ids, dtype="<u4")
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(ends) == len(letters):
                 ids = ids.tobytes()
-                self.stems.update(zip(letters, map(ids.__getitem__, map(slice, [0, *ends], ends))))
-        for x in [x for x in new if x not in self.stems]:
-            self.stems[x] = self.encode(x)
-        found = {}
-        for word, parts in split.items():
-            found[word] = self.encode(word) if parts is None else b"".join(self.stems[x] for x in parts if x)
-            if parts is not None:
-                self.known[word] = found[word]
-        return found
+                stems.update(zip(letters, map(ids.__getitem__, map(slice, [0, *ends], ends))))
+        for x in [x for x in new if x not in stems]:
+            stems[x] = self.encode(x)
+        return [stems[a] + stems[b] if b and a else stems[a or b] for a, b in split]
+
+    def texts(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a column."""
+        data, bounds = byte_column(column)
+        for i, j in steps(bounds):
+            part, at = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+            keys, of = self.hashers[0](part, at)
+            starts, ends = self.hashers[0].starts, self.hashers[0].ends
+            checks = self.hashers[1](part, at)[0]
+            marks = np.concatenate([[0], np.cumsum(ODD[part])])
+            odd = (marks[ends] > marks[starts]) | (ends - starts > CACHE_LENGTH)
+            usual = np.flatnonzero(~odd)
+            distinct, first, inverse = np.unique(keys[usual], return_index=True, return_inverse=True)
+            same = checks[usual[first]][inverse] == checks[usual] if len(usual) else np.zeros(0, bool)
+            odd[usual[~same]] = True  # another word with the same key
+            first, usual, inverse = usual[first], usual[same], inverse[same]
+            entry = self.memory.find(distinct, checks[first])
+            missed = np.flatnonzero(entry < 0)
+            if len(missed):
+                text = part.tobytes()
+                found = self.learn([text[a:b] for a, b in zip(starts[first[missed]].tolist(), ends[first[missed]].tolist())])
+                self.memory.add(distinct[missed], checks[first[missed]], found)
+                entry = self.memory.find(distinct, checks[first])
+            start, length = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            start[usual], length[usual] = self.memory.start[entry[inverse]], self.memory.length[entry[inverse]]
+            ids = self.memory.ids
+            odd[usual[entry[inverse] < 0]] = True
+            lone = np.flatnonzero(odd).tolist()
+            if lone:
+                text = part.tobytes()
+                own = [self.encode(text[starts[w] : ends[w]]) for w in lone]
+                size = np.array([len(x) // 4 for x in own])
+                start[lone], length[lone] = len(ids) + np.cumsum(size) - size, size
+                ids = np.concatenate([ids, np.frombuffer(b"".join(own), "<u4")])
+            upto = np.concatenate([[0], np.cumsum(length)])
+            whole = ids[np.repeat(start - upto[:-1], length) + np.arange(upto[-1])].tobytes()
+            cut = (4 * upto[of]).tolist()
+            yield from (whole[a:b] for a, b in zip(cut, cut[1:]))
 
     def __call__(self, text: bytes) -> bytes:
-        known, words = self.known, text.split()  # bytes split at ASCII white space only
-        found = [known.get(w) for w in words]
-        if None in found:
-            new = self.learn([w for w, x in zip(words, found) if x is None])
-            found = [new[w] if x is None else x for w, x in zip(words, found)]
-        return b"".join(found)
+        return next(self.texts(pa.array([text], pa.large_binary())))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -112,8 +170,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
-                ids = tokens(text or b"") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.texts(batch.column(1))):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *[np.frombuffer(part, "<u4").astype("int64")] * with_ids))
