@@ -43,12 +43,15 @@ def new_only(assessments: DataFrame, ledger: DataFrame) -> DataFrame:
 def anchored(assessments: DataFrame, minutes: int = WINDOW_MINUTES) -> DataFrame:
     """anchor: the time that opens each record's window.
 
-    A window opens at its entity's earliest record not yet in one and holds what comes at most `minutes` later. The fold
-    over an entity's times runs inside one aggregate; of each distinct time only itself is collected. Untimed records are
-    windows of their own (anchor null).
+    A window opens at its entity's earliest record not yet in one and holds what comes at most `minutes` later. Behind a gap
+    longer than that a window opens anyway, so an entity's history is cut there first, and only the times between two gaps
+    are folded together, each distinct one once. Untimed records are windows of their own (anchor null).
     """
-    times = assessments.where("event_time is not null").groupBy("entity_id").agg(F.array_sort(F.collect_set(F.unix_micros("event_time"))).alias("ts"))
     limit = minutes * 60_000_000
+    w = Window.partitionBy("entity_id").orderBy("t")
+    times = assessments.where("event_time is not null").select("entity_id", F.unix_micros("event_time").alias("t"))
+    times = times.withColumn("gap", F.coalesce(F.col("t") - F.lag("t").over(w) > limit, F.lit(False)).cast("int")).withColumn("stretch", F.sum("gap").over(w))
+    times = times.groupBy("entity_id", "stretch").agg(F.array_sort(F.collect_set("t")).alias("ts"))
     step = "named_struct('open', {o}, 'out', concat(a.out, array(named_struct('t', t, 'anchor', {o}))))".format(o="if(a.open is null or t - a.open > %d, t, a.open)" % limit)
     fold = f"aggregate(ts, named_struct('open', cast(null as bigint), 'out', cast(array() as array<struct<t: bigint, anchor: bigint>>)), (a, t) -> {step}, a -> a.out)"
     anchors = times.select("entity_id", F.explode(F.expr(fold)).alias("w")).select("entity_id", F.timestamp_micros("w.t").alias("event_time"), F.timestamp_micros("w.anchor").alias("anchor"))

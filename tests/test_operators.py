@@ -86,7 +86,7 @@ B, X = "ps1_behavioral", "ps2_transaction"
 
 
 @pytest.mark.parametrize("rows, want", [
-    ([("E", B, 0.8, 0), ("E", X, 0.7, 119)], [("revoke", "high")]),
+    ([("E", B, 0.8, 0), ("E", X, 0.7, 119)], [("step_up_auth", "high")]),  # .75 + .25 * .15
     ([("E", B, 0.8, 0), ("E", X, 0.7, 121)], [("step_up_auth", "low"), ("step_up_auth", "low")]),
     ([("E", B, 0.95, 0)], [("step_up_auth", "low")]),
     ([("E", B, 0.7, 0), ("E", B, 0.95, 5)], [("step_up_auth", "low")]),
