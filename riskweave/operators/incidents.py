@@ -38,9 +38,11 @@ def upsert(current: DataFrame, new: DataFrame, key: str, preserve: tuple[str, ..
     return c.join(n, F.col(f"c.{key}") == F.col(f"n.{key}"), "full_outer").select(*pick)
 
 
-def replace_entities(current: DataFrame, new: DataFrame, entity: str = "entity_id") -> DataFrame:
-    """All rows of an entity that occurs in new give way to its new rows."""
-    return current.join(new.select(entity).distinct(), entity, "left_anti").unionByName(new)
+def replace_entities(current: DataFrame, new: DataFrame, entity: str = "entity_id", entities: DataFrame | None = None) -> DataFrame:
+    """All rows of the given entities, or of those that occur in new, give way to the new rows; a given entity without new
+    rows is left with none."""
+    gone = (new if entities is None else entities).select(entity).distinct()
+    return current.join(gone, entity, "left_anti").unionByName(new)
 
 
 def summary(incidents: DataFrame) -> DataFrame:

@@ -229,3 +229,10 @@ def test_variants_have_all_reference_columns(spark):
     act, usr = (views.table(spark, "/root/testdata/sf0.001", x) for x in ("act", "usr"))
     df = b.all_scored(act, usr)
     assert [len(w.variant(df, x).columns) - 2 for x in ("base", "email")] == [60, 100]
+
+
+def test_replaced_entities_without_new_rows_are_left_with_none(spark):
+    from riskweave.plans import incidents as p
+
+    asm = spark.createDataFrame([("A1", "U3", 0.5), ("A2", "U3", 0.6), ("A12", "U13", 0.7), ("A5", "U4", 0.8), ("A6", None, 0.9)], "assessment_id string, entity_id string, score double")
+    assert sorted(tuple(r) for r in p.replace_entity(asm).select("assessment_id", "entity_id", "score").collect()) == [("A1", "U3", 0.0), ("A5", "U4", 0.8)]
