@@ -50,8 +50,7 @@ def m_knots(events: DataFrame) -> DataFrame:
 
 @query("m_alerts", "events", "select event_id from (select event_id, percent_rank() over (order by value) as risk from events) x where risk >= 0.99")
 def m_alerts(events: DataFrame) -> DataFrame:
-    cuts = m.knots(events, "value").where("i = 990").select(F.col("knot").alias("cut"))
-    return events.join(F.broadcast(cuts)).where("value >= cut").select("event_id")  # one row of cuts
+    return m.alerts(events, "value").select("event_id")
 
 
 TOP = "list_slice(list_sort(list_filter([" + ", ".join(f"{{'size': -abs({z}), 'place': {i}, 'name': '{z}', 'z': {z}}}" for i, z in enumerate(ZS)) + "], lambda x: x.z <> 0)), 1, 3)"

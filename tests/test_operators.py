@@ -236,3 +236,14 @@ def test_replaced_entities_without_new_rows_are_left_with_none(spark):
 
     asm = spark.createDataFrame([("A1", "U3", 0.5), ("A2", "U3", 0.6), ("A12", "U13", 0.7), ("A5", "U4", 0.8), ("A6", None, 0.9)], "assessment_id string, entity_id string, score double")
     assert sorted(tuple(r) for r in p.replace_entity(asm).select("assessment_id", "entity_id", "score").collect()) == [("A1", "U3", 0.0), ("A5", "U4", 0.8)]
+
+
+def test_alerts_by_percent_rank(spark):
+    # rows that tie at the top are alerts only if .99 of all others lie below every one of them
+    from riskweave.plans import models as p
+
+    alerts = lambda values: sorted(r["event_id"] for r in p.m_alerts(spark.createDataFrame(list(enumerate(values)), "event_id long, value double")).collect())
+    assert alerts([float(k) for k in range(198)] + [500.0] * 3) == [198, 199, 200]
+    assert alerts([float(k) for k in range(197)] + [500.0] * 3) == []
+    assert alerts([float(k) for k in range(199)] + [None, None]) == [198, 199, 200]
+    assert alerts([1.0]) == []
