@@ -157,3 +157,11 @@ def test_fraud_variants_metrics_and_reasons(spark):
     assert any("=n/a)" in x["raw_value"] for r in said for x in r["reasons"]) or "orig_steps_since_prev_txn" not in {x["signal_name"] for r in said for x in r["reasons"]}
     with pytest.raises(fraud.SplitError):
         fraud.split(fraud.feature_set(led.withColumn("isFraud", F.lit(0))))
+
+
+def test_of_two_siblings_one_is_counted(spark, monkeypatch):
+    counted, count = [], b._histograms
+    monkeypatch.setattr(b, "_histograms", lambda *a, **k: counted.append(len(a[4])) or count(*a, **k))
+    df = spark.createDataFrame([(float(k % 16), int(k % 16 in (1, 2, 6, 11, 12)), False) for k in range(160)], "f0 double, y int, val boolean")
+    model = b.grow(df, ["f0"], "y", "val", rounds=1, depth=3, rate=0.5)
+    assert counted[:2] == [1, 1] and len(model.trees[0].feature) > 3
