@@ -10,6 +10,7 @@ from riskweave.operators import transactions as t
 from riskweave.operators.ranks import quantiles
 from riskweave.plans.behaviour import ALL_Z, ALL_ZS, FEATURES, Z, ZS, all_scored, scored
 from riskweave.plans.registry import half_even_sql, query
+from riskweave.sources.sinks import kept
 
 
 @query("m_date_split", "act", "select event_date, case when k <= floor(n * 0.6::double) then 'train' when k <= floor(n * 0.6::double) + floor(n * 0.2::double) then 'val' else 'test' end as part from (select event_date, row_number() over (order by event_date) as k, count(*) over () as n from (select distinct event_date from act) d) x")
@@ -129,9 +130,9 @@ def m_perturb(lineitem: DataFrame) -> DataFrame:
     rows = lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"), *[F.col(c).cast("double") for c in FOREST])
     forest = m.isolation_forest(rows, FOREST, "key")
     far = m.anomaly_scores(m.anomaly_scores(rows, FOREST, forest).withColumn("l_extendedprice", F.col("l_extendedprice") + 1e6), FOREST, forest, "moved")
-    delta = F.col("moved") - F.col("anomaly")
-    half = quantiles(far.select(delta.alias("delta")), ["delta"], [0.5]).select(F.col("values")[0].alias("median_delta"))
-    return half.join(far.agg(F.avg(delta).alias("mean_delta"), F.avg((delta > 0).cast("double")).alias("raised")))  # one row each
+    far = kept(far.select((F.col("moved") - F.col("anomaly")).alias("delta")))
+    half = quantiles(far, ["delta"], [0.5]).select(F.col("values")[0].alias("median_delta"))
+    return half.join(far.agg(F.avg("delta").alias("mean_delta"), F.avg((F.col("delta") > 0).cast("double")).alias("raised")))  # one row each
 
 
 @query("m_fraud_model", "led")

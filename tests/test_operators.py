@@ -247,3 +247,20 @@ def test_alerts_by_percent_rank(spark):
     assert alerts([float(k) for k in range(197)] + [500.0] * 3) == []
     assert alerts([float(k) for k in range(199)] + [None, None]) == [198, 199, 200]
     assert alerts([1.0]) == []
+
+
+def test_levelled_trees_lead_to_the_same_leaves():
+    # preorder: the root cuts feature 1, its left child feature 0; NaN and a value at a cut go right
+    tree = {"feature": [1, 0, -1, -1, -1], "cut": [5.0, 2.0, 0.0, 0.0, 0.0], "left": [1, 2, -1, -1, -1], "right": [4, 3, -1, -1, -1], "depth": [0.0, 0.0, 7.0, 8.0, 9.0]}
+    levels, feature, cut, left, depth = m._levelled(tree)
+    assert levels == 2 and left.tolist() == [1, 3, 2, 3, 4] and depth[left[0] + 1] == 9.0 and depth[left[left[0]]] == 7.0 and depth[left[left[0]] + 1] == 8.0 and sum(cut != cut) == 3
+
+
+def test_perturbed_rows_are_scored_once(spark, monkeypatch):
+    from riskweave.plans import models as p
+
+    seen = []
+    monkeypatch.setattr(m, "isolation_forest", lambda *a: [{"tree": 0, "n": 4, "feature": [0, -1, -1], "cut": [2.5, 0.0, 0.0], "left": [1, -1, -1], "right": [2, -1, -1], "depth": [0.0, 2.0, 1.0]}])
+    monkeypatch.setattr(p, "kept", lambda df: seen.append(df.columns) or df, raising=False)
+    lines = spark.createDataFrame([(1, k, 1, 1, float(k), 100.0, 0.0, 0.0) for k in range(1, 5)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    assert tuple(p.m_perturb(lines).first()) == (0.0, 0.0, 0.0) and seen == [["delta"]]
