@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators import events as e
 from riskweave.operators.ranks import quantiles
+from riskweave.sources.sinks import kept
 
 # Names of measures and features, by source, as the output's contract has them.
 LOGON = ["logon_event_count", "logon_count", "logoff_count", "unique_logon_pc_count", "new_logon_pc_count", "non_primary_logon_count", "non_primary_logon_ratio", "login_hour_surprise_mean", "logon_session_count", "logon_session_minutes_sum", "logon_session_minutes_mean", "logon_session_minutes_max"]
@@ -75,12 +80,77 @@ def with_context(hourly: DataFrame, users: DataFrame) -> DataFrame:
     }).drop("end_time")
 
 
+def _changes(batch: pa.RecordBatch, keys: list[str], last: list | None) -> np.ndarray:
+    """Whether each row has other keys than the row before it; last: the keys before the first row."""
+    out = np.zeros(len(batch), bool)
+    for i, k in enumerate(keys):
+        values = np.array([None if last is None else last[i], *batch.column(k).to_pylist()], object)
+        out |= values[1:] != values[:-1]
+    out[0] |= last is None
+    return out
+
+
+def _doubles(column: pa.Array) -> np.ndarray:
+    """A null becomes NaN; both sort last."""
+    return column.to_numpy(zero_copy_only=False).astype(float, copy=False)
+
+
+def _between(low: np.ndarray, high: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The value at a place between two neighbouring ranks, as percentile has it."""
+    up, down = np.ceil(place), np.floor(place)
+    return np.where((up == down) | (low == high), low, (up - place) * low + (place - down) * high)
+
+
+def _medians(values: np.ndarray, group: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each group's n values that aren't null; rows come by group."""
+    ordered = values[np.lexsort((values, group))]
+    place = np.maximum(n - 1, 0) / 2
+    return _between(ordered[starts + np.floor(place).astype(int)], ordered[starts + np.ceil(place).astype(int)], place)
+
+
+def _streamed(rows: DataFrame, deal: list[str], order: list[str], of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`of` over rows dealt by keys and ordered in their tasks."""
+    return rows.repartition(*deal).sortWithinPartitions(*order).mapInArrow(of, schema)
+
+
 def daily(windows: DataFrame, features: list[str]) -> DataFrame:
-    """Median of each feature over a user's active hours of a day, and the median absolute deviation from it."""
+    """Median of each feature over a user's active hours of a day, and the median absolute deviation from it.
+
+    Hours are dealt by user and day and ordered, so a task meets each day's hours in a row and holds one batch and one day.
+    """
     keys = ["user_id", "event_date", "role"]
-    day = Window.partitionBy(*keys)
-    dev = windows.select(*keys, *features, *[F.abs(F.col(f) - F.median(f).over(day)).alias(f"{f}__dev") for f in features])
-    return dev.groupBy(*keys).agg(*[F.median(f).alias(f"{f}__median") for f in features], *[F.median(f"{f}__dev").alias(f"{f}__mad") for f in features])
+    kinds = dict(windows.dtypes)
+    names = [*keys, *[f"{f}__median" for f in features], *[f"{f}__mad" for f in features]]
+
+    def summed(day: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        group = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(day)))
+        medians, deviations = [], []
+        for f in features:
+            x, known = _doubles(day.column(f)), day.column(f).is_valid().to_numpy(zero_copy_only=False)
+            n = np.add.reduceat(known.astype(int), starts)
+            median = _medians(x, group, starts, n)
+            medians.append(pa.array(median, mask=n == 0))
+            deviations.append(pa.array(_medians(np.abs(x - median[group]), group, starts, n), mask=n == 0))
+        return pa.RecordBatch.from_arrays([*[day.column(k).take(pa.array(starts)) for k in keys], *medians, *deviations], names=names)
+
+    def whole_days(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, starts, n, last = [], [], 0, None  # rows since the day that is not known to be over, and where days start there
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = np.flatnonzero(_changes(batch, keys, last))
+            if len(new):
+                if n + new[-1]:
+                    yield summed(pa.concat_batches([*held, batch.slice(0, new[-1])]), np.array([*starts, *(n + new[:-1])], int))
+                held, starts, n = [batch.slice(new[-1])], [0], len(batch) - new[-1]
+            else:
+                held, n = [*held, batch], n + len(batch)
+            last = [batch.column(k)[-1].as_py() for k in keys]
+        if held:
+            yield summed(pa.concat_batches(held), np.array(starts, int))
+
+    rows = windows.select(*keys, *[F.col(f).cast("double").alias(f) for f in features])
+    return _streamed(rows, ["user_id", "event_date"], keys, whole_days, ", ".join(f"{c} {kinds.get(c, 'double')}" for c in names))
 
 
 def rolling_prior(x: Column, key: str, days: int, least: int, order: str = "event_date") -> Column:
@@ -90,20 +160,52 @@ def rolling_prior(x: Column, key: str, days: int, least: int, order: str = "even
 
 
 def profile(summaries: DataFrame, features: list[str], key: str, peer: str, days: int, least: int) -> DataFrame:
-    """Location (rolling median) and scale (larger of the rolling MAD and quartile estimates) of each feature, and history."""
-    w = Window.partitionBy(key).orderBy("event_date")
-    out = summaries.withColumn(f"{peer}_history_days", F.least(F.row_number().over(w) - 1, F.lit(days)).cast("bigint"))
-    three = {}
-    for f in features:
-        three[f"{f}__m"] = rolling_prior(F.col(f"{f}__median"), key, days, least)
-        three[f"{f}__d"] = rolling_prior(F.col(f"{f}__mad"), key, days, least)
-    out = out.withColumns(three)
-    found = {}
-    for f in features:
-        m, d = F.col(f"{f}__m"), F.col(f"{f}__d")
-        found[f"{f}__{peer}_location"] = m[1]
-        found[f"{f}__{peer}_scale"] = F.greatest(1.4826 * d[1], (m[2] - m[0]) / 1.349)
-    return out.withColumns(found).drop(*three)
+    """Location (rolling median) and scale (larger of the rolling MAD and quartile estimates) of each feature, and history.
+
+    A task meets the days of a key in a row and carries the last `days` of them from batch to batch. What rolling_prior
+    finds, of all features at once.
+    """
+    carried = [f"{f}__{s}" for f in features for s in ("median", "mad")]
+    found = [f"{f}__{peer}_{s}" for f in features for s in ("location", "scale")]
+    summaries = summaries.select(*[F.col(c).cast("double").alias(c) if c in carried else F.col(c) for c in summaries.columns])
+
+    def quartiles(x: np.ndarray, known: np.ndarray, at: np.ndarray, inside: np.ndarray, wanted: tuple[float, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+        n = (inside & known[at]).sum(1)
+        ordered = np.sort(np.where(inside, x[at], np.nan), axis=1)
+        row, out = np.arange(len(at)), []
+        for f in wanted:
+            place = np.maximum(n - 1, 0) * f
+            out.append(_between(ordered[row, np.floor(place).astype(int)], ordered[row, np.ceil(place).astype(int)], place))
+        return n, out
+
+    def rolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, last, seen = None, None, np.zeros(0, int)  # the last rows of the batches before, and how many of its key stand before each
+        for batch in batches:
+            if not len(batch):
+                continue
+            change = _changes(batch, [key], last)
+            index = np.arange(len(batch))
+            start = np.maximum.accumulate(np.where(change, index, -1))
+            prior = np.where(start >= 0, index - start, index + (seen[-1] + 1 if len(seen) else 0))
+            table = batch if before is None else pa.concat_batches([before, batch])
+            skip = len(table) - len(batch)
+            at = np.arange(skip, len(table))[:, None] - np.arange(days, 0, -1)
+            history = np.minimum(prior, days)
+            inside = np.arange(days, 0, -1) <= history[:, None]
+            at = np.where(inside, at, 0)
+            columns = []
+            for f in features:
+                read = lambda c: (_doubles(table.column(c)), table.column(c).is_valid().to_numpy(zero_copy_only=False))
+                n, (low, middle, high) = quartiles(*read(f"{f}__median"), at, inside, (0.25, 0.5, 0.75))
+                n_mad, (mad,) = quartiles(*read(f"{f}__mad"), at, inside, (0.5,))
+                none, none_mad = (history < least) | (n == 0), (history < least) | (n_mad == 0)
+                spread, mad = (high - low) / 1.349, 1.4826 * mad
+                columns += [pa.array(middle, mask=none), pa.array(np.where(none_mad, spread, np.where(none, mad, np.maximum(mad, spread))), mask=none & none_mad)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(history), *columns], names=[*batch.schema.names, f"{peer}_history_days", *found])
+            before, last, seen = table.slice(max(0, len(table) - days)), [batch.column(key)[-1].as_py()], prior[-1:]
+
+    kinds = [*summaries.dtypes, (f"{peer}_history_days", "bigint"), *[(c, "double") for c in found]]
+    return _streamed(summaries, [key], [key, "event_date"], rolled, ", ".join(f"{c} {t}" for c, t in kinds))
 
 
 def role_daily(summaries: DataFrame, features: list[str]) -> DataFrame:
@@ -123,8 +225,13 @@ def scale_floor(feature: str) -> float:
 
 
 def robust_z(windows: DataFrame, features: list[str], days: int = 30, least: int = 7) -> DataFrame:
-    """Windows with a clipped robust z against the user's own and the role's prior days; 0 without enough history."""
-    summaries = daily(windows, features)
+    """Windows with a clipped robust z against the user's own and the role's prior days; 0 without enough history, where
+    profiles have no location or scale.
+
+    Windows and their days are kept, since both profiles and the result read them.
+    """
+    windows = kept(windows)
+    summaries = kept(daily(windows, features))
     user = profile(summaries, features, "user_id", "user", days, least).select("user_id", "event_date", "user_history_days", *[f"{f}__user_{s}" for f in features for s in ("location", "scale")])
     role = profile(role_daily(summaries, features), features, "role", "role", days, least).select("role", "event_date", "role_history_days", *[f"{f}__role_{s}" for f in features for s in ("location", "scale")])
     out = windows.join(user, ["user_id", "event_date"], "left").join(role, ["role", "event_date"], "left")
@@ -132,8 +239,7 @@ def robust_z(windows: DataFrame, features: list[str], days: int = 30, least: int
     for f in features:
         for peer in ("user", "role"):
             loc, scale = F.col(f"{f}__{peer}_location"), F.col(f"{f}__{peer}_scale")
-            valid = (F.coalesce(f"{peer}_history_days", F.lit(0)) >= least) & loc.isNotNull() & scale.isNotNull()
-            z[f"{f}_{peer}_robust_z"] = F.when(valid, F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), (F.col(f) - loc) / F.greatest(scale, F.lit(scale_floor(f)))))).otherwise(0.0)
+            z[f"{f}_{peer}_robust_z"] = F.when(loc.isNotNull() & scale.isNotNull(), F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), (F.col(f) - loc) / F.greatest(scale, F.lit(scale_floor(f)))))).otherwise(0.0)
     return out.withColumns(z).drop(*[f"{f}__{p}_{s}" for f in features for p in ("user", "role") for s in ("location", "scale")])
 
 
