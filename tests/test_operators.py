@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 import uuid
 
 import pytest
@@ -294,3 +295,18 @@ def test_days_and_profiles_are_streamed(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     plan = rolled._jdf.queryExecution().toString()
     assert "percentile" not in plan and "median(" not in plan and "Window" not in plan
+
+
+def parts_of(df, key):
+    """Into how many parts exchanges deal rows by a key."""
+    plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    return [int(n) for n in re.findall(rf"hashpartitioning\({key}#\d+L?,(?: [^,()]+,)* (\d+)\)", plan)]
+
+
+def test_trailing_windows_sort_small_parts(spark, tx):
+    # a task's memory is its part's; before, the session's 4 shuffle partitions, whatever the cores
+    from riskweave.plans import views
+
+    least = t.SPREAD * spark.sparkContext.defaultParallelism
+    for df, key in ((t.trailing(tx), "nameOrig"), (views.table(spark, "/root/testdata/sf0.001", "led"), "l_orderkey")):
+        assert parts_of(df, key) == [least]
