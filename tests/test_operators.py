@@ -310,3 +310,9 @@ def test_trailing_windows_sort_small_parts(spark, tx):
     least = t.SPREAD * spark.sparkContext.defaultParallelism
     for df, key in ((t.trailing(tx), "nameOrig"), (views.table(spark, "/root/testdata/sf0.001", "led"), "l_orderkey")):
         assert parts_of(df, key) == [least]
+
+
+def test_fraud_features_sort_small_parts(spark, tx):
+    from riskweave.operators import fraud
+
+    assert parts_of(fraud.feature_set(tx), "nameOrig") == [t.SPREAD * spark.sparkContext.defaultParallelism] * 3
