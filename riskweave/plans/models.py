@@ -138,8 +138,9 @@ def m_perturb(lineitem: DataFrame) -> DataFrame:
 @query("m_fraud_model", "led")
 def m_fraud_model(led: DataFrame) -> DataFrame:
     features = ["amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest", "step"]
-    learnt = t.time_split(led).where("part <> 'test'").withColumn("validation", F.col("part") == "val")
-    return m.fraud_scores(led, m.fraud_model(learnt, features, validation="validation"), features).select("row_id", "fraud_score")
+    rows = kept(led.select("row_id", "isFraud", *features))
+    learnt = t.time_split(rows).where("part <> 'test'").withColumn("validation", F.col("part") == "val")
+    return m.fraud_scores(rows, m.fraud_model(learnt, features, validation="validation"), features).select("row_id", "fraud_score")
 
 
 COEF, MEAN = {"l_quantity": 0.02, "l_discount": -1.5, "l_tax": 3.0}, {"l_quantity": 25.0, "l_discount": 0.05, "l_tax": 0.04}

@@ -6,6 +6,7 @@ import random
 import re
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -220,6 +221,44 @@ def test_fraud_model_tells_missing_from_zero(spark):
     assert len(scores) == 400 and min(p for k, p in scores.items() if k % 4 == 0) > 0.5 > max(p for k, p in scores.items() if k % 4)
 
 
+def ledger(spark, n=4000):
+    r = np.random.default_rng(5)
+    a, b = r.normal(0, 1, n), r.integers(0, 5, n)
+    fraud = r.random(n) < 1 / (1 + np.exp(3 - 2 * a * (b - 2)))
+    rows = [(k, None if k % 9 == 0 else float(x), float(y), int(z), k % 4 == 3) for k, (x, y, z) in enumerate(zip(a, b, fraud))]
+    return spark.createDataFrame(rows, "key long, a double, b double, isFraud int, later boolean")
+
+
+def fraud_scores(rows, model):
+    return {r["key"]: r["fraud_score"] for r in m.fraud_scores(rows, model, ["a", "b"]).collect()}
+
+
+def test_fraud_model_of_copies_costs_and_scores_the_same(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    sizes, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, data: sizes.append(data.count()) or fit(self, data))
+    rows = ledger(spark)
+    dealt = (rows.coalesce(1), rows.crossJoin(spark.range(3).select()).repartition(7))  # 12,000 rows in the second
+    once, thrice = (fraud_scores(rows, m.fraud_model(x, ["a", "b"], validation="later", rounds=4)) for x in dealt)
+    assert sizes[0] == sizes[1] < 700 and len(once) == 4000
+    assert max(abs(once[k] - thrice[k]) for k in once) < 1e-9
+
+
+def test_fraud_model_of_groups_is_that_of_rows(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = ledger(spark)
+    model = m.fraud_model(rows, ["a", "b"], validation="later", rounds=4)
+    found = fraud_scores(rows, model)
+    binned = VectorAssembler(inputCols=["a__bin", "b__bin", "a__missing", "b__missing"], outputCol="x").transform(model.stages[0].transform(m.with_indicators(rows, ["a", "b"])))
+    neg, pos = rows.where("not later").agg(F.count_if(F.col("isFraud") == 0), F.count_if(F.col("isFraud") == 1)).first()
+    plain = GBTClassifier(labelCol="isFraud", featuresCol="x", weightCol="w", validationIndicatorCol="later", maxIter=4, maxDepth=4, maxBins=100, seed=42).fit(binned.withColumn("w", F.when(F.col("isFraud") == 1, F.lit(neg / pos)).otherwise(1.0)))
+    assert plain.getNumTrees == model.stages[-1].getNumTrees >= 2
+    assert all(abs(r["probability"][1] - found[r["key"]]) < 1e-9 for r in plain.transform(binned).select("key", "probability").collect())
+
+
 def test_forest_takes_its_whole_sample(spark):
     rows = spark.createDataFrame([(str(k), float(k)) for k in range(700)], "key string, a double")
     assert [x["n"] for x in m.isolation_forest(rows, ["a"], "key", trees=3)] == [700] * 3

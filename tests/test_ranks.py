@@ -132,3 +132,14 @@ def test_shifts_of_half_an_hour_are_ambiguous(spark):
     for local, zone in (("2024-10-06 02:15:00", "Australia/Lord_Howe"), ("2024-03-31 02:30:00", "Europe/Berlin")):
         with pytest.raises(Exception, match="skipped"):
             utc(local, zone)
+
+
+def test_cuts_are_exact_however_rows_are_dealt(spark):
+    r = np.random.default_rng(3)
+    many, few = r.normal(0, 1, 5000).round(3), r.choice([-0.0, 0.0, 1.0, 7.5], 5000, p=[0.0005, 0.0005, 0.009, 0.99])
+    rows = [(float(x), float(y), None if k % 2 else float("nan"), 4.0) for k, (x, y) in enumerate(zip(many, few))] + [(None, float("nan"), None, 4.0)] * 50
+    df = spark.createDataFrame(rows, "many double, few double, none double, one double")
+    ordered = np.sort(many)
+    want = {"many": sorted({float(ordered[-(-k * 5000 // 32) - 1]) for k in range(1, 32)}), "few": [0.0, 1.0], "none": [], "one": []}
+    for dealt in (df.coalesce(1), df.repartition(7)):
+        assert ranks.cuts(dealt, ["many", "few", "none", "one"]) == want
