@@ -165,3 +165,51 @@ def test_of_two_siblings_one_is_counted(spark, monkeypatch):
     df = spark.createDataFrame([(float(k % 16), int(k % 16 in (1, 2, 6, 11, 12)), False) for k in range(160)], "f0 double, y int, val boolean")
     model = b.grow(df, ["f0"], "y", "val", rounds=1, depth=3, rate=0.5)
     assert counted[:2] == [1, 1] and len(model.trees[0].feature) > 3
+
+
+def test_models_that_grow_side_by_side_are_those_that_grow_alone(spark, monkeypatch):
+    # a pass over the rows serves both; margins are written anew in between, and one model stops before the other
+    x, y, val = table()
+    rows = frame(spark, x, y, val)
+    variants = [NAMES, NAMES[2:]]
+    growth = {"rounds": 11, "depth": 3, "rate": 0.3, "patience": 4}
+    alone = [b.grow(rows, v, "y", "val", **growth) for v in variants]
+    read, passed = [], b._passed
+    monkeypatch.setattr(b, "_passed", lambda state, passes: read.append([p is not None for p in passes]) or passed(state, passes))
+    monkeypatch.setattr(b, "REWRITE", 3)
+    together = b.grow_each(b.prepared(rows, NAMES, "y", "val"), variants, **growth)
+    for a, c in zip(alone, together):
+        assert a.features == c.features and a.trees == c.trees and a.validation == c.validation and len(a.validation) >= 4
+    assert [True, True] in read and len(read) < 1.5 * 3 * max(len(m.validation) + 1 for m in together)
+
+
+def test_the_ledger_is_read_once_for_its_features(spark):
+    from riskweave.plans import fraud as plans
+
+    led = views.table(spark, "/root/testdata/sf0.001", "led").persist()
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(row):
+        seen.add(1)
+        return True
+
+    rows = plans.parts(led.where("type in ('TRANSFER', 'CASH_OUT')").where(counted("row_id")))
+    assert rows.where("part = 'train'").count() > 0 and seen.value == led.where("type in ('TRANSFER', 'CASH_OUT')").count()
+
+
+@pytest.mark.parametrize("n", [0, 5, 20_000, 300_000])
+def test_cuts_by_summaries(spark, n):
+    r = np.random.default_rng(n)
+    x = r.exponential(1, n).round(3)
+    state = b.Summary()
+    for part in np.array_split(x, 7):
+        state.add(part)
+    values, weights = state.weighted()
+    assert weights.sum() == n and (np.diff(values) > 0).all()
+    for q in np.arange(1, 64) / 64 if n else ():
+        v = values[np.searchsorted(np.cumsum(weights), np.ceil(q * n))]
+        assert (x < v).mean() - 4e-4 <= q <= (x <= v).mean() + 4e-4
+    if n == 5:
+        cuts = b.cut_points(spark.createDataFrame([(float(v), None) for v in x] + [(math.nan, None)], "a double, b double"), ["a", "b"])
+        assert cuts[0].tolist() == sorted(set(x.tolist())) and not len(cuts[1])
