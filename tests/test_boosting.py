@@ -213,3 +213,20 @@ def test_cuts_by_summaries(spark, n):
     if n == 5:
         cuts = b.cut_points(spark.createDataFrame([(float(v), None) for v in x] + [(math.nan, None)], "a double, b double"), ["a", "b"])
         assert cuts[0].tolist() == sorted(set(x.tolist())) and not len(cuts[1])
+
+
+def test_explanations_by_tables_of_several_paths(spark):
+    # whatever paths share a table; 31 nodes of a tree take a few tables, not one a leaf
+    x, y, val = table(3000)
+    model = b.grow(frame(spark, x, y, val), NAMES, "y", "val", rounds=4, depth=5, rate=0.3)
+    whole, phis = model.margin(x) - model.expected(), []
+    for most in (0, 3, 8, 12):
+        of = type("Some", (b.Explainer,), {"TOGETHER": most})(model)
+        phis.append(of(x))
+        assert np.allclose(phis[-1].sum(1), whole, atol=1e-9) and np.allclose(phis[-1], phis[0], atol=1e-12)
+    assert sum(len(t) for t in b.Explainer(model).tables) < sum(f < 0 for t in model.trees for f in t.feature) / 2
+
+
+def test_weights_are_rounded_as_python_rounds():
+    x = np.append(np.random.default_rng(4).random(20_000), np.arange(20_000) / 20_000)
+    assert fraud._rounded(x, 4).tolist() == [round(v, 4) for v in x.tolist()]
